@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import minhash, secrets, url_filter
+from . import language_id, matroska, minhash, secrets, sentencepiece_fst, url_filter
 from .sharding import hilbert_shards
 
 
@@ -19,16 +19,28 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode_column(table(spark, sf_dir, "documents"))
+
+
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_report(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op10_url_filter": op10_url_filter}
+    return {"op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op5_matroska": op5_matroska, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
