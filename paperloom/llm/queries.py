@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import language_id, matroska, minhash, secrets, sentencepiece_fst, url_filter
+from . import language_id, matroska, minhash, quality, secrets, sentencepiece_fst, url_filter
 from .sharding import hilbert_shards
 
 
@@ -23,6 +23,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode_column(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op5_matroska": op5_matroska, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+    return {"op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
