@@ -18,6 +18,8 @@ BANDS, ROWS = 24, 3
 NUMERATOR, DENOMINATOR = 75, 100
 #: A pair is checked on full sets unless its estimate lies 5.5 standard deviations of the estimator under the threshold.
 SLACK = 0.22
+#: Most candidate pairs that are broadcast instead of shuffling the texts.
+BROADCAST_PAIRS = 200_000
 #: Ids of vertices without a document id start here.
 NAMELESS = 1 << 62
 
@@ -157,14 +159,20 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, texts: DataFrame, group: int = 64) -> DataFrame:
     """The pairs (u, v) that are links, checked on full sets.
 
+    ``pairs`` should be checkpointed: it is counted first. Up to BROADCAST_PAIRS pairs go to the texts as a broadcast of at most
+    twice as many rows of four numbers (about 13 MB); more of them meet the texts in a shuffle by id.
+
     The text of v is sent once for each ``group`` partners, and each task streams them past its set, so
     that a hot v is dealt over many tasks and no task holds more than one pair of sets.
     """
     many = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
     dealt = pairs.join(many, "v").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("salt"), "u")
-    left = dealt.join(texts.withColumnRenamed("cid", "u"), "u").select("v", "salt", "u", "text")
-    right = dealt.select("v", "salt").distinct().join(texts.withColumnRenamed("cid", "v"), "v").select("v", "salt", F.lit(None).cast("long").alias("u"), "text")
-    rows = left.unionByName(right).repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
+    own = F.col("v").alias("cid"), "v", "salt", F.lit(None).cast("long").alias("u")
+    ends = dealt.select(F.col("u").alias("cid"), "v", "salt", "u").unionByName(dealt.select("v", "salt").distinct().select(*own))
+    if pairs.count() <= BROADCAST_PAIRS:
+        ends = F.broadcast(ends)
+    rows = texts.join(ends, "cid").select("v", "salt", "u", "text")
+    rows = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
     return rows.mapInArrow(_confirm, "u long, v long").distinct()
 
 
@@ -206,8 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = rows.where("root <> top").select("band", F.col("cid").alias("a"), F.col("root").alias("ra"))
     cross = few.join(rows.select("band", F.col("cid").alias("b"), F.col("root").alias("rb")), "band").where("ra <> rb")
     cross = cross.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cross = cross.join(star, ["u", "v"], "left_anti")
-    more = checkpoint(confirmed(_plausible(cross, classes), texts))
+    cross = checkpoint(_plausible(cross.join(star, ["u", "v"], "left_anti"), classes))
+    more = checkpoint(confirmed(cross, texts))
     if not more.isEmpty():
         ends = links.select("u", "v").unionByName(more)
         roots = connected_components(ends)
