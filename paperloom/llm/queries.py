@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import language_id, matroska, minhash, quality, secrets, sentencepiece_fst, url_filter
+from . import language_id, matroska, minhash, quality, secrets, sentencepiece_fst, suffix_dedup, url_filter
 from .sharding import hilbert_shards
 
 
@@ -15,6 +15,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
