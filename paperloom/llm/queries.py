@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import language_id, matroska, minhash, quality, secrets, sentencepiece_fst, suffix_dedup, url_filter
+from . import decontaminate, language_id, matroska, minhash, quality, secrets, sentencepiece_fst, suffix_dedup, url_filter
 from .sharding import hilbert_shards
 
 
@@ -35,6 +35,10 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_report(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op6_decontaminate": op6_decontaminate, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
