@@ -8,8 +8,9 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -43,20 +44,26 @@ class Scorer:
 
     def __init__(self, model: Model, most: int = 200_000) -> None:
         self.model, self.most = model, most
-        self.starts = {p[:k] for p in model.pieces for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for piece in model.pieces:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.kept: dict[str, list[float]] = {}
 
     def arcs(self, text: str) -> list[tuple[int, int, str]]:
         out, n = [], len(text)
         for at in range(n):
-            alone = False
-            for end in range(at + 1, n + 1):
-                part = text[at:end]
-                if part not in self.starts:
+            alone, node = False, self.trie
+            for end in range(at, n):
+                node = node.get(text[end])
+                if node is None:
                     break
-                if part in self.model.pieces:
-                    out.append((at, end, part))
-                    alone = alone or end == at + 1
+                piece = node.get("")
+                if piece is not None:
+                    out.append((at, end + 1, piece))
+                    alone = alone or end == at
             if not alone:
                 out.append((at, at + 1, ""))
         return out
@@ -182,6 +189,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return own.mapInArrow(work, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+_SCORERS: dict[int, Scorer] = {}
+
+
+def predictor(spark: SparkSession, model: Model):
+    """A function of a text column that gives struct(lang_pred, score), for use within a larger select."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        key = id(shared.value)
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(shared.value)
+        return pd.DataFrame([_SCORERS[key].text(t) for t in texts], columns=["lang_pred", "score"])
+
+    return predict
+
+
 def language_report(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     found = identify(docs, train(docs, model_path))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
