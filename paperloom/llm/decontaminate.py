@@ -14,59 +14,70 @@ LITERALS = 4
 COVERAGE = 0.3
 #: Most benchmark windows that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Most openings of benchmark windows that the plan lists, to leave other windows of documents unmade; with more of them all windows are made and joined.
+LISTED_OPENINGS = 20_000
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 #: Units, spelt out and short.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds lb lbs oz ounce ounces ton tons "
     "ml l litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years "
-    "cent cents dollar dollars euro euros rupee rupees percent degree degrees mph kmh km/h m/s watt watts volt volts"
+    "cent cents dollar dollars euro euros rupee rupees percent degree degrees mph kmh ms watt watts volt volts"
 ).split()
 
-_NUMBER = r"^[^\p{L}\p{N}]*[0-9][0-9.,:/%-]*[^\p{L}\p{N}]*$"
-_NAME = r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}[\p{L}'-]*[^\p{L}\p{N}]*$"
-_ENDS = r"[.!?:]$"
-_TRIM = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_SPACE = " \t\n\x0b\f\r"
+#: A capitalised word behind a word that does not end a sentence.
+_NAME = r"(?<=[^\s.!?:]\s)(\p{Lu}\p{Ll}[\p{L}'-]*)"
+_MARK = "\x02"
+#: What is no letter, digit, space or mark.
+_OTHER = r"[^\p{L}\p{N}\s\x02]+"
 
 
-def template(text: Column) -> Column:
-    """Array of (word, value): the words of a text with placeholders for numbers, for capitalised words within a sentence and for units that follow a number. The value is what stood there, trimmed and in lower case."""
-    raw = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+def bare(text: Column) -> Column:
+    """The text in lower case, names marked, without punctuation."""
+    marked = F.regexp_replace(F.translate(text, _MARK, " "), _NAME, _MARK + "$1")
+    return F.trim(F.regexp_replace(F.lower(marked), _OTHER, ""), F.lit(_SPACE))
 
-    def one(w: Column, i: Column, words: Column) -> Column:
-        before = F.try_element_at(words, F.greatest(i, F.lit(1)))
-        bare = F.regexp_replace(F.lower(w), _TRIM, "")
-        inner = (i > 0) & ~before.rlike(_ENDS)
-        word = (
-            F.when(w.rlike(r"[0-9]") & w.rlike(_NUMBER), NUMBER)
-            .when((F.lower(w) != w) & inner & w.rlike(_NAME), NAME)
-            .when((i > 0) & bare.isin(UNITS) & before.rlike(_NUMBER), UNIT)
-            .otherwise(bare)
-        )
-        return F.struct(word.alias("word"), bare.alias("value"))
 
-    return F.filter(F.transform(raw, lambda w, i: one(w, i, raw)), lambda t: t["word"] != "")
+def template(bare_text: Column) -> Column:
+    """The same with placeholders for numbers, names and units that follow a number. Each stands for one word, so words stay aligned with those of the bare text."""
+    out = F.regexp_replace(bare_text, r"(?<!\S)[0-9]+(?!\S)", NUMBER)
+    out = F.regexp_replace(out, r"(?<!\S)\x02\S+", NAME)
+    return F.regexp_replace(out, rf"({NUMBER}\s+)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\S)", f"$1{UNIT}")
 
 
-def _is_slot(t: Column) -> Column:
-    return t["word"].startswith("<")
+def opening(first: Column, second: Column) -> Column:
+    return F.xxhash64(first, second)
 
 
-def windows(df: DataFrame, key: str, text_col: str, lengths: list[int]) -> DataFrame:
-    """(key, n, size, pos, hash, slots) of every window of the given lengths; slots are the values of its placeholders, null where the text has none."""
-    t = df.select(key, template(F.col(text_col)).alias("t"))
-    t = t.select(key, "t", F.col("t.word").alias("word"), F.exists("t", _is_slot).alias("slotted"))
+def words_of(text: Column) -> Column:
+    return F.split(text, r"\s+")
+
+
+def windows(df: DataFrame, key: str, text_col: str, lengths: list[int], openings: list[int] | None = None) -> DataFrame:
+    """(key, n, size, pos, hash, slots) of every window of the given lengths; slots are the values of its placeholders, null where the text has none.
+
+    Patterns run over whole texts, in generated code; only the windows themselves are made one by one. ``openings`` are the hashes of the first
+    two words of all windows that are looked for: others cannot match and are not made.
+    """
+    t = df.select(key, bare(F.col(text_col)).alias("bare")).select(key, "bare", template(F.col("bare")).alias("t"))
+    slotted = F.col("t").contains("<")
+    t = t.select(key, words_of(F.col("t")).alias("word"), F.when(slotted, words_of(F.translate("bare", _MARK, ""))).alias("value"))
 
     def of(size: int) -> Column:
         def one(i: Column) -> Column:
-            slots = F.when(F.col("slotted"), F.transform(F.filter(F.slice("t", i, size), _is_slot), lambda x: x["value"]))
-            return F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice("word", i, size)).alias("hash"), slots.alias("slots"))
+            pairs = F.arrays_zip(F.slice("word", i, size).alias("w"), F.slice("value", i, size).alias("v"))
+            slots = F.when(F.col("value").isNotNull(), F.transform(F.filter(pairs, lambda x: x["w"].startswith("<")), lambda x: x["v"]))
+            return F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice("word", i, size)).alias("hash"), opening(F.get("word", i - 1), F.get("word", i)).alias("opening"), slots.alias("slots"))
 
-        return F.when(F.size("word") >= size, F.transform(F.sequence(F.lit(1), F.size("word") - size + 1), one))
+        places = F.sequence(F.lit(1), F.size("word") - size + 1)
+        if openings is not None:
+            places = F.filter(places, lambda i: opening(F.get("word", i - 1), F.get("word", i)).isin(openings))
+        return F.when(F.size("word") >= size, F.transform(places, one))
 
     rows = [of(size) for size in lengths]
-    none = F.expr("filter(array(named_struct('size', 1, 'pos', 1, 'hash', 1L, 'slots', array(''))), x -> false)")
-    every = F.concat(*[F.coalesce(r, none) for r in rows])
+    none = F.expr("filter(array(named_struct('size', 1, 'pos', 1, 'hash', 1L, 'opening', 1L, 'slots', array(''))), x -> false)")
+    every = F.concat(*[F.coalesce(r, none) for r in rows]) if len(rows) > 1 else rows[0]
     return t.select(key, F.size("word").alias("n"), F.explode(every).alias("w")).select(key, "n", "w.*")
 
 
@@ -76,7 +87,7 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Da
     An item with fewer words than a window is one window of its own length, if it has LITERALS literal words; the lengths are at most WINDOW numbers.
     """
     own = benchmark.select(F.col(item_col).alias("item_id"), whole_text(text_col).alias("text")).distinct()
-    sizes = own.select(F.least(F.size(template(F.col("text"))), F.lit(WINDOW)).alias("size")).where(F.col("size") >= LITERALS).distinct()
+    sizes = own.select(F.least(F.size(words_of(bare(F.col("text")))), F.lit(WINDOW)).alias("size")).where(F.col("size") >= LITERALS).distinct()
     lengths = sorted(r["size"] for r in sizes.collect())
     if not lengths:
         lengths = [WINDOW]
@@ -84,7 +95,7 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Da
     slots = F.when(F.col("slots").isNull(), 0).otherwise(F.size("slots"))
     found = found.where(F.col("size") - slots >= LITERALS)
     totals = found.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"))
-    return found.select("item_id", "size", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")).join(totals, "item_id"), lengths
+    return found.select("item_id", "size", F.col("pos").alias("item_pos"), "hash", "opening", F.col("slots").alias("item_slots")).join(totals, "item_id"), lengths
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -101,10 +112,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     under a null id together. Items repeated under one id count together. Empty tables give an empty result; other columns are ignored.
     """
     items, lengths = item_windows(benchmark, item_col, item_text_col)
+    openings = items.select("opening").distinct()
+    listed = [r["opening"] for r in openings.limit(LISTED_OPENINGS + 1).collect()]
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
     own = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    found = windows(own, "doc_id", "text", lengths).drop("n").join(items, ["hash", "size"])
+    found = windows(own, "doc_id", "text", lengths, listed if len(listed) <= LISTED_OPENINGS else None).drop("n", "opening").join(items.drop("opening"), ["hash", "size"])
     line = F.col("pos") - F.col("item_pos")
     pair = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     found = found.select("doc_id", "item_id", "item_windows", "item_pos", line.alias("line"), F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), pair).alias("pairs"))
