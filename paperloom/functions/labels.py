@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import HINDI_ITEMS, HINDI_OPTIONS, MAX_BARE, MAX_BARE_WORDS, MAX_OPTION, MAX_PAIR, MAX_PAIR_WORDS, MAX_TABBED, MIN_JUMP, ROMAN
@@ -152,28 +152,34 @@ def same_sequence(form: Column, reference: Column) -> Column:
     return F.coalesce((form == reference) | both.isin("ar", "ra", "AR", "RA"), F.lit(False))
 
 
-def tabbed_items(line: Column, auto_fmt: Column) -> Column:
-    """Array of (label, text) of a line typed in columns; null for other lines.
+def with_tabbed_items(df: DataFrame, line: Column, auto_fmt: Column, out: str) -> DataFrame:
+    """``df`` with an array of (label, text) of a line typed in columns; null for other lines.
 
     Two parts and more of 45 characters and less; each after the first is labelled in one sequence, and its label
     lies two places and more behind the one before it (columns are read downwards), unless every part is to be written on.
     """
-    parts = F.filter(F.transform(F.split(line, P.SEPARATOR), lambda p: F.trim(p)), lambda p: p != "")
-    items = F.transform(parts, lambda p: F.struct(label_of(p).alias("label"), after_label(p).alias("text")))
-    room = F.forall(parts, lambda p: p.rlike(P.BLANK_OR_BOX))
-    first = F.element_at(items, 1)["label"]
-    reference = F.when(F.coalesce(auto_fmt, F.lit("")) != "", auto_fmt).otherwise(label_format(first))
-
-    def good(it: Column, i: Column) -> Column:
-        before = F.element_at(items, F.greatest(i, F.lit(1)))["label"]
-        a, b = pair_formats(before, it["label"])
-        at, to = label_position(before, a), label_position(it["label"], b)
-        jump = (before == "") | (a.isNotNull() & b.isNotNull() & (at >= 0) & (to - at >= MIN_JUMP))
-        labelled = (it["label"] != "") & (it["text"] != "") & same_sequence(label_format(it["label"]), reference)
-        return (i == 0) | (labelled & (room | F.coalesce(jump, F.lit(False))))
-
-    fine = F.forall(F.transform(items, good), lambda x: x) & F.forall(parts, lambda p: F.length(p) <= MAX_TABBED)
-    return F.when(F.size(parts) >= 2, F.when(fine, items))
+    rows = df.withColumn("_parts", F.filter(F.transform(F.split(line, P.SEPARATOR), lambda p: F.trim(p)), lambda p: p != ""))
+    rows = rows.withColumn("_items", F.when(F.size("_parts") >= 2, F.transform("_parts", lambda p: F.struct(label_of(p).alias("label"), after_label(p).alias("text")))))
+    rows = rows.withColumn("_items", F.transform("_items", lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"), label_format(x["label"]).alias("form"))))
+    rows = rows.withColumn("_reference", F.when(F.coalesce(auto_fmt, F.lit("")) != "", auto_fmt).otherwise(F.element_at("_items", 1)["form"]))
+
+    def settled(x: Column, i: Column) -> Column:
+        before = F.element_at("_items", F.greatest(i, F.lit(1)))
+        to_b = is_roman(x["form"]) & is_ambiguous(before["label"])
+        to_a = is_roman(before["form"]) & is_ambiguous(x["label"])
+        return F.struct(x["label"].alias("label"), x["text"].alias("text"), x["form"].alias("form"), before["label"].alias("before"), F.when(to_b, x["form"]).otherwise(before["form"]).alias("a"), F.when(to_b, x["form"]).when(to_a, before["form"]).otherwise(x["form"]).alias("b"))
+
+    rows = rows.withColumn("_settled", F.transform("_items", settled))
+    places = F.transform("_settled", lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"), x["form"].alias("form"), x["before"].alias("before"), label_position(x["before"], x["a"]).alias("from"), label_position(x["label"], x["b"]).alias("to")))
+    rows = rows.withColumn("_settled", places).withColumn("_room", F.forall("_parts", lambda p: p.rlike(P.BLANK_OR_BOX)))
+
+    def good(x: Column) -> Column:
+        jump = (x["before"] == "") | ((x["from"] >= 0) & (x["to"] - x["from"] >= MIN_JUMP))
+        return (x["label"] != "") & (x["text"] != "") & same_sequence(x["form"], F.col("_reference")) & (F.col("_room") | jump)
+
+    fine = F.forall(F.slice("_settled", F.lit(2), F.greatest(F.size("_parts"), F.lit(1))), good) & F.forall("_parts", lambda p: F.length(p) <= MAX_TABBED)
+    rows = rows.withColumn(out, F.when(F.coalesce(fine, F.lit(False)), F.transform("_items", lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text")))))
+    return rows.drop("_parts", "_items", "_reference", "_settled", "_room")
 
 
 def split_parts(text: Column, gaps: Column) -> Column:

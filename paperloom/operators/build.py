@@ -10,7 +10,7 @@ from ..functions.labels import after_label, column_split, label_of, spaces, spli
 from ..functions.normalize import polish_fragment
 from ..functions.text import collapse_spaces, has_devanagari, script_of
 from .nodes import is_short
-from .numbering import ensured, label_order
+from .numbering import label_order, with_labels
 
 
 def is_imperative(text: Column) -> Column:
@@ -51,8 +51,9 @@ def subs(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     stem = F.when(first["kind"] == "item", polish(first["text"], stem=True)).otherwise("")
     options = F.flatten(F.transform(F.filter("ns", lambda n: n["kind"] == "options"), lambda n: n["options"]))
     out = out.select("paper_id", "q_idx", "script", "stem_no", stem.alias("stem"), F.when(first["kind"] == "item", first["label"]).otherwise("").alias("label"), F.when(first["kind"] == "item", first["auto_fmt"]).otherwise("").alias("auto_fmt"), F.transform(options, lambda o: F.struct(o["label"].alias("label"), polish(o["text"]).alias("text"))).alias("options"))
-    labels = ensured(F.transform("options", lambda o: o["label"]), F.transform("options", lambda o: F.lit("")), F.lit("option"), F.col("script"))
-    out = out.withColumn("options", F.zip_with("options", labels, lambda o, x: F.struct(x.alias("label"), o["text"].alias("text"))))
+    out = out.withColumns({"_labels": F.transform("options", lambda o: o["label"]), "_formats": F.transform("options", lambda o: F.lit(""))})
+    out = with_labels(out, "_labels", "_formats", F.lit("option"), F.col("script"), "_made")
+    out = out.withColumn("options", F.zip_with("options", "_made", lambda o, x: F.struct(x.alias("label"), o["text"].alias("text")))).drop("_labels", "_formats", "_made")
     return _relabelled(out, "stem_no", F.col("stem") != "", F.lit("d")).select("paper_id", "q_idx", (F.dense_rank().over(Window.partitionBy("paper_id", "q_idx").orderBy("stem_no")) - 1).alias("sub_no"), "label", "stem", "options")
 
 
@@ -63,8 +64,9 @@ def _relabelled(rows: DataFrame, order: str, counted: Column, default: Column) -
     marked = rows.withColumn("_c", counted)
     entry = F.when(F.col("_c"), F.struct(F.col("label").alias("label"), F.coalesce("auto_fmt", F.lit("")).alias("fmt")))
     marked = marked.withColumns({"_all": F.collect_list(entry).over(full), "_k": F.sum(F.col("_c").cast("int")).over(own.orderBy(order)).cast("int")})
-    made = ensured(F.transform("_all", lambda e: e["label"]), F.transform("_all", lambda e: e["fmt"]), default, F.col("script"))
-    return marked.withColumn("label", F.when(F.col("_c"), F.element_at(made, F.greatest(F.col("_k"), F.lit(1)))).otherwise(F.col("label"))).drop("_all", "_k", "_c")
+    marked = marked.withColumns({"_labels": F.transform("_all", lambda e: e["label"]), "_formats": F.transform("_all", lambda e: e["fmt"])})
+    marked = with_labels(marked, "_labels", "_formats", default, F.col("script"), "_made")
+    return marked.withColumn("label", F.when(F.col("_c"), F.element_at("_made", F.greatest(F.col("_k"), F.lit(1)))).otherwise(F.col("label"))).drop("_all", "_k", "_c", "_labels", "_formats", "_made")
 
 
 def match_rows(questions: DataFrame, nodes: DataFrame) -> DataFrame:

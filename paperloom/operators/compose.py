@@ -47,16 +47,20 @@ def fits_at(widths: Column, cols: Column, available: Column) -> Column:
     return F.when(needed + F.lit(COLUMN_GAP_IN) * (cols - 1) <= available, F.struct(cols.cast("int").alias("cols"), F.transform(column, lambda w: w + share).alias("widths")))
 
 
-def pack(cells: Column, available: Column, most: Column, font_pt: float = 12.0) -> Column:
-    """struct(cols, widths): the most columns that fit, or as many as make full rows if those are fewer and fit as well; one column without widths if no more do."""
+def with_packed(df: DataFrame, cells: str, available: Column, most: Column, name: str = "packed", font_pt: float = 12.0) -> DataFrame:
+    """``df`` with struct(cols, widths) of an array of cells: the most columns that fit, or as many as make full rows if those are fewer and fit as well; one column without widths if no more do.
+
+    Widths and the best fit are columns of their own, as an expression within a lambda would be worked out again for every element.
+    """
+    rows = df.withColumns({"_widths": F.transform(cells, lambda c: width_in(c, font_pt)), "_room": available, "_most": F.least(most, F.size(cells)).cast("int")})
+    tried = F.transform(F.filter(F.sequence(F.greatest(F.col("_most"), F.lit(1)), F.lit(1)), lambda c: c > 1), lambda c: fits_at(F.col("_widths"), c, F.col("_room")))
+    rows = rows.withColumn("_best", F.try_element_at(F.filter(tried, lambda x: x.isNotNull()), F.lit(1)))
     n = F.size(cells)
-    limit = F.greatest(F.lit(1), F.least(most, n))
-    widths = F.transform(cells, lambda c: width_in(c, font_pt))
-    tried = F.transform(F.filter(F.sequence(limit, F.lit(1)), lambda c: c > 1), lambda c: fits_at(widths, c, available))
-    best = F.try_element_at(F.filter(tried, lambda x: x.isNotNull()), F.lit(1))
-    even = F.ceil(n / F.ceil(n / best["cols"])).cast("int")
-    evened = F.when(even < best["cols"], fits_at(widths, even, available))
-    return F.coalesce(evened, best, F.struct(F.lit(1).alias("cols"), F.lit(None).cast("array<double>").alias("widths")))
+    rows = rows.withColumn("_even", F.ceil(n / F.ceil(n / F.col("_best.cols"))).cast("int"))
+    evened = F.when(F.col("_even") < F.col("_best.cols"), fits_at(F.col("_widths"), F.col("_even"), F.col("_room")))
+    one = F.struct(F.lit(1).alias("cols"), F.lit(None).cast("array<double>").alias("widths"))
+    out = F.when(F.col(cells).isNotNull(), F.coalesce(evened, F.col("_best"), one))
+    return rows.withColumn(name, out).drop("_widths", "_room", "_most", "_best", "_even")
 
 
 BLOCK = "paper_id long, q_idx int, part int, type string, key string, marks_key string, text string, right_text string, cells array<string>, cell_keys array<string>, max_cols int, indent double, gap string, bold boolean, align string"
@@ -185,7 +189,9 @@ def at_densities(blocks: DataFrame, rungs: DataFrame, font_pt: float = 12.0) ->
     rows = rows.withColumn("first_q", head).withColumn("widest", left)
     content = content_width(F.col("side"))
     side = F.least(F.greatest(F.col("widest") + F.lit(0.45), content / F.lit(3.0)), content * F.lit(0.55))
-    packed = F.when(F.col("type").isin("options", "inline"), pack(F.col("cells"), available, F.col("max_cols"), font_pt)).when(F.col("type") == "pair", F.struct(F.lit(2).alias("cols"), F.array(side, content - F.lit(INDENT["pair"]) - side).alias("widths")))
-    rows = rows.withColumns({"before_pt": gap, "packed": packed})
+    two = F.struct(F.lit(2).alias("cols"), F.array(side, content - F.lit(INDENT["pair"]) - side).alias("widths"))
+    rows = rows.withColumns({"before_pt": gap, "_cells": F.when(F.col("type").isin("options", "inline"), F.col("cells"))})
+    rows = with_packed(rows, "_cells", available, F.col("max_cols"), font_pt=font_pt)
+    rows = rows.withColumn("packed", F.when(F.col("type") == "pair", two).otherwise(F.col("packed")))
     blank = F.when((F.col("gap") == "question") & (F.col("q_idx") != F.col("first_q")), F.col("gap_lines")).otherwise(0)
     return rows.select(*blocks.columns, "rung", "density_id", "top", "bottom", "side", "line", "before_pt", blank.alias("blank_lines"), F.coalesce(F.col("packed.cols"), F.when(F.col("cells").isNotNull(), F.size("cells"))).alias("cols"), F.col("packed.widths").alias("widths"))

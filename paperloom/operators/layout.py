@@ -20,12 +20,16 @@ def block_text() -> Column:
     return F.when(F.col("cells").isNotNull(), F.array_join("cells", " ")).otherwise(F.concat(F.coalesce("text", F.lit("")), right))
 
 
+def cell_lines(font_pt: float = 12.0) -> Column:
+    cols = F.greatest(F.coalesce("cols", F.lit(1)), F.lit(1))
+    return F.transform("cells", lambda c, i: F.when(F.col("widths").isNull(), F.lit(1).cast("long")).otherwise(line_count(c, font_pt, F.element_at("widths", (i % cols + 1).cast("int")) - F.lit(0.1))))
+
+
 def block_lines(font_pt: float = 12.0) -> Column:
-    """Lines of a block: the sum over its rows of cells of the most lines in a row, or those of its text beside what stands at the right."""
+    """Lines of a block whose cells' lines are the column _each: the sum over its rows of cells of the most lines in a row, or those of its text beside what stands at the right."""
     n = F.size("cells")
     cols = F.greatest(F.coalesce("cols", F.lit(1)), F.lit(1))
-    each = F.transform("cells", lambda c, i: F.when(F.col("widths").isNull(), F.lit(1).cast("long")).otherwise(line_count(c, font_pt, F.element_at("widths", (i % cols + 1).cast("int")) - F.lit(0.1))))
-    rows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / cols).cast("int")), lambda r: F.array_max(F.slice(each, (r * cols + 1).cast("int"), cols)))
+    rows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / cols).cast("int")), lambda r: F.array_max(F.slice("_each", (r * cols + 1).cast("int"), cols)))
     grid = F.aggregate(rows, F.lit(0).cast("long"), lambda s, x: s + x)
     beside = F.when(F.col("right_text").isNotNull(), width_in(F.col("right_text"), font_pt) + F.lit(0.25)).otherwise(F.lit(0.0))
     plain = line_count(F.col("text"), font_pt, content_width(F.col("side")) - F.col("indent") - beside)
@@ -35,7 +39,8 @@ def block_lines(font_pt: float = 12.0) -> Column:
 def with_heights(blocks: DataFrame, font_pt: float = 12.0) -> DataFrame:
     """Heights in points; what is added up later is whole hundredths of a thousandth, so that no order of addition matters."""
     height = F.when(F.col("type") == "rule", F.lit(font_pt * 0.45) * F.col("line")).otherwise(block_lines(font_pt) * line_height(block_text(), F.col("line"), font_pt)) + F.col("before_pt")
-    return blocks.withColumns({"height_u": F.round(height * 100000).cast("long"), "before_u": F.round(F.col("before_pt") * 100000).cast("long"), "capacity_u": F.floor(capacity(F.col("top"), F.col("bottom")) * 100000).cast("long")})
+    blocks = blocks.withColumn("_each", cell_lines(font_pt))
+    return blocks.withColumns({"height_u": F.round(height * 100000).cast("long"), "before_u": F.round(F.col("before_pt") * 100000).cast("long"), "capacity_u": F.floor(capacity(F.col("top"), F.col("bottom")) * 100000).cast("long")}).drop("_each")
 
 
 def paginate(blocks: DataFrame) -> DataFrame:

@@ -8,41 +8,39 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_RUN, SHORT_CHARS, SHORT_IN, SHORT_LETTERS
 from ..functions import patterns as P
-from ..functions.labels import NO_OPTIONS, after_label, column_split, inline_items, is_ambiguous, is_roman, label_format, label_of, label_position, looks_like_option, parse_options, spaces, tabbed_items
+from ..functions.labels import NO_OPTIONS, after_label, column_split, inline_items, is_ambiguous, is_roman, label_format, label_of, label_position, looks_like_option, parse_options, spaces, with_tabbed_items
 from ..functions.text import collapse_spaces, letter_count, width_in
 
 NODE = "array<struct<kind:string,label:string,text:string,box:boolean,auto_fmt:string,options:array<struct<label:string,text:string>>>>"
 
 
-def line_nodes(text: Column, auto_fmt: Column, matching: Column) -> Column:
-    """The nodes of one line: options, else in-line items, else items in columns (not in a matching question), else one item."""
+def with_line_nodes(rows: DataFrame) -> DataFrame:
+    """``rows(text, auto_fmt, heading, ...)`` with ``nodes``, the nodes of each line: options, else in-line items, else items in columns (not in a matching question), else one item."""
+    text, fmt = F.col("text"), F.col("auto_fmt")
+    rows = rows.withColumns({"_options": parse_options(text), "_box": text.rlike(P.TRUTH_BOX)})
+    rows = rows.withColumn("_plain", F.when(F.col("_box"), F.trim(spaces(F.regexp_replace(text, P.TRUTH_BOX, "")))).otherwise(text))
+    rows = with_tabbed_items(rows.withColumn("_inline", inline_items(spaces(F.col("_plain")))), F.col("_plain"), fmt, "_tabbed")
+    rows = rows.withColumn("_tabbed", F.when(~F.col("heading").rlike(P.MATCH), F.col("_tabbed")))
     none = F.lit(None).cast(NO_OPTIONS)
-    options = parse_options(text)
-    box = text.rlike(P.TRUTH_BOX)
-    plain = F.when(box, F.trim(spaces(F.regexp_replace(text, P.TRUTH_BOX, "")))).otherwise(text)
 
-    def node(label: Column, body: Column, fmt: Column) -> Column:
-        return F.struct(F.lit("item").alias("kind"), label.alias("label"), body.alias("text"), box.alias("box"), fmt.alias("auto_fmt"), none.alias("options"))
+    def node(label: Column, body: Column, code: Column) -> Column:
+        return F.struct(F.lit("item").alias("kind"), label.alias("label"), body.alias("text"), F.col("_box").alias("box"), code.alias("auto_fmt"), none.alias("options"))
 
-    inline = inline_items(spaces(plain))
-    tabbed = F.when(~matching, tabbed_items(plain, auto_fmt))
-    one = F.array(node(label_of(plain), F.trim(after_label(plain)), auto_fmt))
-    row = F.array(F.struct(F.lit("options").alias("kind"), F.lit("").alias("label"), F.lit("").alias("text"), F.lit(False).alias("box"), auto_fmt.alias("auto_fmt"), options.alias("options")))
+    row = F.array(F.struct(F.lit("options").alias("kind"), F.lit("").alias("label"), F.lit("").alias("text"), F.lit(False).alias("box"), fmt.alias("auto_fmt"), F.col("_options").alias("options")))
     found = (
-        F.when(options.isNotNull(), row)
-        .when(inline.isNotNull(), F.transform(inline, lambda x: node(x["label"], x["text"], auto_fmt)))
-        .when(tabbed.isNotNull(), F.transform(tabbed, lambda x, i: node(x["label"], x["text"], F.when(i == 0, auto_fmt).otherwise(""))))
-        .otherwise(one)
+        F.when(F.col("_options").isNotNull(), row)
+        .when(F.col("_inline").isNotNull(), F.transform("_inline", lambda x: node(x["label"], x["text"], fmt)))
+        .when(F.col("_tabbed").isNotNull(), F.transform("_tabbed", lambda x, i: node(x["label"], x["text"], F.when(i == 0, fmt).otherwise(""))))
+        .otherwise(F.array(node(label_of(F.col("_plain")), F.trim(after_label(F.col("_plain"))), fmt)))
     )
-    return found.cast(NODE)
+    return rows.withColumn("nodes", found.cast(NODE)).drop("_options", "_box", "_plain", "_inline", "_tabbed")
 
 
 def raw_nodes(joined: DataFrame) -> DataFrame:
     """(paper_id, q_idx, node_no, kind, label, text, box, auto_fmt, options, unnumbered, heading) of ``join_wrapped`` lines. ``unnumbered``: a plain line of a question that is otherwise numbered automatically."""
     own = Window.partitionBy("paper_id", "q_idx")
     rows = joined.withColumn("numbering", F.max(F.col("auto_fmt") != "").over(own))
-    nodes = line_nodes(F.col("text"), F.col("auto_fmt"), F.col("heading").rlike(P.MATCH))
-    rows = rows.select("paper_id", "q_idx", "group_no", "heading", "numbering", F.posexplode(nodes).alias("k", "n"))
+    rows = with_line_nodes(rows).select("paper_id", "q_idx", "group_no", "heading", "numbering", F.posexplode("nodes").alias("k", "n"))
     rows = rows.select("paper_id", "q_idx", F.row_number().over(own.orderBy("group_no", "k")).alias("node_no"), "heading", "numbering", "n.*")
     plain = F.col("numbering") & (F.col("kind") == "item") & (F.col("auto_fmt") == "") & (F.col("label") == "")
     return rows.withColumn("unnumbered", plain).drop("numbering")

@@ -11,55 +11,52 @@ from pyspark.sql import functions as F
 from ..functions.labels import is_ambiguous, is_roman, label_format, label_position, make_label, same_sequence
 
 
-def anchors(labels: Column) -> Column:
-    """struct(at, form, position) of each label with a format; ambiguous letters take the format of the first roman one."""
+def with_anchors(df: DataFrame, labels: str) -> DataFrame:
+    """``df`` with _known: struct(at, form, position) of each label of an array column that has a format. Ambiguous letters take the format of the first roman one."""
     found = F.filter(F.transform(labels, lambda x, i: F.struct(i.alias("at"), x.alias("label"), label_format(x).alias("form"))), lambda a: a["form"].isNotNull())
-    roman = F.try_element_at(F.filter(found, lambda a: is_roman(a["form"])), F.lit(1))["form"]
+    rows = df.withColumn("_found", found)
+    rows = rows.withColumn("_roman", F.try_element_at(F.filter("_found", lambda a: is_roman(a["form"])), F.lit(1))["form"])
+    unified = F.transform("_found", lambda a: F.struct(a["at"].alias("at"), a["label"].alias("label"), F.when(F.col("_roman").isNotNull() & a["form"].isin("a", "A") & is_ambiguous(a["label"]), F.col("_roman")).otherwise(a["form"]).alias("form")))
+    rows = rows.withColumn("_found", unified)
+    return rows.withColumn("_known", F.transform("_found", lambda a: F.struct(a["at"].alias("at"), a["form"].alias("form"), label_position(a["label"], a["form"]).alias("position")))).drop("_found", "_roman")
 
-    def unified(a: Column) -> Column:
-        form = F.when(roman.isNotNull() & a["form"].isin("a", "A") & (is_ambiguous(a["label"])), roman).otherwise(a["form"])
-        return F.struct(a["at"].alias("at"), form.alias("form"), label_position(a["label"], form).alias("position"))
 
-    return F.transform(found, unified)
+def with_filled_gaps(df: DataFrame, labels: str, out: str) -> DataFrame:
+    """Empty labels filled by place if all anchors have one format and one offset; else as they are. Every step is a column, as expressions within lambdas are worked out for each element."""
+    rows = with_anchors(df, labels)
+    first = F.try_element_at("_known", F.lit(1))
+    rows = rows.withColumns({"_form": first["form"], "_offset": first["position"] - first["at"]})
+    fine = (F.size("_known") > 0) & (F.col("_offset") >= 0) & F.forall("_known", lambda a: (a["form"] == F.col("_form")) & (a["position"] - a["at"] == F.col("_offset")))
+    rows = rows.withColumn("_fine", fine)
+    filled = F.transform(labels, lambda x, i: F.when(F.col("_fine") & (x == ""), make_label(i + F.col("_offset"), F.col("_form"))).otherwise(x))
+    return rows.withColumn(out, filled).drop("_known", "_form", "_offset", "_fine")
 
 
-def filled_gaps(labels: Column) -> Column:
-    """Empty labels filled by place if all anchors have one format and one offset; else as they are."""
-    known = anchors(labels)
-    first = F.try_element_at(known, F.lit(1))
-    offset = first["position"] - first["at"]
-    fine = (F.size(known) > 0) & F.forall(known, lambda a: (a["form"] == first["form"]) & (a["position"] - a["at"] == offset)) & (offset >= 0)
-    return F.when(fine, F.transform(labels, lambda x, i: F.when(x == "", make_label(i + offset, first["form"])).otherwise(x))).otherwise(labels)
-
-
-def from_markers(labels: Column, formats: Column) -> Column:
+def with_marker_labels(df: DataFrame, labels: str, formats: str, out: str) -> DataFrame:
     """Entries with an automatic number and no label take 0, 1, ... of its format, if there is one format, typed labels go with it, and those places are free; else null."""
-    both = F.zip_with(labels, formats, lambda x, f: F.struct(x.alias("label"), f.alias("fmt")))
-    marked = F.filter(both, lambda e: (e["label"] == "") & (e["fmt"] != ""))
-    form = F.try_element_at(marked, F.lit(1))["fmt"]
-    typed = F.filter(labels, lambda x: x != "")
-    fits = F.forall(typed, lambda x: label_format(x).isNotNull() & same_sequence(label_format(x), form))
-    free = ~F.exists(typed, lambda x: (label_position(x, label_format(x)) >= 0) & (label_position(x, label_format(x)) < F.size(marked)))
-    good = (F.size(marked) > 0) & F.forall(marked, lambda e: e["fmt"] == form) & fits & free
+    rows = df.withColumn("_both", F.zip_with(labels, formats, lambda x, f: F.struct(x.alias("label"), f.alias("fmt"))))
+    rows = rows.withColumn("_marked", F.filter("_both", lambda e: (e["label"] == "") & (e["fmt"] != "")))
+    rows = rows.withColumn("_form", F.try_element_at("_marked", F.lit(1))["fmt"])
+    rows = rows.withColumn("_typed", F.transform(F.filter(labels, lambda x: x != ""), lambda x: F.struct(x.alias("label"), label_format(x).alias("form"))))
+    fits = F.forall("_typed", lambda t: t["form"].isNotNull() & same_sequence(t["form"], F.col("_form")))
+    free = ~F.exists("_typed", lambda t: (label_position(t["label"], t["form"]) >= 0) & (label_position(t["label"], t["form"]) < F.size("_marked")))
+    rows = rows.withColumn("_good", (F.size("_marked") > 0) & F.forall("_marked", lambda e: e["fmt"] == F.col("_form")) & fits & free)
 
-    def at(e: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(both, F.lit(1), i), lambda p: (p["label"] == "") & (p["fmt"] != "")))
-        return F.when((e["label"] == "") & (e["fmt"] != ""), make_label(before, form)).otherwise(e["label"])
+    def one(e: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice("_both", F.lit(1), i), lambda p: (p["label"] == "") & (p["fmt"] != "")))
+        return F.when((e["label"] == "") & (e["fmt"] != ""), make_label(before, F.col("_form"))).otherwise(e["label"])
 
-    return F.when(good, F.transform(both, at))
+    return rows.withColumn(out, F.when(F.col("_good"), F.transform("_both", one))).drop("_both", "_marked", "_form", "_typed", "_good")
 
 
-def ensured(labels: Column, formats: Column, default: Column, script: Column) -> Column:
+def with_labels(df: DataFrame, labels: str, formats: str, default: Column, script: Column, out: str) -> DataFrame:
     """Labels after all rules: one entry or none missing, as they are; some missing, from automatic numbers, else by filling gaps; all missing, from the first in a format. Typed labels are never changed."""
-    missing = F.size(F.filter(labels, lambda x: x == ""))
     own = F.try_element_at(formats, F.lit(1))
-    form = F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(default)
-    every = F.transform(labels, lambda x, i: make_label(i, form, script))
-    return (
-        F.when((F.size(labels) < 2) | (missing == 0), labels)
-        .when(missing == F.size(labels), every)
-        .otherwise(F.coalesce(from_markers(labels, formats), filled_gaps(labels)))
-    )
+    rows = df.withColumns({"_missing": F.size(F.filter(labels, lambda x: x == "")), "_default": F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(default), "_script": script})
+    rows = with_filled_gaps(with_marker_labels(rows, labels, formats, "_from_markers"), labels, "_filled")
+    every = F.transform(labels, lambda x, i: make_label(i, F.col("_default"), F.col("_script")))
+    made = F.when((F.size(labels) < 2) | (F.col("_missing") == 0), F.col(labels)).when(F.col("_missing") == F.size(labels), every).otherwise(F.coalesce("_from_markers", "_filled"))
+    return rows.withColumn(out, made).drop("_missing", "_default", "_script", "_from_markers", "_filled")
 
 
 def label_order(items: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The whole way from lines to pages, as one lazy plan."""
+"""The whole way from lines to pages. Rows that several branches read are written once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import build, compose, header, layout, nodes, segment
+from .materialize import cut
 
 
 class Paper(NamedTuple):
@@ -20,23 +21,24 @@ class Paper(NamedTuple):
 
 def parse(segmented: DataFrame) -> Paper:
     """Headers, questions with their kinds, and their parts. All steps are keyed by paper, or paper and question."""
+    segmented = cut(segmented)
     headers = header.parse_headers(segmented.where("q_idx = 0"))
     raw, body = segment.fold_headings(segmented)
-    own = nodes.stacked_options(nodes.fold_unnumbered(nodes.raw_nodes(segment.join_wrapped(body))))
-    questions = nodes.question_kinds(raw, own)
-    match = build.match_rows(questions, own)
-    listed = build.items(questions, own)
+    own = cut(nodes.stacked_options(cut(nodes.fold_unnumbered(nodes.raw_nodes(segment.join_wrapped(body))))))
+    questions = cut(nodes.question_kinds(raw, own))
+    match = cut(build.match_rows(questions, own))
+    listed = first = cut(build.items(questions, own))
     flat = match.join(build.stacked_pairs(match).select("paper_id", "q_idx").distinct(), ["paper_id", "q_idx"], "left_anti").where("n_split = 0 and not is_header")
     listed = listed.unionByName(flat.select("paper_id", "q_idx", "ord", "label", F.lit(False).alias("lead"), F.col("left").alias("text"), F.lit(False).alias("box")))
-    settled = build.settled_kinds(questions, build.items(questions, own), match)
-    polished = settled.withColumn("heading", build.polish_heading(F.trim("heading")))
+    settled = build.settled_kinds(questions, first, match)
+    polished = cut(settled.withColumn("heading", build.polish_heading(F.trim("heading"))))
     return Paper(headers, polished, build.subs(questions, own), build.pairs(match), listed)
 
 
 def blocks(paper: Paper) -> DataFrame:
     """Blocks before any density, numbered within the paper."""
     rows = compose.header_blocks(paper.headers).unionByName(compose.question_blocks(paper.questions, paper.subs, paper.pairs, paper.items))
-    return numbered(rows)
+    return cut(numbered(rows))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -45,4 +47,4 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def laid_out(rows: DataFrame, rungs: DataFrame) -> DataFrame:
-    return layout.paginate(layout.with_heights(compose.at_densities(rows, rungs)))
+    return layout.paginate(cut(layout.with_heights(compose.at_densities(rows, rungs))))

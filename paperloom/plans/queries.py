@@ -12,21 +12,11 @@ from ..functions import labels, normalize, text
 from ..functions import patterns as P
 from ..operators import build, compose, header, language, layout, nodes, numbering, segment
 from . import paper
+from .literals import LITERALS
 from .corpus import lines, paper_lines, segmented, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Lines that the driver's tables do not have.
-LITERALS = [
-    (1, "प्रश्न 1. सही विकल्प चुनिए (5)"),
-    (2, "कौन सा शब्द सही है? _____"),
-    (3, "क) नदी ख) पहाड़ ग) सागर"),
-    (4, "राम और श्याम 12 बजे गए, फिर आए।"),
-    (5, "Mixed हिन्दी and English - 3"),
-    (6, ""),
-]
-
-
 def literals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LITERALS, "id long, text string")
 
@@ -175,7 +165,7 @@ def inline_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tabbed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _body(spark, sf_dir).select("paper_id", "line_no", F.posexplode(labels.tabbed_items(F.col("text"), F.col("auto_fmt"))).alias("k", "o"))
+    rows = labels.with_tabbed_items(_body(spark, sf_dir), F.col("text"), F.col("auto_fmt"), "items").select("paper_id", "line_no", F.posexplode("items").alias("k", "o"))
     return rows.select("paper_id", "line_no", F.col("k").cast("long").alias("k"), "o.label", "o.text")
 
 
@@ -228,7 +218,7 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sequences(spark, sf_dir).select("paper_id", F.col("q_idx").cast("long").alias("q_idx"), F.posexplode(numbering.filled_gaps(F.col("labels"))).alias("k", "label"))
+    rows = numbering.with_filled_gaps(_sequences(spark, sf_dir), "labels", "filled").select("paper_id", F.col("q_idx").cast("long").alias("q_idx"), F.posexplode("filled").alias("k", "label"))
     return rows.select("paper_id", "q_idx", F.col("k").cast("long").alias("k"), "label")
 
 
@@ -237,8 +227,7 @@ MARKERS = [(1, ["", "", ""], ["d", "d", "d"]), (2, ["c", "", ""], ["", "a", "a"]
 
 def marker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(MARKERS, "id long, labels array<string>, formats array<string>")
-    made = numbering.ensured(F.col("labels"), F.col("formats"), F.lit("d"), F.lit("en"))
-    return rows.select("id", F.array_join(made, ",").alias("labels"))
+    return numbering.with_labels(rows, "labels", "formats", F.lit("d"), F.lit("en"), "made").select("id", F.array_join("made", ",").alias("labels"))
 
 
 def order_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +325,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns for the words of each part's name, brand and type, in 3 inches."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type", "p_name"), " ").alias("cells"))
-    return rows.select("p_partkey", compose.pack(F.col("cells"), F.lit(3.0), F.lit(6))["cols"].cast("long").alias("cols"))
+    return compose.with_packed(rows, "cells", F.lit(3.0), F.lit(6)).select("p_partkey", F.col("packed.cols").cast("long").alias("cols"))
 
 
 def match_width(spark: SparkSession, sf_dir: str) -> DataFrame:
