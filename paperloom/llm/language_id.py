@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,9 @@ class Scorer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = piece
-        self.kept: dict[str, list[float]] = {}
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, len(model.languages)))
+        self.older: tuple[dict[str, int], np.ndarray] = ({}, self.table)
 
     def arcs(self, text: str) -> list[tuple[int, int, str]]:
         out, n = [], len(text)
@@ -77,7 +80,7 @@ class Scorer:
         strange, pieces, langs = [STRANGE] * k, self.model.pieces, range(k)
         at_now = 0
         for at, end, part in self.arcs(text):
-            if at != at_now:
+            if at != at_now and n > 60:
                 at_now = at
                 for j in langs:
                     if alpha[at][j] < 1e-150:
@@ -90,25 +93,31 @@ class Scorer:
         return [math.log(max(a, 1e-300)) + x for a, x in zip(alpha[n], logs, strict=True)]
 
     def word(self, word: str) -> list[float]:
-        found = self.kept.get(word)
-        if found is None:
-            found = self.forward(SPACE + word)
-            if len(self.kept) >= self.most:
-                self.kept.clear()
-            self.kept[word] = found
-        return found
+        return self.forward(SPACE + word)
+
+    def rows(self, words) -> np.ndarray:
+        """Log-probabilities of words, one row each. When the newer table is full it becomes the older one, from which words in use are taken over."""
+        if len(self.index) > self.most:
+            self.older, self.index, self.table = (self.index, self.table), {}, np.zeros((1024, len(self.model.languages)))
+        index, (old, old_table) = self.index, self.older
+        for w in words:
+            if w not in index:
+                k = len(index)
+                if k == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                at = old.get(w)
+                self.table[k] = self.word(w) if at is None else old_table[at]
+                index[w] = k
+        return self.table[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
 
     def text(self, text: str | None) -> tuple[str, float]:
         """(language, its posterior under equal priors)."""
         counts = Counter(words_of(text))
         if not counts or not self.model.languages:
             return UNDETERMINED, 0.0
-        total = [0.0] * len(self.model.languages)
-        for w, n in counts.items():
-            for j, x in enumerate(self.word(w)):
-                total[j] += n * x
-        best = max(range(len(total)), key=total.__getitem__)
-        return self.model.languages[best], 1.0 / sum(math.exp(max(x - total[best], -700.0)) for x in total)
+        total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows(counts)
+        best = int(total.argmax())
+        return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
 def expectation(counts: dict[str, float], scorer: Scorer, j: int) -> dict[str, float]:
