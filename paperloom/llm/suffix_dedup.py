@@ -20,6 +20,8 @@ GRAM = 64
 PIECE = 1 << 20
 #: Most distinct surroundings of an anchor that one suffix array takes; more of them are settled by window hashes instead.
 GROUP = 512
+#: Windows of one block where windows are settled by hashes.
+BLOCK = 16
 #: Bytes of neighbouring groups that share one suffix array.
 CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -217,27 +219,38 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
-def _extract_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of every window of the runs asked for."""
-    names = ["k1", "k2", "ord", "h", "s", "wh"]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 100):
-            part = batch.slice(at, 100)
-            out: list[list] = [[], [], [], [], [], []]
-            for k1, k2, text, asked in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                data, seen = text.encode("utf-8", "surrogatepass"), set()
-                for r in sorted(asked, key=lambda r: r["s"]):
-                    if (key := (r["h"], r["rh"])) in seen:
-                        continue
-                    seen.add(key)
-                    h8, _ = gram_hashes(np.frombuffer(data[r["s"] : r["s"] + r["w"] - 1 + LENGTH], np.uint8))
-                    first = np.arange(r["w"])
-                    for k, x in enumerate((k1, k2, r["ord"], r["h"])):
-                        out[k].append(np.full(r["w"], x, np.int64))
-                    out[4].append(first + r["s"])
-                    out[5].append(_span_hashes(h8, first, first + LENGTH).view(np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names)
+def _extract_blocks(size: int):
+    """Blocks of up to ``size`` windows of the runs asked for, cut by the windows' distance from their anchor, so that equal windows lie in blocks of one name.
+
+    ch: hash of the bytes that all windows of such a block share, wherever it is cut; fh: hash of all bytes of its windows.
+    """
+    names = ["k1", "k2", "ord", "h", "s", "w", "a", "ch", "fh"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                out: list[list] = [[] for _ in names]
+                for k1, k2, text, asked in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                    data, seen = text.encode("utf-8", "surrogatepass"), set()
+                    for r in sorted(asked, key=lambda r: r["s"]):
+                        if (key := (r["h"], r["rh"])) in seen:
+                            continue
+                        seen.add(key)
+                        w, a = r["w"], r["a"]
+                        h8, _ = gram_hashes(np.frombuffer(data[r["s"] : r["s"] + w - 1 + LENGTH], np.uint8))
+                        block = np.arange((a - w + 1) // size, a // size + 1)
+                        low, high = a - (block + 1) * size + 1, a - block * size
+                        first, last = np.maximum(low, 0), np.minimum(high, w - 1)
+                        core = mix(_span_hashes(h8, high, low + LENGTH) + block.astype(np.uint64) * np.uint64(_BASE))
+                        full = mix(_span_hashes(h8, first, last + LENGTH) + (a - first).astype(np.uint64) * np.uint64(_BASE))
+                        same = np.ones(len(block), np.int64)
+                        for k, x in enumerate((k1 * same, k2 * same, r["ord"] * same, r["h"] * same, first + r["s"], last - first + 1, a - first, core.view(np.int64), full.view(np.int64))):
+                            out[k].append(x)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names)
+
+    return work
 
 
 def _settle(earlier_only: bool):
@@ -300,8 +313,8 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc
     2. A run whose bytes are all around its anchor wherever that occurs is repeated as a whole; nothing of it is read again.
     3. Elsewhere one copy of each different run is fetched from its text, and a suffix array over the runs of the same anchors with its longest previous
        factors tells which windows have an earlier match, and from the right which have a later one.
-    4. An anchor with more than GROUP different runs (a passage in very many places) is settled by hashes of
-       its windows, counted with partial aggregation, so that no group has to fit into a task.
+    4. An anchor with more than GROUP different runs (a passage in very many places) is settled by hashes, counted with partial aggregation, so that no
+       group has to fit into a task: first of blocks of 16 windows, then, where blocks share their common bytes but not all, of one copy's single windows.
 
     Texts are known by a 128-bit key, so copies are worked on once. A null text is empty; texts under 400 bytes never match. Repeated
     rows are further places and so matches of each other; an empty table gives an empty result; other columns are ignored.
@@ -313,11 +326,11 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc
     found = found.mapInArrow(_emit_runs, "k1 long, k2 long, ord long, h long, rh long, s long, w long, a long")
     anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("lo"), F.max("rh").alias("hi"), F.min("ord").alias("first")).where("n > 1")
     shared = found.join(anchors.drop("n"), "h")
-    keys = ["k1", "k2", "h", "rh", "s", "w", "lo", "hi", "first"]
+    keys = ["k1", "k2", "h", "rh", "s", "w", "a", "lo", "hi", "first"]
     shared = checkpoint(shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")))
 
     whole = shared.where("lo = hi").select("k1", "k2", "h", "rh", "s", "w", (F.col("ord") == F.col("first")).alias("is_first"))
-    mixed = shared.where("lo <> hi").select("k1", "k2", "h", "rh", "s", "w", "n", "ord")
+    mixed = shared.where("lo <> hi").select("k1", "k2", "h", "rh", "s", "w", "a", "n", "ord")
     counts = mixed.groupBy("h", "rh").agg(F.sum("n").alias("c"), F.min("ord").alias("rep"))
     counts = counts.join(counts.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h")
     mixed = mixed.join(counts, ["h", "rh"])
@@ -331,18 +344,27 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc
     texts = own.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
     def fetched(asked: DataFrame, work, schema: str) -> DataFrame:
-        asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "rh", "s", "w", "ord")).alias("asked"))
+        asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "rh", "s", "w", "a", "ord")).alias("asked"))
         return texts.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(work, schema)
 
-    asked = mixed.where("ord = rep").select("k1", "k2", "h", "rh", "s", "w", "ord", "m")
+    asked = mixed.where("ord = rep").select("k1", "k2", "h", "rh", "s", "w", "a", "ord", "m")
     grouped = fetched(asked.where(F.col("m") <= GROUP), _extract, "k1 long, k2 long, ord long, h long, s long, content binary")
     grouped = grouped.repartition("h").sortWithinPartitions("h", "ord", "s").mapInArrow(_settle(keep_first), "k1 long, k2 long, s long, w long")
-    windows = fetched(asked.where(F.col("m") > GROUP), _extract_windows, "k1 long, k2 long, ord long, h long, s long, wh long")
-    repeats = windows.groupBy("h", "wh").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).where("n > 1")
-    windows = windows.join(repeats, ["h", "wh"])
-    if keep_first:
-        windows = windows.where("ord > first")
-    windows = windows.select("k1", "k2", "s", F.lit(1).cast("long").alias("w"))
+
+    def repeated_blocks(asked: DataFrame, size: int) -> DataFrame:
+        """Blocks with the number of equal ones (c), the first of them, and the number of different ones around the same shared bytes (m)."""
+        blocks = fetched(asked, _extract_blocks(size), "k1 long, k2 long, ord long, h long, s long, w long, a long, ch long, fh long")
+        equal = blocks.groupBy("h", "ch", "fh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "s")).alias("least"))
+        around = equal.groupBy("h", "ch").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("all")).where("all > 1").drop("all")
+        return blocks.join(equal.join(around, ["h", "ch"]), ["h", "ch", "fh"])
+
+    def taken(blocks: DataFrame) -> DataFrame:
+        again = blocks.where("c > 1")
+        return (again.where(F.struct("ord", "s") > F.col("least")) if keep_first else again).select("k1", "k2", "s", "w")
+
+    blocks = checkpoint(repeated_blocks(asked.where(F.col("m") > GROUP), BLOCK))
+    edges = blocks.where((F.col("m") > 1) & (F.struct("ord", "s") == F.col("least"))).withColumnRenamed("fh", "rh")
+    windows = taken(blocks).unionByName(taken(repeated_blocks(edges, 1)))
 
     hits = whole.unionByName(grouped).unionByName(windows)
     hits = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "w")).alias("hits"))
