@@ -61,10 +61,10 @@ def _pairs(value: Column) -> Column:
 def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000, prior: float = 0.5) -> Models:
     """Two first-order Markov models from a labelled sample.
 
-    Label "random": the values that the fixed patterns find. Label "identifier": words of four characters and more, of
+    Label "random": the values that the fixed patterns find. Label "identifier": words of 4 to 19 characters, of
     letters, digits and joining marks, outside those. The sample holds ``sample_rows`` documents in expectation, chosen by their text's hash, the
-    same for equal texts; it bounds the work, not what is scanned. The random model starts from the uniform
-    distribution with ``prior`` counts for each pair, the identifier model as well, so that both have a value without a single sample.
+    same for equal texts; it bounds the work, not what is scanned. A pair backs off to its second character and that to the
+    uniform distribution, so that both models have a value without a single sample.
     At most 2 * 68 ** 2 counts reach the driver.
     """
     rows = docs.count()
@@ -76,20 +76,26 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000, prio
     secret = secret.where(F.length("value") >= 16)
     masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), _ACCESS, " "), _HEX, " ")
     words = picked.select(F.explode(F.regexp_extract_all(masked, F.lit(r"[A-Za-z0-9_+/=-]{4,}"), 0)).alias("value"), F.lit(0).alias("label"))
+    # What could itself be judged is no sample of ordinary words.
+    words = words.where(F.length("value") < 20)
     words = words.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
     secret = secret.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
     pairs = secret.unionByName(words).select("label", "n", F.explode(_pairs(F.col("value"))).alias("pair"))
     counts = pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
-    tables = [[prior] * (_SIDE * _SIDE) for _ in range(2)]
+    tables = [[0.0] * (_SIDE * _SIDE) for _ in range(2)]
     for row in counts:
         tables[row["label"]][row["pair"]] += row["n"]
     logs = []
-    for t in tables:
+    for label, t in enumerate(tables):
+        # Each pair backs off to its second character, and that to the uniform distribution: weakly in words, strongly in random strings.
+        even, weight = (20.0, 64.0) if label else (prior, 8.0)
+        single = [sum(t[b::_SIDE]) + even for b in range(_SIDE)]
+        share = [x / sum(single) for x in single]
         out: list[float] = []
         for a in range(_SIDE):
             line = t[a * _SIDE : (a + 1) * _SIDE]
-            total = sum(line)
-            out += [math.log(x / total) for x in line]
+            total = sum(line) + weight
+            out += [math.log((x + weight * share[b]) / total) for b, x in enumerate(line)]
         logs.append(out)
     return Models([round(r - w, 4) for r, w in zip(logs[1], logs[0], strict=True)])
 

@@ -397,7 +397,7 @@ def test_estimates_follow_similarity():
             x = sa ^ sb
             folded = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)
             wrong = sum(int(v).bit_count() for v in folded)
-            errors.append(((1 - wrong / 128) - 1 / 16) / (15 / 16) - share)
+            errors.append(((1 - wrong / minhash.HASHES) - 1 / 16) / (15 / 16) - share)
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
 
 
