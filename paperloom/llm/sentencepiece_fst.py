@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +55,8 @@ class Transducer:
     The shortest path in the tropical semiring (min, +) is the segmentation in both cases.
 
     No piece reaches across a pair of characters that stand together in no piece; inputs are cut there, which leaves
-    the shortest path as it is, bounds the lattice, and lets results of recurring parts be kept (in a table of bounded size).
+    the shortest path as it is, bounds the lattice, and lets results of recurring words be kept (in two tables of bounded size, the
+    older of which is dropped when the newer is full).
     """
 
     def __init__(self, model: bytes, most: int = 300_000) -> None:
@@ -84,13 +86,21 @@ class Transducer:
         self.byte_of = {k: b for b, k in self.bytes.items()}
         self.silent = {k for k in range(len(kinds)) if kinds[k] == 3}
         self.unknown = kinds.index(UNKNOWN)
-        self.starts = {p[:k] for p in self.vocabulary for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for piece, k in self.vocabulary.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = k
         self.together = {p[k : k + 2] for p in self.vocabulary for k in range(len(p) - 1)}
         self.by_word = not any(p[1] == SPACE and p[0] != SPACE for p in self.together)
         self.least = min(self.scores) - 10.0
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.kept: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.most = most
+        self.spelt = [bytes([self.byte_of[k]]) if k in self.byte_of else b"" if k in self.silent else p.replace(SPACE, " ").encode() for k, p in enumerate(self.pieces)]
+        self.is_byte = [int(k in self.byte_of) for k in range(len(self.pieces))]
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -114,47 +124,39 @@ class Transducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def may_follow(self, last: int, piece: int) -> bool:
-        key = (last, piece)
+        key = (last + 1) * len(self.pieces) + piece
         found = self.follows.get(key)
         if found is None:
             own = [self.pieces[piece]] if last < 0 else [self.pieces[last], self.pieces[piece]]
             found = self.follows[key] = self.merged("".join(own)) == own
         return found
 
-    def shortest(self, text: str) -> list[int]:
-        """Piece ids of the shortest path over a text without cuts."""
-        n, bpe = len(text), self.kind == BPE
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs that leave a position, shortest first. A character that no piece reads has an arc of its own, -2 - its code."""
+        out, node = [], self.trie
+        for k in range(at, len(text)):
+            node = node.get(text[k])
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None:
+                out.append((k + 1, piece))
+        if (not out or out[0][0] > at + 1) and text[at] not in self.vocabulary:
+            out.insert(0, (at + 1, -2 - ord(text[at])))
+        return out
+
+    def lightest(self, text: str) -> list[int]:
+        """Shortest path for arc weights that do not depend on the arc before: positions are states, in order."""
+        n = len(text)
         weight, last, back = [float("inf")] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         weight[0] = 0.0
-        follows, starts, vocabulary = self.follows, self.starts, self.vocabulary
         for at in range(n):
-            here, before = weight[at], last[at]
-            if here == float("inf"):
+            if weight[at] == float("inf"):
                 continue
-            reached = False
-            for end in range(at + 1, n + 1):
-                part = text[at:end]
-                if part not in starts:
-                    break
-                piece = vocabulary.get(part)
-                if piece is None:
-                    continue
-                if bpe:
-                    may = follows.get((before, piece))
-                    if may is None:
-                        may = self.may_follow(before, piece)
-                    if not may:
-                        continue
-                    cost = here + 1.0
-                else:
-                    cost = here - self.scores[piece]
-                reached = reached or end == at + 1
+            for end, piece in self.arcs(text, at):
+                cost = weight[at] - (self.scores[piece] if piece >= 0 else self.least)
                 if cost < weight[end]:
                     weight[end], last[end], back[end] = cost, piece, at
-            if not reached and text[at] not in vocabulary:
-                cost = here + (1.0 if bpe else -self.least)
-                if cost < weight[at + 1]:
-                    weight[at + 1], last[at + 1], back[at + 1] = cost, -2 - ord(text[at]), at
         out, at = [], n
         while at:
             out.append(last[at])
@@ -162,13 +164,47 @@ class Transducer:
         out.reverse()
         return out
 
+    def finite(self, text: str) -> list[int]:
+        """The path of finite weight where neighbours are restricted. The composition is expanded lazily, longest arcs first; as a position's
+        prefix has one segmentation only, a position that led nowhere is not entered again, so the work is linear in the lattice."""
+        n, size, follows = len(text), len(self.pieces), self.follows
+        path: list[int] = []
+        places = [0]
+        open_arcs = [self.arcs(text, 0)]
+        dead: set[int] = set()
+        while places[-1] < n:
+            last = path[-1] if path else -1
+            base = (last + 1) * size if last >= 0 else 0
+            own = open_arcs[-1]
+            while own:
+                end, piece = own.pop()
+                if end in dead:
+                    continue
+                if piece >= 0:
+                    may = follows.get(base + piece)
+                    if may is None:
+                        may = self.may_follow(last if last >= 0 else -1, piece)
+                    if not may:
+                        continue
+                path.append(piece)
+                places.append(end)
+                open_arcs.append(self.arcs(text, end) if end < n else [])
+                break
+            else:
+                open_arcs.pop()
+                dead.add(places.pop())
+                path.pop()
+        return path
+
+    def shortest(self, text: str) -> list[int]:
+        """Piece ids of the shortest path over a text without cuts; negative ids are characters that no piece reads."""
+        return self.finite(text) if self.kind == BPE else self.lightest(text)
+
     def _ids(self, part: str) -> list[int]:
-        found = self.kept.get(part)
-        if found is not None:
-            return found
-        ids, at, n = [], 0, len(part)
+        """Ids of a part of a text, cut where no piece reaches across."""
+        ids, at, n, together = [], 0, len(part), self.together
         for k in range(1, n + 1):
-            if k == n or part[k - 1 : k + 1] not in self.together:
+            if k == n or part[k - 1 : k + 1] not in together:
                 piece = part[at:k]
                 own = self.kept.get(piece)
                 if own is None:
@@ -180,44 +216,48 @@ class Transducer:
                             own += [self.bytes[b] for b in chr(-2 - x).encode("utf-8", "surrogatepass")]
                         else:
                             own.append(self.unknown)
-                    if len(self.kept) >= self.most:
-                        self.kept.clear()
-                    if len(piece) <= 64:
+                    if at and len(piece) <= 64:
                         self.kept[piece] = own
                 ids += own
                 at = k
-        if n <= 64 and len(self.kept) < self.most:
-            self.kept[part] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         """Piece ids of a whole text; none for a null or empty one."""
         text = self.normalise(text or "")
+        if not text:
+            return []
         if not self.by_word:
-            return list(self._ids(text)) if text else []
-        out: list[int] = []
-        lead = ""
+            return self._ids(text)
+        # Words with their space mark; further marks of a run of spaces go in front of the mark of the next word.
         words = text.split(SPACE)
+        marked = [SPACE + w for w in words[1:]]
+        if "" in words[1:]:
+            marked, lead = [], ""
+            for w in words[1:]:
+                lead += SPACE
+                if w:
+                    marked.append(lead + w)
+                    lead = ""
+            if lead:
+                marked.append(lead)
         if words[0]:
-            out += self._ids(words[0])
-        for word in words[1:]:
-            lead += SPACE
-            if word:
-                out += self._ids(lead + word)
-                lead = ""
-        if lead:
-            out += self._ids(lead)
-        return out
+            marked.insert(0, words[0])
+        if len(self.kept) > self.most:
+            self.older, self.kept = self.kept, {}
+        kept, older, passing = self.kept, self.older, {}
+        for w in set(marked):
+            if w not in kept:
+                ids = older.get(w)
+                if ids is None:
+                    ids = self._ids(w)
+                (kept if len(w) <= 64 else passing)[w] = ids
+        if passing:
+            return [k for w in marked for k in (kept[w] if w in kept else passing[w])]
+        return list(chain.from_iterable(map(kept.__getitem__, marked)))
 
     def decode(self, ids: list[int]) -> str:
-        parts = bytearray()
-        for k in ids:
-            byte = self.byte_of.get(k)
-            if byte is not None:
-                parts.append(byte)
-            elif k not in self.silent:
-                parts += self.pieces[k].encode("utf-8", "surrogatepass")
-        text = parts.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -256,7 +296,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for text in part.column(1).to_pylist():
                     own = fst.encode(text)
                     ids.append(own)
-                    bytes_.append(sum(k in fst.byte_of for k in own))
+                    bytes_.append(sum(map(fst.is_byte.__getitem__, own)))
                     same.append(fst.decode(own) == (text or ""))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(bytes_, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
