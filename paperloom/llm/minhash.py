@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint, connected_components
 
 WORDS = 5
-HASHES, BITS = 128, 4
+HASHES, BITS = 256, 4
 BANDS, ROWS = 24, 3
 NUMERATOR, DENOMINATOR = 75, 100
 #: A pair is checked on full sets unless its estimate lies 5.5 standard deviations of the estimator under the threshold.
-SLACK = 0.22
+SLACK = 0.155
 #: Most candidate pairs that are broadcast instead of shuffling the texts.
 BROADCAST_PAIRS = 200_000
 #: Ids of vertices without a document id start here.
@@ -115,25 +115,30 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def estimate(a: Column, b: Column) -> Column:
-    """Similarity from two packed signatures: bits counted where any of the BITS bits of a minimum differ, corrected for equal low bits by chance."""
+    """Similarity from two packed signatures: bits counted where any of the BITS bits of a minimum differ, corrected for equal low bits by chance. Written out word by word, so that it stays in generated code."""
     ones = sum(1 << k for k in range(0, 64, BITS))
-
-    def differing(x: Column) -> Column:
-        folded = x
+    wrong = None
+    for word in range(HASHES * BITS // 64):
+        folded = x = F.get(a, F.lit(word)).bitwiseXOR(F.get(b, F.lit(word)))
         for k in range(1, BITS):
             folded = folded.bitwiseOR(F.shiftrightunsigned(x, k))
-        return F.bit_count(folded.bitwiseAND(F.lit(ones).cast("long")))
-
-    wrong = F.aggregate(F.zip_with(a, b, lambda x, y: differing(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        count = F.bit_count(folded.bitwiseAND(F.lit(ones).cast("long")))
+        wrong = count if wrong is None else wrong + count
     chance = 1.0 / (1 << BITS)
     return ((1 - wrong / HASHES) - chance) / (1 - chance)
 
 
+def may_link(n1: Column, sig1: Column, n2: Column, sig2: Column) -> Column:
+    """Neither the set sizes (exactly) nor the estimate (but for 5.5 standard deviations) rule a link out."""
+    sizes = F.least(n1, n2) * DENOMINATOR >= F.greatest(n1, n2) * NUMERATOR
+    return sizes & (estimate(sig1, sig2) >= NUMERATOR / DENOMINATOR - SLACK)
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose estimate does not rule out a link."""
-    sig = classes.select("cid", "sig")
-    both = pairs.join(sig.toDF("u", "su"), "u").join(sig.toDF("v", "sv"), "v")
-    return both.where(estimate(F.col("su"), F.col("sv")) >= NUMERATOR / DENOMINATOR - SLACK).select("u", "v").distinct()
+    """Those pairs (u, v) that may be links."""
+    own = classes.select("cid", "n", "sig")
+    both = pairs.join(own.toDF("u", "nu", "su"), "u").join(own.toDF("v", "nv", "sv"), "v")
+    return both.where(may_link(F.col("nu"), F.col("su"), F.col("nv"), F.col("sv"))).select("u", "v").distinct()
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +186,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass makes a profile of each document. Equal sets form one class, whose id is its least document id.
     2. Classes that share a band (24 bands of 3 minima; a pair at the threshold shares none with a chance of 2e-6) are linked
-       to the band's least class: one candidate for each row, however large the band. b-bit estimates drop hopeless ones, the rest is confirmed on full sets.
-    3. Where a band still holds several components, the members outside its largest component are paired with those of other
-       components, estimated and confirmed in the same way, so that no link between different sets depends on the choice of centres.
+       to the band's class of least id, to its smallest one (texts around a shared passage link to the shortest of them if to any) and to the one whose bands
+       are shared most (the middle of a group of near copies): three candidates for each row, however large the band. Set sizes and b-bit estimates drop hopeless ones, the rest is confirmed on full sets.
+    3. Where a band still holds several components, the members outside its largest component are held against those of other
+       components, within the join by sizes and estimates, and what is left is confirmed, so that no link between different sets depends on the choice of centres.
 
     A null or text without words has no shingles and is its own component. Ids are taken as names of documents: repeated rows are one
     document, and if an id comes with several texts all of them count for it. Documents without an id join components, which are named by
@@ -193,10 +199,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = checkpoint(profiles(own))
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned("k1", 2)
     named = F.coalesce(F.min("doc_id"), F.first(nameless))
-    classes = checkpoint(profile.where("n > 0").groupBy("k1", "k2").agg(named.alias("cid"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    banded = classes.select("cid", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("cid").alias("v"), F.max("cid").alias("last")).where("v < last").select("band", "v")
-    star = banded.join(buckets, "band").where("cid <> v").select(F.col("cid").alias("u"), "v").distinct()
+    classes = profile.where("n > 0").groupBy("k1", "k2").agg(named.alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = checkpoint(classes)
+    banded = classes.select("cid", "n", F.posexplode("bands").alias("no", "band"))
+    least = F.min(F.struct("n", "cid")).alias("least")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("v"), least).where("c > 1").select("band", "c", "v", F.col("least.cid").alias("w"))
+    shared = checkpoint(banded.select("cid", "no", "band").join(buckets, "band"))
+    # How many share a class's bands: in a group of near copies, most for those that are most like the others.
+    liked = shared.groupBy("cid").agg(F.sum("c").alias("liked"))
+    hubs = shared.select("cid", "band").join(liked, "cid").groupBy("band").agg(F.max(F.struct("liked", (-F.col("cid")).alias("minus"))).alias("most")).select("band", (-F.col("most.minus")).alias("x"))
+    star = shared.join(hubs, "band").select(F.col("cid").alias("u"), F.explode(F.array_distinct(F.array("v", "w", "x"))).alias("v")).where("u <> v")
+    star = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     star = checkpoint(_plausible(star, classes))
     key = F.coalesce("doc_id", F.lit(NAMELESS))
     texts = own.select(key.alias("cid"), "text")
@@ -207,14 +220,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
     # Bands of one component only need no further look, and most bands are such.
-    shared = rooted(banded.join(buckets.select("band"), "band"))
+    shared = rooted(shared.select("cid", "no", "band"))
     by_root = shared.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_root.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rows = checkpoint(shared.join(mixed.select("band", F.col("top.root").alias("top")), "band"))
-    few = rows.where("root <> top").select("band", F.col("cid").alias("a"), F.col("root").alias("ra"))
-    cross = few.join(rows.select("band", F.col("cid").alias("b"), F.col("root").alias("rb")), "band").where("ra <> rb")
-    cross = cross.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cross = checkpoint(_plausible(cross.join(star, ["u", "v"], "left_anti"), classes))
+    rows = shared.join(mixed.select("band", F.col("top.root").alias("top")), "band").select("band", "no", "cid", "root", "top")
+    rows = checkpoint(rows.join(classes.select("cid", "n", "sig", "bands"), "cid"))
+    few, every = rows.where("root <> top").alias("a"), rows.alias("b")
+    # A pair counts in the first band that it shares, and once if neither end is of the largest component.
+    earlier = F.exists(F.zip_with(F.slice("a.bands", F.lit(1), F.col("a.no")), F.slice("b.bands", F.lit(1), F.col("b.no")), lambda x, y: x.eqNullSafe(y)), lambda e: e)
+    once = (F.col("b.root") == F.col("b.top")) | (F.col("a.cid") < F.col("b.cid"))
+    meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & once
+    cross = few.join(every, meets & may_link(F.col("a.n"), F.col("a.sig"), F.col("b.n"), F.col("b.sig")) & ~earlier)
+    cross = cross.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct()
+    cross = checkpoint(cross.join(star, ["u", "v"], "left_anti"))
     more = checkpoint(confirmed(cross, texts))
     if not more.isEmpty():
         ends = links.select("u", "v").unionByName(more)
