@@ -66,10 +66,9 @@ def runs(data: bytes, length: int = LENGTH) -> list[np.ndarray]:
     """
     out: list[list[np.ndarray]] = [[], [], [], [], []]
     wide = length - GRAM + 1
-    for base in range(0, len(data) - length + 1, PIECE - length):
+    # A piece holds PIECE - length + 1 windows, and the next piece starts with the window after them.
+    for base in range(0, len(data) - length + 1, PIECE - length + 1):
         piece = np.frombuffer(data[base : base + PIECE], np.uint8)
-        if len(piece) < length:
-            break
         h8, h = gram_hashes(piece)
         windows = len(piece) - length + 1
         keyed = (h & ~np.uint64(PIECE - 1)) | np.arange(len(h), dtype=np.uint64)

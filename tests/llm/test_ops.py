@@ -118,6 +118,31 @@ def test_suffix_dedup_keeps_first_copies(spark, monkeypatch, group):
         assert [list(x) for x in zip(got[k]["starts"], got[k]["ends"])] == spans, k
 
 
+@pytest.mark.parametrize("n", [1023, 1024, 1025, 1648, 1649, 5000])
+def test_pieces_hold_each_window_once(monkeypatch, n):
+    whole = prose(n, n).encode()[:n]
+    want = suffix_dedup.runs(whole)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1024)
+    _, _, first, count, offset = suffix_dedup.runs(whole)
+    assert [s + k for s, w in zip(first.tolist(), count.tolist()) for k in range(w)] == list(range(n - 400 + 1))
+    # Anchors do not depend on where the pieces are cut.
+    assert set(np.repeat(want[2] + want[4], want[3]).tolist()) == set((first + offset).tolist())
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_suffix_dedup_texts_of_several_pieces(spark, keep_first):
+    rng = random.Random(11)
+    piece = suffix_dedup.PIECE
+    texts = ["".join(rng.choices("abcdefghij", k=n)) for n in (piece - 1, piece, 3_000_000)]
+    # A passage of the second text lies over the first boundary of a fourth one.
+    texts.append("".join(rng.choices("klmnop", k=piece - 700)) + texts[1][5000:6500] + "".join(rng.choices("klmnop", k=900)))
+    got = {r["doc_id"]: r for r in suffix_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_first=keep_first).collect()}
+    spans = [[], [] if keep_first else [(5000, 6500)], [], [(piece - 700, piece + 800)]]
+    for k, t in enumerate(texts):
+        assert list(zip(got[k]["starts"], got[k]["ends"])) == spans[k], k
+        assert got[k]["kept_sha256"] == hashlib.sha256(suffix_dedup.remove_spans(t, got[k]["starts"], got[k]["ends"]).encode()).hexdigest()
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     for _ in range(60):
