@@ -77,7 +77,7 @@ def proper_nouns(lines: DataFrame) -> DataFrame:
 def name_suggestions(lines: DataFrame) -> DataFrame:
     """(paper_id, line_no, word, name, confidence): a small-letter word where a name is asked for; low if the paper uses it elsewhere as a plain word, in another line or place."""
     cue = r"(?i)(?:who was|name of) ([a-z]+)"
-    found = lines.select("paper_id", "line_no", F.regexp_extract("flat", cue, 1).alias("word")).where("word <> ''")
+    found = lines.select("paper_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("flat", F.lit(cue), 1))).alias("word"))
     found = found.where((F.lower("word") == F.col("word")) & ~F.col("word").isin(FUNCTION_WORDS))
     masked = F.regexp_replace("flat", cue, " ")
     other = lines.select("paper_id", F.explode(F.regexp_extract_all(masked, F.lit("[a-z]+"), 0)).alias("word")).distinct().withColumn("plain", F.lit(True))

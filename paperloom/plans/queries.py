@@ -50,7 +50,8 @@ def collapse_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark).select("id", F.posexplode(text.script_runs(F.col("text"))).alias("k", "piece")).select("id", F.col("k").cast("long").alias("k"), "piece", text.script_of(F.col("piece")).alias("script"))
+    rows = _texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("pos").cast("long").alias("pos"), F.posexplode(text.script_runs(F.col("line"))).alias("k", "piece"))
+    return rows.select("id", "pos", F.col("k").cast("long").alias("k"), "piece", text.script_of(F.col("piece")).alias("script"))
 
 
 def furniture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,13 @@ def fix_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("ord") <= MAX_FIXES).select("paper_id", "ord", "rule", "before", "after")
 
 
+def _wording_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample lines, those of the corpus, and those of all documents under ids below the samples'."""
+    docs = table(spark, sf_dir, "documents").select((-10 - F.col("doc_id")).alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "flat"))
+    docs = docs.withColumn("line_no", F.col("line_no").cast("long"))
+    return language.sample_lines(spark).unionByName(lines(spark, sf_dir).select("paper_id", "line_no", "flat")).unionByName(docs)
+
+
 def rule_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.rule_suggestions(language.sample_lines(spark).unionByName(lines(spark, sf_dir).select("paper_id", "line_no", "flat")))
 
@@ -95,12 +103,12 @@ def proper_noun_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.name_suggestions(language.sample_lines(spark))
+    return language.name_suggestions(_wording_lines(spark, sf_dir))
 
 
 def accepted_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each line becomes with the suggestions accepted that are sure or that the user chose."""
-    own = language.sample_lines(spark)
+    own = _wording_lines(spark, sf_dir)
     choices = spark.createDataFrame([("live-under", True), ("felt-tired", False)], "id string, accepted boolean")
     return language.apply_accepted(own, choices).select("paper_id", "line_no", "flat", "fixed")
 
@@ -190,9 +198,25 @@ def marked_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "paper_id long, q_idx int, group_no int, text string, auto_fmt string").withColumn("heading", F.lit("Answer"))
 
 
+def _numbered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the corpus as if Word had numbered it, with unnumbered lines folded: a typed label becomes the format of an automatic number, one format for a question with roman ones. The literal lines come under negative ids."""
+    body = segment.fold_headings(segmented(spark, sf_dir))[1]
+    rest = labels.after_label(F.col("text"))
+    rows = body.withColumns({"label": labels.label_of(F.col("text")), "rest": rest})
+    rows = rows.withColumn("form", labels.label_format(F.col("label")))
+    roman = F.max(F.when(labels.is_roman(F.col("form")), F.col("form"))).over(Window.partitionBy("paper_id", "q_idx"))
+    rows = rows.withColumn("roman", roman)
+    form = F.when(F.col("form").isin("a", "A") & labels.is_ambiguous(F.col("label")), F.coalesce("roman", "form")).otherwise(F.col("form"))
+    made = form.isin("d", "a", "A", "r", "R") & (F.trim("rest") != "")
+    rows = rows.withColumns({"text": F.when(made, F.col("rest")).otherwise(F.col("text")), "auto_fmt": F.when(made, form).otherwise(F.col("auto_fmt"))})
+    own = marked_lines(spark).withColumn("paper_id", -F.col("paper_id"))
+    joined = segment.join_wrapped(rows.select(*body.columns)).unionByName(own)
+    return nodes.fold_unnumbered(nodes.raw_nodes(joined))
+
+
 def unnumbered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nodes.fold_unnumbered(nodes.raw_nodes(marked_lines(spark)))
-    return rows.select(F.col("q_idx").cast("long").alias("q_idx"), F.col("node_no").cast("long").alias("node_no"), "kind", "label", "text", "lead")
+    rows = _numbered_nodes(spark, sf_dir)
+    return rows.select("paper_id", F.col("q_idx").cast("long").alias("q_idx"), F.col("node_no").cast("long").alias("node_no"), "kind", "label", "text", "lead")
 
 
 def stacked_options(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +250,14 @@ MARKERS = [(1, ["", "", ""], ["d", "d", "d"]), (2, ["c", "", ""], ["", "a", "a"]
 
 
 def marker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(MARKERS, "id long, labels array<string>, formats array<string>")
-    return numbering.with_labels(rows, "labels", "formats", F.lit("d"), F.lit("en"), "made").select("id", F.array_join("made", ",").alias("labels"))
+    """Labels of the items of every automatically numbered question of the corpus, and of the literal ones under negative ids."""
+    own = spark.createDataFrame(MARKERS, "id long, labels array<string>, formats array<string>").select((-F.col("id")).alias("paper_id"), F.lit(0).alias("q_idx"), "labels", "formats", F.lit("en").alias("script"))
+    items = _numbered_nodes(spark, sf_dir).where("paper_id >= 0 and kind = 'item' and not lead")
+    each = F.array_sort(F.collect_list(F.struct("node_no", "label", "auto_fmt")))
+    items = items.groupBy("paper_id", "q_idx").agg(each.alias("ns"), text.script_of(F.first("heading")).alias("script"))
+    items = items.select("paper_id", "q_idx", F.transform("ns", lambda n: n["label"]).alias("labels"), F.transform("ns", lambda n: n["auto_fmt"]).alias("formats"), "script")
+    made = numbering.with_labels(own.unionByName(items), "labels", "formats", F.lit("d"), F.col("script"), "made")
+    return made.select("paper_id", F.col("q_idx").cast("long").alias("q_idx"), F.array_join("made", ",").alias("labels"))
 
 
 def order_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:

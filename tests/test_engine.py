@@ -96,3 +96,28 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert sorted(map(tuple, QUERIES[name](spark, SF001).select(*columns).collect())) == sorted(tuple(r[k] for k in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["script_runs", "name_confidence", "accepted_suggestions", "unnumbered_fold", "marker_labels"])
+def test_query_reads_the_whole_tables(spark, tmp_path, name):
+    texts = ["A cat. Who was inky ? The name of trees", "climb trees everyday", "हिन्दी then English"]
+    spark.createDataFrame([(100 + k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF001}/part.parquet").where("p_partkey < 24").write.parquet(f"{tmp_path}/part.parquet")
+    rows = QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "script_runs":
+        assert [r["piece"] for r in sorted((r for r in rows if r["id"] == 102), key=lambda r: r["k"])] == ["हिन्दी ", "then English"]
+        assert {r["id"] for r in rows} >= {100, 101, 102, -1}
+    elif name == "name_confidence":
+        assert {(r["word"], r["confidence"]) for r in rows if r["paper_id"] == -110} == {("inky", "high"), ("trees", "high")}
+        assert {r["paper_id"] for r in rows} >= {-1, -2, -110}
+    elif name == "accepted_suggestions":
+        assert {r["fixed"] for r in rows if r["paper_id"] == -111} == {"climb trees every day"}
+        assert {r["paper_id"] for r in rows} >= {0, 1, 2, -1, -2, -110, -111, -112}
+    else:
+        # Three papers of twelve questions, and the literal ones.
+        assert {r["paper_id"] for r in rows} >= {0, 1, 2, -1}
+        nine = [r for r in rows if r["paper_id"] == 1 and r["q_idx"] == 9]
+        if name == "marker_labels":
+            assert [r["labels"] for r in nine] == ["1,2,3,4,5,6,7,8"] and {r["labels"] for r in rows if r["paper_id"] == -1} == {"1,2,3"}
+        else:
+            assert len(nine) == 8 and all(r["label"] == "" and r["text"].startswith("why ") for r in nine)
