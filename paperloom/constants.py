@@ -74,3 +74,8 @@ SUGGESTIONS = [
     ("tortoise-was", r"(?i)\bToto\s+was\s+a\s+little\s*$", "Toto was a little", "low"),
 ]
 QUESTION_WORDS = ["who", "what", "when", "where", "why", "how", "which", "whose", "whom"]
+#: Hindi ones ask wherever they stand.
+HINDI_QUESTION_WORDS = (
+    "कौन कौनसा कौनसी कौनसे क्या क्यों कब कहाँ कहां कैसा कैसी कैसे कितना कितनी कितने "
+    "किस किसका किसकी किसके किसको किसने किसमें किससे किसे किन किनका किनकी किनके किनको किन्हें किन्होंने"
+).split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import A_BEFORE_VOWEL, AN_BEFORE_CONSONANT, BLANK_LENGTH, QUESTION_WORDS
+from ..constants import A_BEFORE_VOWEL, AN_BEFORE_CONSONANT, BLANK_LENGTH, HINDI_QUESTION_WORDS, QUESTION_WORDS
 from . import patterns as P
 from .text import collapse_spaces
 
@@ -68,11 +68,13 @@ def articles(text: Column) -> Column:
 
 
 def polish_fragment(text: Column, question_mark: bool = False) -> Column:
-    """First letter in upper case; with ``question_mark``, a ? after a fragment that opens with a question word and has no closing mark."""
+    """First letter in upper case; with ``question_mark``, a ? after a fragment that has no closing mark and that opens with an English question word or holds a Hindi one as a whole word."""
     out = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
     if not question_mark:
         return out
-    asks = out.rlike(rf"(?i)^({'|'.join(QUESTION_WORDS)})(?:$|[^A-Za-z0-9_])") & ~out.rlike(P.FINISHED)
+    hindi = r"[\x{0900}-\x{0963}\x{0966}-\x{097F}]"
+    opens = rf"(?i)^({'|'.join(QUESTION_WORDS)})(?:$|[^A-Za-z0-9_])"
+    asks = out.rlike(rf"{opens}|(?<!{hindi})(?:{'|'.join(HINDI_QUESTION_WORDS)})(?!{hindi})") & ~out.rlike(P.FINISHED)
     return F.when(asks, F.concat(out, F.lit("?"))).otherwise(out)
 
 

@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions.labels import after_label, column_split, label_of, spaces, split_parts
 from ..functions.normalize import polish_fragment
 from ..functions.text import collapse_spaces, has_devanagari, script_of
+from .language import worded
 from .nodes import is_short
 from .numbering import label_order, with_labels
 
@@ -36,21 +37,33 @@ def heading_fixes(questions: DataFrame) -> DataFrame:
 
 
 def polish(text: Column, stem: bool = False) -> Column:
-    """A fragment in its final wording. A stem keeps its closing dash and gets no question mark."""
+    """A reworded fragment in its final form. A stem keeps its closing dash and gets no question mark."""
     return polish_fragment(collapse_spaces(spaces(text)), question_mark=not stem)
 
 
-def subs(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+def reworded(text: Column) -> Column:
+    """A fragment with the paper's accepted suggestions and names (columns of ``language.wording``). Staged as a column of its own before ``polish``, which reads it several times."""
+    return worded(collapse_spaces(spaces(text)))
+
+
+def reworded_headings(questions: DataFrame, wording: DataFrame) -> DataFrame:
+    """``questions`` with their headings in final wording."""
+    rows = questions.join(wording, "paper_id", "left").withColumn("heading", worded(F.trim("heading")))
+    return rows.withColumn("heading", polish_heading(F.col("heading"))).select(*questions.columns)
+
+
+def subs(questions: DataFrame, nodes: DataFrame, wording: DataFrame) -> DataFrame:
     """(paper_id, q_idx, sub_no, label, stem, options) of mcq questions. Options go with the last stem above them; those before any stem get an empty one, which is not counted."""
-    rows = nodes.join(questions.where("kind = 'mcq'").select("paper_id", "q_idx", script_of(F.col("heading")).alias("script")), ["paper_id", "q_idx"])
+    rows = nodes.join(questions.where("kind = 'mcq'").select("paper_id", "q_idx", script_of(F.col("heading")).alias("script")), ["paper_id", "q_idx"]).join(wording, "paper_id", "left")
     ordered = Window.partitionBy("paper_id", "q_idx").orderBy("node_no")
     rows = rows.withColumn("stem_no", F.sum((F.col("kind") == "item").cast("int")).over(ordered))
     each = F.array_sort(F.collect_list(F.struct("node_no", "kind", "label", "text", "auto_fmt", "options")))
-    out = rows.groupBy("paper_id", "q_idx", "script", "stem_no").agg(each.alias("ns"))
+    out = rows.groupBy("paper_id", "q_idx", "script", "stem_no").agg(each.alias("ns"), F.first("taken").alias("taken"), F.first("names").alias("names"))
     first = F.element_at("ns", 1)
-    stem = F.when(first["kind"] == "item", polish(first["text"], stem=True)).otherwise("")
     options = F.flatten(F.transform(F.filter("ns", lambda n: n["kind"] == "options"), lambda n: n["options"]))
-    out = out.select("paper_id", "q_idx", "script", "stem_no", stem.alias("stem"), F.when(first["kind"] == "item", first["label"]).otherwise("").alias("label"), F.when(first["kind"] == "item", first["auto_fmt"]).otherwise("").alias("auto_fmt"), F.transform(options, lambda o: F.struct(o["label"].alias("label"), polish(o["text"]).alias("text"))).alias("options"))
+    out = out.withColumns({"_stem": reworded(first["text"]), "_options": F.transform(options, lambda o: F.struct(o["label"].alias("label"), reworded(o["text"]).alias("text")))})
+    stem = F.when(first["kind"] == "item", polish(F.col("_stem"), stem=True)).otherwise("")
+    out = out.select("paper_id", "q_idx", "script", "stem_no", stem.alias("stem"), F.when(first["kind"] == "item", first["label"]).otherwise("").alias("label"), F.when(first["kind"] == "item", first["auto_fmt"]).otherwise("").alias("auto_fmt"), F.transform("_options", lambda o: F.struct(o["label"].alias("label"), polish(o["text"]).alias("text"))).alias("options"))
     out = out.withColumns({"_labels": F.transform("options", lambda o: o["label"]), "_formats": F.transform("options", lambda o: F.lit(""))})
     out = with_labels(out, "_labels", "_formats", F.lit("option"), F.col("script"), "_made")
     out = out.withColumn("options", F.zip_with("options", "_made", lambda o, x: F.struct(x.alias("label"), o["text"].alias("text")))).drop("_labels", "_formats", "_made")
@@ -69,9 +82,9 @@ def _relabelled(rows: DataFrame, order: str, counted: Column, default: Column) -
     return marked.withColumn("label", F.when(F.col("_c"), F.element_at("_made", F.greatest(F.col("_k"), F.lit(1)))).otherwise(F.col("label"))).drop("_all", "_k", "_c", "_labels", "_formats", "_made")
 
 
-def match_rows(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+def match_rows(questions: DataFrame, nodes: DataFrame, wording: DataFrame) -> DataFrame:
     """Rows of match questions: (paper_id, q_idx, ord, label, auto_fmt, left, right_label, right, is_header, is_split, n_split, n_items)."""
-    rows = nodes.join(questions.where("kind = 'match'").select("paper_id", "q_idx", script_of(F.col("heading")).alias("script")), ["paper_id", "q_idx"])
+    rows = nodes.join(questions.where("kind = 'match'").select("paper_id", "q_idx", script_of(F.col("heading")).alias("script")), ["paper_id", "q_idx"]).join(wording, "paper_id", "left")
     own = Window.partitionBy("paper_id", "q_idx")
     rows = rows.withColumn("at", F.row_number().over(own.orderBy("node_no")))
     head = split_parts(F.col("text"), F.lit(True))
@@ -80,11 +93,12 @@ def match_rows(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = rows.withColumns({"is_header": is_header, "cols": cols})
     answer = (label_of(F.col("cols.right")) != "") & (after_label(F.col("cols.right")) != "") & ~F.col("is_header")
     right = F.when(answer, after_label(F.col("cols.right"))).otherwise(F.col("cols.right"))
+    rows = rows.withColumns({"_left": reworded(F.when(F.col("cols").isNull(), F.col("text")).otherwise(F.col("cols.left"))), "_right": reworded(right)})
     return rows.select(
         "paper_id", "q_idx", "script", (F.col("at") - 1).alias("ord"), "label", "auto_fmt",
-        F.when(F.col("cols").isNull(), polish(F.col("text"))).otherwise(polish(F.col("cols.left"))).alias("left"),
+        polish(F.col("_left")).alias("left"),
         F.when(F.coalesce(answer, F.lit(False)), label_of(F.col("cols.right"))).otherwise("").alias("right_label"),
-        F.coalesce(polish(right), F.lit("")).alias("right"), "is_header", (F.col("cols").isNotNull() & ~F.col("is_header")).alias("is_split"),
+        F.coalesce(polish(F.col("_right")), F.lit("")).alias("right"), "is_header", (F.col("cols").isNotNull() & ~F.col("is_header")).alias("is_split"),
         F.sum((F.col("cols").isNotNull() & ~F.col("is_header")).cast("int")).over(own).alias("n_split"),
         F.sum((~F.col("is_header")).cast("int")).over(own).alias("n_items"),
     )
@@ -111,13 +125,13 @@ def pairs(rows: DataFrame) -> DataFrame:
     return split.unionByName(stacked_pairs(rows).withColumn("is_header", F.lit(False)))
 
 
-def items(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+def items(questions: DataFrame, nodes: DataFrame, wording: DataFrame) -> DataFrame:
     """(paper_id, q_idx, ord, label, lead, text, box) of list questions: leads, labels, order. A quoting heading over lines without any label makes all of them leads."""
-    rows = nodes.join(questions.where("kind = 'list'").select("paper_id", "q_idx", script_of(F.col("heading")).alias("script"), F.col("heading").rlike(P.QUOTED).alias("quoting")), ["paper_id", "q_idx"])
+    rows = nodes.join(questions.where("kind = 'list'").select("paper_id", "q_idx", script_of(F.col("heading")).alias("script"), F.col("heading").rlike(P.QUOTED).alias("quoting")), ["paper_id", "q_idx"]).join(wording, "paper_id", "left")
     own = Window.partitionBy("paper_id", "q_idx")
     bare = F.min((F.col("label") == "") & (F.col("auto_fmt") == "")).over(own)
     quoted = F.col("quoting") & bare & (F.count(F.lit(1)).over(own) > 1)
-    rows = rows.withColumn("lead", F.col("lead") | quoted)
+    rows = rows.withColumn("lead", F.col("lead") | quoted).withColumn("text", reworded(F.col("text")))
     rows = rows.select("paper_id", "q_idx", "script", (F.row_number().over(own.orderBy("node_no")) - 1).alias("ord"), "label", "auto_fmt", "lead", polish(F.col("text")).alias("text"), "box")
     rows = _relabelled(rows, "ord", ~F.col("lead"), F.lit("d"))
     return label_order(rows.select("paper_id", "q_idx", "ord", "label", "lead", "text", "box"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import FUNCTION_WORDS, SUGGESTIONS
@@ -85,6 +85,35 @@ def name_suggestions(lines: DataFrame) -> DataFrame:
     return rows.select("paper_id", "line_no", "word", F.initcap("word").alias("name"), F.when(F.col("plain"), "low").otherwise("high").alias("confidence"))
 
 
+#: The choice that takes words typed twice in a row out. Names are chosen as name-<word>.
+DOUBLED, NAMED = "doubled-word", "name-"
+
+
+def wording(lines: DataFrame, choices: DataFrame | None = None) -> DataFrame:
+    """(paper_id, taken, names) of each paper of ``lines(paper_id, line_no, flat)``: the suggestions accepted, and the spelling of words that are names.
+
+    Sure rules and names are accepted; a choice(id, accepted) of the user wins. A paper's names are those that it spells in two ways, and those
+    accepted where a name is asked for. Doubled words go only if that is chosen.
+    """
+    spark = lines.sparkSession
+    chosen = spark.createDataFrame([], "id string, accepted boolean") if choices is None else choices
+    sure = spark.createDataFrame([*((i, c == "high") for i, _, _, c in SUGGESTIONS), (DOUBLED, False)], "id string, sure boolean")
+    taken = sure.join(F.broadcast(chosen), "id", "left").where(F.coalesce("accepted", "sure")).agg(F.collect_set("id").alias("taken"))
+    asked = name_suggestions(lines).withColumn("id", F.concat(F.lit(NAMED), F.col("word"))).join(F.broadcast(chosen), "id", "left")
+    asked = asked.where(F.coalesce("accepted", F.col("confidence") == "high")).select("paper_id", "word", "name")
+    names = proper_nouns(lines).unionByName(asked).groupBy("paper_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "name"))).alias("names"))
+    return lines.select("paper_id").distinct().join(names, "paper_id", "left").join(F.broadcast(taken))
+
+
+def worded(text: Column) -> Column:
+    """``text`` with the suggestions of the columns of ``wording`` applied in their order, then the paper's names. Not accepted rules are patterns that match nothing."""
+    never = F.lit("(?!)")
+    rules = [*((i, find, replace) for i, find, replace, _ in SUGGESTIONS), (DOUBLED, r"(?i)\b([a-z]+)(?:\s+\1\b)+", "$1")]
+    fixed = reduce(lambda t, r: F.regexp_replace(t, F.when(F.array_contains("taken", r[0]), F.lit(r[1])).otherwise(never), F.lit(r[2])), rules, text)
+    words = F.regexp_extract_all(fixed, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), 0)
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at("names", w), w)), "")
+
+
 def shown(fixes: DataFrame, most: int) -> DataFrame:
     order = Window.partitionBy("paper_id").orderBy("line_no", "step")
     return fixes.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most)

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import build, compose, header, layout, nodes, segment
+from ..operators import build, compose, header, language, layout, nodes, segment
 from .materialize import cut
 
 
@@ -19,20 +19,21 @@ class Paper(NamedTuple):
     items: DataFrame
 
 
-def parse(segmented: DataFrame) -> Paper:
-    """Headers, questions with their kinds, and their parts. All steps are keyed by paper, or paper and question."""
+def parse(segmented: DataFrame, choices: DataFrame | None = None) -> Paper:
+    """Headers, questions with their kinds, and their parts, in the wording that sure suggestions, the user's choice(id, accepted) and the paper's names give. All steps are keyed by paper, or paper and question."""
     segmented = cut(segmented)
+    wording = cut(language.wording(segmented.select("paper_id", "line_no", "flat"), choices))
     headers = header.parse_headers(segmented.where("q_idx = 0"))
     raw, body = segment.fold_headings(segmented)
     own = cut(nodes.stacked_options(cut(nodes.fold_unnumbered(nodes.raw_nodes(segment.join_wrapped(body))))))
     questions = cut(nodes.question_kinds(raw, own))
-    match = cut(build.match_rows(questions, own))
-    listed = first = cut(build.items(questions, own))
+    match = cut(build.match_rows(questions, own, wording))
+    listed = first = cut(build.items(questions, own, wording))
     flat = match.join(build.stacked_pairs(match).select("paper_id", "q_idx").distinct(), ["paper_id", "q_idx"], "left_anti").where("n_split = 0 and not is_header")
     listed = listed.unionByName(flat.select("paper_id", "q_idx", "ord", "label", F.lit(False).alias("lead"), F.col("left").alias("text"), F.lit(False).alias("box")))
     settled = build.settled_kinds(questions, first, match)
-    polished = cut(settled.withColumn("heading", build.polish_heading(F.trim("heading"))))
-    return Paper(headers, polished, build.subs(questions, own), build.pairs(match), listed)
+    polished = cut(build.reworded_headings(settled, wording))
+    return Paper(headers, polished, build.subs(questions, own, wording), build.pairs(match), listed)
 
 
 def blocks(paper: Paper) -> DataFrame:

@@ -296,7 +296,8 @@ def docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, rows = _nodes(spark, sf_dir)
     kinds = nodes.question_kinds(questions, rows)
-    return build.pairs(build.match_rows(kinds, rows)).select("paper_id", F.col("q_idx").cast("long").alias("q_idx"), F.col("ord").cast("long").alias("ord"), "label", "left", "right_label", "right", "is_header")
+    wording = language.wording(lines(spark, sf_dir))
+    return build.pairs(build.match_rows(kinds, rows, wording)).select("paper_id", F.col("q_idx").cast("long").alias("q_idx"), F.col("ord").cast("long").alias("ord"), "label", "left", "right_label", "right", "is_header")
 
 
 RULE_QUERIES: dict[str, Query] = {

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import labels, normalize, text
-from paperloom.operators import build, header, nodes
+from paperloom.operators import build, header, nodes, segment
+from paperloom.plans import paper
 from paperloom.plans.oracles import ORACLES
 from paperloom.plans.queries import QUERIES
 from paperloom.sources import docx
@@ -121,3 +122,40 @@ def test_query_reads_the_whole_tables(spark, tmp_path, name):
             assert [r["labels"] for r in nine] == ["1,2,3,4,5,6,7,8"] and {r["labels"] for r in rows if r["paper_id"] == -1} == {"1,2,3"}
         else:
             assert len(nine) == 8 and all(r["label"] == "" and r["text"].startswith("why ") for r in nine)
+
+
+def test_question_marks(spark):
+    def asked(t):
+        return one(spark, lambda c: normalize.polish_fragment(c, question_mark=True), t)
+
+    assert asked("नित्य आनंद में कौन रह सकता है") == "नित्य आनंद में कौन रह सकता है?"
+    assert asked("सिरभाव किसी भी सहारे के बिना पानी की ठीक जगह बताते थे") == "सिरभाव किसी भी सहारे के बिना पानी की ठीक जगह बताते थे"
+    assert asked("why is it") == "Why is it?" and asked("the boy who ran home") == "The boy who ran home"
+
+
+PAPER = """Que 1. Tick the right word about ella everyday (5)
+1. Ella felt tried and ella left everyday
+A. ella ( ) B. the the dog ( )
+Que 2. Match the words (4)
+1. ella\tthe doctor advice rest
+2. cat\tto leave under
+Que 3. Write true and false (3)
+1. Who was inky ?
+2. what is the name of trees that grow here
+3. they climb trees and ella saw them felt tried"""
+
+
+@pytest.mark.parametrize("chosen", [[], [("felt-tired", False), ("live-under", True), ("doubled-word", True), ("name-inky", False), ("name-trees", True)]])
+def test_papers_take_accepted_wording(spark, chosen):
+    rows = normalize.prepare(spark.createDataFrame([(1, PAPER), (2, PAPER.replace("Ella", "ella"))], "paper_id long, raw string"))[0]
+    got = paper.parse(segment.segment(rows), spark.createDataFrame(chosen, "id string, accepted boolean") if chosen else None)
+    items = {(r["paper_id"], r["ord"]): r["text"] for r in got.items.where("q_idx = 3").collect()}
+    tired, inky, trees = ("tried", "inky", "Trees") if chosen else ("tired", "Inky", "trees")
+    for p, ella in ((1, "Ella"), (2, "ella")):
+        assert [items[p, k] for k in range(3)] == [f"Who was {inky}?", f"What is the name of {trees} that grow here?", f"They climb {trees} and {ella} saw them felt {tired}"]
+    headings = {(r["paper_id"], r["q_idx"]): r["heading"] for r in got.questions.collect()}
+    assert headings[1, 1] == "Tick the right word about Ella every day:" and headings[2, 1] == "Tick the right word about ella every day:" and headings[1, 3] == "Write true or false:"
+    sub = got.subs.where("paper_id = 1").first()
+    assert sub["stem"] == f"Ella felt {tired} and Ella left every day" and [o["text"] for o in sub["options"]] == ["Ella", "The dog" if chosen else "The the dog"]
+    pairs = [(r["left"], r["right"]) for r in got.pairs.where("paper_id = 1").orderBy("ord").collect()]
+    assert pairs == [("Ella", "The doctor advises rest"), ("Cat", "To live under" if chosen else "To leave under")]
