@@ -109,6 +109,19 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, text) of texts without an id: the id of their set's class, where that has no other."""
+    shingler = Shingler()
+    for batch in batches:
+        found: list[tuple[int, str]] = []
+        for text in batch.column(0).to_pylist():
+            s = shingler.shingles(text)
+            if len(s):
+                k1 = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little")
+                found.append((NAMELESS + (k1 >> 2), text))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], ["cid", "text"])
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """Set size, 128-bit key of the set, packed signature and band keys of each document of ``docs(doc_id, text)``."""
     return docs.select("doc_id", "text").mapInArrow(_profile, PROFILE)
@@ -193,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or text without words has no shingles and is its own component. Ids are taken as names of documents: repeated rows are one
     document, and if an id comes with several texts all of them count for it. Documents without an id join components, which are named by
-    the least id in them, or null if there is none. An empty table gives an empty result; other columns are ignored.
+    the least id in them, or null if there is none; then the rows of one set are kept. An empty table gives an empty result; other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = checkpoint(profiles(own))
@@ -211,8 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = shared.join(hubs, "band").select(F.col("cid").alias("u"), F.explode(F.array_distinct(F.array("v", "w", "x"))).alias("v")).where("u <> v")
     star = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     star = checkpoint(_plausible(star, classes))
-    key = F.coalesce("doc_id", F.lit(NAMELESS))
-    texts = own.select(key.alias("cid"), "text")
+    # One text stands for all rows without an id that have its set.
+    unnamed = own.where("doc_id is null").select("text").mapInArrow(_nameless, "cid long, text string").groupBy("cid").agg(F.first("text").alias("text"))
+    texts = own.where("doc_id is not null").select(F.col("doc_id").alias("cid"), "text").unionByName(unnamed)
     links = checkpoint(confirmed(star, texts))
     roots = connected_components(links)
 
@@ -237,7 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         ends = links.select("u", "v").unionByName(more)
         roots = connected_components(ends)
-    settled = rooted(classes.select("k1", "k2", "cid")).select("k1", "k2", "root")
+    settled = rooted(classes.select("k1", "k2", "cid")).select("k1", "k2", "cid", "root")
     out = profile.select("doc_id", "n", "k1", "k2").join(settled, ["k1", "k2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("root") < NAMELESS, F.col("root")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Where no row has an id, those of the component's first set are kept.
+    kept = F.when(F.col("root") >= NAMELESS, F.col("cid") == F.col("root")).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))

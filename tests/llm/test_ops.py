@@ -410,6 +410,22 @@ def test_near_duplicates_odd_rows(docs, none):
     assert by[3]["kept"] and by[3]["n_shingles"] == 0 and by[None]["component_id"] is None
 
 
+def test_near_duplicates_without_ids(spark):
+    def like(seed, changed):
+        words = prose(seed, 120).split()
+        return " ".join("changed" if k in changed else w for k, w in enumerate(words))
+
+    # Two ends that are linked through a row without an id only, near copies without ids, and one that has no copy.
+    rows = [(1, like(31, [5, 40])), (None, like(31, [])), (2, like(31, [70, 100])), (None, prose(32, 120)), (None, like(33, [])), (None, like(33, [60])), (3, like(34, [])), (None, like(34, [60]))]
+    assert not brute_components([r for r in rows if r[0]])[2][1] == 1
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, no long").repartition(3)
+    want = brute_components([(k if k else 1000 + n, t) for n, (k, t) in enumerate(rows)])
+    got = sorted(minhash.near_duplicates(df).collect(), key=str)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {1: 1, 2: 1, 3: 3} == {k: want[k][1] for k in (1, 2, 3)}
+    # Of the five rows without an id two go with names, two are near copies and one is alone.
+    assert sorted((r["component_id"] or 0, r["kept"]) for r in got if r["doc_id"] is None) == [(0, False), (0, True), (0, True), (1, False), (3, False)]
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.9):
