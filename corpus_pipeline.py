@@ -18,10 +18,15 @@ from paperloom.llm.common import checkpoint, shared_checkpoints, table
 BROADCAST_IDS = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the given ids. Documents without an id stay, as nothing can name them."""
-    ids = checkpoint(ids.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row, a 62-bit hash of id and text: rows without an id have one too, and different texts of one id have different ones."""
+    return docs.withColumn("_row", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``keyed`` without the rows of the given keys."""
+    rows = checkpoint(rows.select("_row").distinct())
+    return keyed.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "_row", "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +37,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each component of near-duplicates. Repeated rows of an id are one document; documents without an id stay, one for each text."""
-    judged = minhash.near_duplicates(docs)
-    kept = _without(docs, judged.where("not kept"))
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return kept.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    """Keep the document with the least id of each component of near-duplicates. Rows of one id and text are one document, different texts of an id are several. A component without any id keeps one of its texts."""
+    keyed = _keyed(docs)
+    judged = minhash.near_duplicates(keyed.select("_row", "text"), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    placed = checkpoint(judged.join(keyed.select("_row", "doc_id").distinct(), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row"))
+    least = checkpoint(placed.groupBy("component_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("first._row").alias("first")))
+    gone = placed.join(least, "component_id").where(F.col("_row") != F.col("first"))
+    return _without(keyed, gone).dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that hold a benchmark item, if with other numbers, names or units."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    found = decontaminate.contaminated(keyed.select("_row", "text"), table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _without(keyed, found.select(F.col("doc_id").alias("_row"))).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

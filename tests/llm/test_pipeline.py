@@ -51,3 +51,15 @@ def test_stages_on_odd_rows(spark, corpus):
     rows = corpus_pipeline.near_dedup(spark, docs, corpus[0]).collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 10]
     assert sum(r["doc_id"] is None for r in rows) == 1
+
+
+def test_rows_without_or_with_shared_ids(spark, corpus):
+    item, near = corpus[2], prose(700, 90).split()
+    rows = [(1, prose(701, 60)), (1, prose(702, 60)), (1, prose(702, 60)), (None, prose(703, 60)), (None, prose(703, 60)), (None, " ".join(near)), (None, " ".join([*near[:-1], "end"]))]
+    rows += [(None, prose(704, 20) + " " + item + " " + prose(705, 9)), (2, prose(706, 20) + " " + item), (2, prose(707, 60)), (9, prose(708, 60)), (None, prose(708, 60) + " end"), (7, prose(708, 60) + " stop")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, corpus[0]).collect()}
+    ends = {x for x in found if x in rows[5:7]}
+    assert len(ends) == 1 and found == {*rows[:2], rows[3], *ends, *rows[7:10], rows[12]}
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, docs, corpus[0]).collect()]
+    assert sorted(clean, key=str) == sorted(rows[:7] + rows[9:], key=str)
