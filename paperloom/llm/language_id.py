@@ -72,7 +72,12 @@ class Scorer:
         return out
 
     def forward(self, text: str) -> list[float]:
-        """Sums are scaled for each language on its own where they get small, so that long words do not vanish."""
+        """Sums of a short text are plain ones, unless one of them gets so small that it loses digits or vanishes: then all are worked out again with scaling, as for long texts."""
+        logs = self._sums(text, len(text) > 60)
+        return logs if min(logs, default=0.0) > -650.0 or len(text) > 60 else self._sums(text, True)
+
+    def _sums(self, text: str, scaled: bool) -> list[float]:
+        """With ``scaled``, sums are scaled for each language on its own where they get small, so that words do not vanish."""
         k, n = len(self.model.languages), len(text)
         alpha = [[0.0] * k for _ in range(n + 1)]
         alpha[0] = [1.0] * k
@@ -80,7 +85,7 @@ class Scorer:
         strange, pieces, langs = [STRANGE] * k, self.model.pieces, range(k)
         at_now = 0
         for at, end, part in self.arcs(text):
-            if at != at_now and n > 60:
+            if at != at_now and scaled:
                 at_now = at
                 for j in langs:
                     if alpha[at][j] < 1e-150:
