@@ -1,4 +1,4 @@
-"""MinHash near-duplicates: banded candidates, b-bit estimates, exact confirmation, components."""
+"""MinHash near-duplicates: banded candidates, b-bit estimates, differences to centres, exact confirmation, components."""
 
 from __future__ import annotations
 
@@ -18,6 +18,10 @@ BANDS, ROWS = 24, 3
 NUMERATOR, DENOMINATOR = 75, 100
 #: A pair is checked on full sets unless its estimate lies 5.5 standard deviations of the estimator under the threshold.
 SLACK = 0.155
+#: Members of a band whose estimate with their centre is this high meet each other through their differences to it.
+NEAR = 0.55
+#: Members of a band that are held against each other as they are; a larger band is split by further minima.
+CROWD = 512
 #: Most candidate pairs that are broadcast instead of shuffling the texts.
 BROADCAST_PAIRS = 200_000
 #: Ids of vertices without a document id start here.
@@ -154,44 +158,116 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(may_link(F.col("nu"), F.col("su"), F.col("nv"), F.col("sv"))).select("u", "v").distinct()
 
 
+def _met(batch: pa.RecordBatch, shingler: Shingler, state: dict) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
+    """(u, v, asks, set of u, set of v). Rows come by (v, salt), the text of v first; only its set is kept."""
+    for v, salt, u, asks, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        if (v, salt) != state.get("now"):
+            state.update(now=(v, salt), sets=[])
+        own = shingler.shingles(text)
+        if u is None:
+            state["sets"].append(own)
+            continue
+        for other in state["sets"]:
+            yield u, v, asks, own, other
+
+
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by (v, salt), the text of v first; only its set is kept."""
-    shingler, now, sets = Shingler(), None, []
+    shingler, state = Shingler(), {}
     for batch in batches:
-        found: list[tuple[int, int]] = []
-        for v, salt, u, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if (v, salt) != now:
-                now, sets = (v, salt), []
-            s = shingler.shingles(text)
-            if u is None:
-                sets.append(s)
-                continue
-            for other in sets:
-                common = len(np.intersect1d(s, other, assume_unique=True))
-                if DENOMINATOR * common >= NUMERATOR * (len(s) + len(other) - common) > 0:
-                    found.append((u, v))
-                    break
+        found = set()
+        for u, v, _, own, other in _met(batch, shingler, state):
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if DENOMINATOR * common >= NUMERATOR * (len(own) + len(other) - common) > 0:
+                found.add((u, v))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["u", "v"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, group: int = 64) -> DataFrame:
-    """The pairs (u, v) that are links, checked on full sets.
+def answering(own: int, centre: int, apart: int) -> int:
+    """How many of the ``apart`` elements of y's difference to a centre h must be listed, so that every x that is linked to y but not to h meets one of them.
+
+    Differences D = . ^ h have D(x) ^ D(y) = x ^ y, and a similarity of 3/4 is 7 |x ^ y| <= |x| + |y|. As 7 |D(x)| > |x| + |h|,
+    2 |D(x) & D(y)| = |D(x)| + |D(y)| - |x ^ y| > |D(y)| + (|h| - |y|) / 7; all but so many elements, less one, must hold a common one.
+    """
+    return max(0, apart - ((7 * apart + centre - own) // 14 + 1) + 1)
+
+
+def _differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, element, cid, asks, answers): the elements in which a set and its centre differ; those that the centre lacks answer first, as they are the rarer ones."""
+    shingler, state = Shingler(), {}
+    for batch in batches:
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+        for u, v, asks, own, other in _met(batch, shingler, state):
+            apart = np.concatenate([np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)]).view(np.int64)
+            least = answering(len(own), len(other), len(apart))
+            n = len(apart) if asks else least
+            for k, x in enumerate((np.full(n, v), apart[:n], np.full(n, u), np.full(n, asks), np.arange(n) < least)):
+                found[k].append(x)
+        columns = [np.concatenate(x) for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(bool) if k > 2 else x, pa.bool_() if k > 2 else pa.int64()) for k, x in enumerate(columns)], ["hub", "element", "cid", "asks", "answers"])
+
+
+def _side_by_side(pairs: DataFrame, texts: DataFrame, work, schema: str, group: int) -> DataFrame:
+    """``work`` over the texts of pairs (u, v, asks).
 
     ``pairs`` should be checkpointed: it is counted first. Up to BROADCAST_PAIRS pairs go to the texts as a broadcast of at most
-    twice as many rows of four numbers (about 13 MB); more of them meet the texts in a shuffle by id.
+    twice as many rows of five values (about 14 MB); more of them meet the texts in a shuffle by id.
 
     The text of v is sent once for each ``group`` partners, and each task streams them past its set, so
     that a hot v is dealt over many tasks and no task holds more than one pair of sets.
     """
     many = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
-    dealt = pairs.join(many, "v").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("salt"), "u")
-    own = F.col("v").alias("cid"), "v", "salt", F.lit(None).cast("long").alias("u")
-    ends = dealt.select(F.col("u").alias("cid"), "v", "salt", "u").unionByName(dealt.select("v", "salt").distinct().select(*own))
+    dealt = pairs.join(many, "v").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("salt"), "u", "asks")
+    own = F.col("v").alias("cid"), "v", "salt", F.lit(None).cast("long").alias("u"), F.lit(False).alias("asks")
+    ends = dealt.select(F.col("u").alias("cid"), "v", "salt", "u", "asks").unionByName(dealt.select("v", "salt").distinct().select(*own))
     if pairs.count() <= BROADCAST_PAIRS:
         ends = F.broadcast(ends)
-    rows = texts.join(ends, "cid").select("v", "salt", "u", "text")
-    rows = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
-    return rows.mapInArrow(_confirm, "u long, v long").distinct()
+    rows = texts.join(ends, "cid").select("v", "salt", "u", "asks", "text")
+    return rows.repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first()).mapInArrow(work, schema)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, group: int = 64) -> DataFrame:
+    """The pairs (u, v) that are links, checked on full sets."""
+    return _side_by_side(pairs.select("u", "v", F.lit(False).alias("asks")), texts, _confirm, "u long, v long", group).distinct()
+
+
+def around_centres(placed: DataFrame, texts: DataFrame, group: int = 64) -> DataFrame:
+    """Candidate pairs (u, v) of different components among ``placed(cid, hub, root, asks)``: classes that are like a common centre.
+
+    A class that is not in its centre's component asks with all elements in which it differs from the centre, the others answer with
+    as many of theirs as a link between the two needs. Near copies that lie in different places around a centre share
+    few such elements, so that what meets does not follow the square of the group, and no link is lost.
+    """
+    pairs = checkpoint(placed.where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v"), "asks"))
+    rows = _side_by_side(pairs, texts, _differ, "hub long, element long, cid long, asks boolean, answers boolean", group)
+    rows = checkpoint(rows.join(placed.select("cid", "hub", "root"), ["cid", "hub"]))
+    asking, answering_ = rows.where("asks").alias("a"), rows.where("answers").alias("b")
+    met = asking.join(answering_, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.root") != F.col("b.root")))
+    return met.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct()
+
+
+def split_bands(shared: DataFrame) -> DataFrame:
+    """Rows ``shared(cid, band, no, sig, c, ...)`` of bands of c, more than CROWD, rows, with the band replaced by several longer keys.
+
+    A key adds one, two or three groups of four further minima (their low bits, from the signature) to the band. A pair at the threshold
+    keeps a band with a chance of 0.81 or more; as it shares ten of the 24 bands on the average, it loses all of them with one of 1e-4 at the most. Rows unlike
+    each other, such as texts around a common passage, part by a factor of 100 with each group.
+    """
+    level = F.when(F.col("c") <= CROWD * 100, 1).when(F.col("c") <= CROWD * 10_000, 2).otherwise(3)
+
+    def quarter(k: Column) -> Column:
+        """Four minima from the 176 of the last eleven words."""
+        k = F.pmod(k, F.lit(44))
+        word = F.get("sig", (F.floor(k / 4) + 5).cast("int"))
+        part = F.pmod(k, F.lit(4))
+        return F.when(part == 0, word.bitwiseAND(0xFFFF)).when(part == 1, F.shiftrightunsigned(word, 16).bitwiseAND(0xFFFF)).when(part == 2, F.shiftrightunsigned(word, 32).bitwiseAND(0xFFFF)).otherwise(F.shiftrightunsigned(word, 48))
+
+    def key(j: Column) -> Column:
+        more = [F.when(F.col("level") > t, quarter(F.col("no") * 5 + j * (2 * t + 1) + 13 * t)).otherwise(F.lit(0).cast("long")) for t in range(3)]
+        return F.xxhash64("band", j, *more)
+
+    last = F.element_at(F.array(*[F.lit(n - 1) for n in (4, 14, 42)]), F.col("level"))
+    out = shared.withColumn("level", level)
+    return out.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), last), key))).drop("level")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,8 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Classes that share a band (24 bands of 3 minima; a pair at the threshold shares none with a chance of 2e-6) are linked
        to the band's class of least id, to its smallest one (texts around a shared passage link to the shortest of them if to any) and to the one whose bands
        are shared most (the middle of a group of near copies): three candidates for each row, however large the band. Set sizes and b-bit estimates drop hopeless ones, the rest is confirmed on full sets.
-    3. Where a band still holds several components, the members outside its largest component are held against those of other
-       components, within the join by sizes and estimates, and what is left is confirmed, so that no link between different sets depends on the choice of centres.
+    3. Where a band still holds several components, its members fall in two kinds. Those like their centre (estimate of NEAR or more) meet through
+       their differences to it (``around_centres``). Any other pair is held against each other within the join by sizes and estimates, in bands of
+       up to CROWD rows, or in the longer keys that larger ones are split by (``split_bands``). What is left is confirmed, so no link between different sets depends on the choice of centres.
 
     A null or text without words has no shingles and is its own component. Ids are taken as names of documents: repeated rows are one
     document, and if an id comes with several texts all of them count for it. Documents without an id join components, which are named by
@@ -220,7 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = checkpoint(banded.select("cid", "no", "band").join(buckets, "band"))
     # How many share a class's bands: in a group of near copies, most for those that are most like the others.
     liked = shared.groupBy("cid").agg(F.sum("c").alias("liked"))
-    hubs = shared.select("cid", "band").join(liked, "cid").groupBy("band").agg(F.max(F.struct("liked", (-F.col("cid")).alias("minus"))).alias("most")).select("band", (-F.col("most.minus")).alias("x"))
+    hubs = shared.select("cid", "band").join(liked, "cid").groupBy("band").agg(F.max(F.struct("liked", (-F.col("cid")).alias("minus"))).alias("most"))
+    ranked = checkpoint(hubs)
+    hubs = ranked.select("band", (-F.col("most.minus")).alias("x"))
     star = shared.join(hubs, "band").select(F.col("cid").alias("u"), F.explode(F.array_distinct(F.array("v", "w", "x"))).alias("v")).where("u <> v")
     star = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     star = checkpoint(_plausible(star, classes))
@@ -233,20 +312,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
-    # Bands of one component only need no further look, and most bands are such.
-    shared = rooted(shared.select("cid", "no", "band"))
-    by_root = shared.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_root.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rows = shared.join(mixed.select("band", F.col("top.root").alias("top")), "band").select("band", "no", "cid", "root", "top")
-    rows = checkpoint(rows.join(classes.select("cid", "n", "sig", "bands"), "cid"))
-    few, every = rows.where("root <> top").alias("a"), rows.alias("b")
-    # A pair counts in the first band that it shares, and once if neither end is of the largest component.
-    earlier = F.exists(F.zip_with(F.slice("a.bands", F.lit(1), F.col("a.no")), F.slice("b.bands", F.lit(1), F.col("b.no")), lambda x, y: x.eqNullSafe(y)), lambda e: e)
-    once = (F.col("b.root") == F.col("b.top")) | (F.col("a.cid") < F.col("b.cid"))
-    meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & once
-    cross = few.join(every, meets & may_link(F.col("a.n"), F.col("a.sig"), F.col("b.n"), F.col("b.sig")) & ~earlier)
-    cross = cross.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct()
-    cross = checkpoint(cross.join(star, ["u", "v"], "left_anti"))
+    # Each class takes the best centre of its bands, so that a group of near copies has one, whatever bands its members share.
+    centre = F.max("most").alias("most")
+    placed = rooted(shared.select("cid", "band").join(ranked, "band").groupBy("cid").agg(centre).select("cid", (-F.col("most.minus")).alias("hub")))
+    of_hub = placed.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
+    hub_roots = rooted(of_hub.select(F.col("hub").alias("cid"))).select(F.col("cid").alias("hub"), F.col("root").alias("hub_root"))
+    own = classes.select("cid", "sig")
+    near = placed.join(hub_roots, "hub").join(own, "cid").join(own.toDF("hub", "hub_sig"), "hub").where(estimate(F.col("sig"), F.col("hub_sig")) >= NEAR)
+    near = checkpoint(near.select("cid", "hub", "root", (F.col("root") != F.col("hub_root")).alias("asks")).distinct())
+    cross = _plausible(around_centres(near, texts), classes)
+
+    # Bands of one component, and those of one centre's group, need no further look, and most bands are such.
+    shared = rooted(shared.select("cid", "no", "band")).join(near.select("cid", "hub"), "cid", "left")
+    marks = [f(c).alias(f"{f.__name__}_{c}") for c in ("root", "hub") for f in (F.min, F.max)]
+    mixed = shared.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count("hub").alias("placed"), *marks)
+    mixed = mixed.where("min_root <> max_root and not (placed = c and min_hub = max_hub)").select("band", "c")
+    rows = checkpoint(shared.join(mixed, "band").join(classes.select("cid", "n", "sig"), "cid"))
+    kept = ["band", "cid", "root", "n", "sig", "hub"]
+    rows = checkpoint(rows.where(F.col("c") <= CROWD).select(kept).unionByName(split_bands(rows.where(F.col("c") > CROWD)).select(kept)))
+    left, right = rows.alias("a"), rows.alias("b")
+    meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root")) & ~F.coalesce(F.col("a.hub") == F.col("b.hub"), F.lit(False))
+    apart = left.join(right, meets & may_link(F.col("a.n"), F.col("a.sig"), F.col("b.n"), F.col("b.sig")))
+    apart = apart.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v"))
+    cross = checkpoint(cross.unionByName(apart).distinct().join(star, ["u", "v"], "left_anti"))
     more = checkpoint(confirmed(cross, texts))
     if not more.isEmpty():
         ends = links.select("u", "v").unionByName(more)

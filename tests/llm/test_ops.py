@@ -402,6 +402,47 @@ def test_near_duplicates_are_exact(spark):
     assert got == brute_components(rows)
 
 
+def test_differences_to_a_centre_lose_no_link():
+    rng = random.Random(8)
+
+    def changed(s, gone, new):
+        return (s - set(rng.sample(sorted(s), gone))) | set(rng.sample(range(1000, 1400), new))
+
+    linked = 0
+    for _ in range(20_000):
+        centre = set(rng.sample(range(1000), rng.randint(10, 60)))
+        x = changed(centre, rng.randint(0, len(centre) // 2), rng.randint(0, 14))
+        y = changed(x, rng.randint(0, len(x) // 6), rng.randint(0, 5))
+        like = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+        if like(x, y) and not like(x, centre):
+            linked += 1
+            apart = sorted(y - centre) + sorted(centre - y)
+            rng.shuffle(apart)
+            assert set(apart[: minhash.answering(len(y), len(centre), len(apart))]) & (x ^ centre)
+    assert linked > 500
+
+
+@pytest.mark.parametrize("crowd", [512, 4])
+def test_large_group_of_near_copies(spark, monkeypatch, crowd):
+    """Copies that link to each other but not to the group's centre, beside texts that share a passage only."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    rng = random.Random(21)
+    base, passage, rows = prose(700, 150).split(), prose(701, 60), []
+    for k in range(220):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"word{rng.randint(0, 9999)}"
+        rows.append((3 * k, " ".join(w)))
+        if k % 3 == 0:
+            w[rng.randrange(len(w))] = "again"
+            rows.append((3 * k + 1, " ".join(w)))
+        rows.append((3 * k + 2, f"{prose(800 + k, rng.randint(10, 90))} {passage} {prose(1200 + k, 20)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    want = brute_components(rows)
+    assert got == want and 20 < sum(k for _, _, k in want.values()) - 220
+
+
 def test_near_duplicates_odd_rows(docs, none):
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == len(odd_rows()) and minhash.near_duplicates(none).count() == 0
