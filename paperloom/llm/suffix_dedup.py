@@ -11,17 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, whole_text
+from .common import checkpoint, stored, whole_text
 from .minhash import mix
 
 LENGTH = 400
 GRAM = 64
 #: Positions of one piece of a text; longer texts are worked on in overlapping pieces.
 PIECE = 1 << 20
-#: Most distinct surroundings of an anchor that one suffix array takes; more of them are settled by window hashes instead.
+#: Most distinct surroundings of an anchor that one suffix array takes; runs of more of them are split into blocks of windows.
 GROUP = 512
-#: Windows of one block where windows are settled by hashes.
-BLOCK = 16
+#: Windows of one block, level by level.
+BLOCKS = (96, 16, 4, 1)
 #: Bytes of neighbouring groups that share one suffix array.
 CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -89,12 +89,12 @@ def runs(data: bytes, length: int = LENGTH) -> list[np.ndarray]:
 
 
 def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["k1", "k2", "ord", "h", "rh", "s", "w", "a"]
+    names = ["k1", "k2", "ord", "n", "h", "rh", "s", "w", "a"]
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            keys = [part.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            found = [runs(t.encode("utf-8", "surrogatepass")) for t in part.column(3).to_pylist()]
+            keys = [part.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            found = [runs(t.encode("utf-8", "surrogatepass")) for t in part.column(4).to_pylist()]
             sizes = [len(x[0]) for x in found]
             columns = [np.repeat(k, sizes) for k in keys] + [np.concatenate([x[k] for x in found]).astype(np.uint64).view(np.int64) if k < 2 else np.concatenate([x[k] for x in found]).astype(np.int64) for k in range(5)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
@@ -201,9 +201,12 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
 # --- the distributed operator --------------------------------------------------------------------------------------
 
 
+RUN = "k1 long, k2 long, ord long, h long, s long, w long, a long, m long, content binary"
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs asked for, each different run of a text once."""
-    names = ["k1", "k2", "ord", "h", "s", "content"]
+    names = ["k1", "k2", "ord", "h", "s", "w", "a", "m", "content"]
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             part = batch.slice(at, 100)
@@ -213,39 +216,33 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in sorted(asked, key=lambda r: r["s"]):
                     if (key := (r["h"], r["rh"])) not in seen:
                         seen.add(key)
-                        rows.append((k1, k2, r["ord"], r["h"], r["s"], data[r["s"] : r["s"] + r["w"] - 1 + LENGTH]))
-            types = [pa.int64()] * 5 + [pa.binary()]
+                        rows.append((k1, k2, r["ord"], r["h"], r["s"], r["w"], r["a"], r["m"], data[r["s"] : r["s"] + r["w"] - 1 + LENGTH]))
+            types = [pa.int64()] * 8 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
-def _extract_blocks(size: int):
-    """Blocks of up to ``size`` windows of the runs asked for, cut by the windows' distance from their anchor, so that equal windows lie in blocks of one name.
+def _split(size: int):
+    """Blocks of up to ``size`` of the windows asked for, cut by the windows' distance from their anchor, so that equal windows lie in blocks of one name.
 
+    Rows are (k1, k2, ord, h, run, s, w, a, content): w windows from s on, the anchor a bytes behind s, within the run that starts at ``run``.
     ch: hash of the bytes that all windows of such a block share, wherever it is cut; fh: hash of all bytes of its windows.
     """
-    names = ["k1", "k2", "ord", "h", "s", "w", "a", "ch", "fh"]
+    names = ["k1", "k2", "ord", "h", "run", "s", "w", "a", "ch", "fh"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for at in range(0, batch.num_rows, 1000):
                 out: list[list] = [[] for _ in names]
-                for k1, k2, text, asked in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    data, seen = text.encode("utf-8", "surrogatepass"), set()
-                    for r in sorted(asked, key=lambda r: r["s"]):
-                        if (key := (r["h"], r["rh"])) in seen:
-                            continue
-                        seen.add(key)
-                        w, a = r["w"], r["a"]
-                        h8, _ = gram_hashes(np.frombuffer(data[r["s"] : r["s"] + w - 1 + LENGTH], np.uint8))
-                        block = np.arange((a - w + 1) // size, a // size + 1)
-                        low, high = a - (block + 1) * size + 1, a - block * size
-                        first, last = np.maximum(low, 0), np.minimum(high, w - 1)
-                        core = mix(_span_hashes(h8, high, low + LENGTH) + block.astype(np.uint64) * np.uint64(_BASE))
-                        full = mix(_span_hashes(h8, first, last + LENGTH) + (a - first).astype(np.uint64) * np.uint64(_BASE))
-                        same = np.ones(len(block), np.int64)
-                        for k, x in enumerate((k1 * same, k2 * same, r["ord"] * same, r["h"] * same, first + r["s"], last - first + 1, a - first, core.view(np.int64), full.view(np.int64))):
-                            out[k].append(x)
+                for k1, k2, ord_, h, run, s, w, a, content in zip(*(x.to_pylist() for x in batch.slice(at, 1000).columns), strict=True):
+                    h8, _ = gram_hashes(np.frombuffer(content, np.uint8)[s - run : s - run + w - 1 + LENGTH])
+                    block = np.arange((a - w + 1) // size, a // size + 1)
+                    low, high = a - (block + 1) * size + 1, a - block * size
+                    first, last = np.maximum(low, 0), np.minimum(high, w - 1)
+                    core = mix(_span_hashes(h8, high, low + LENGTH) + block.astype(np.uint64) * np.uint64(_BASE))
+                    full = mix(_span_hashes(h8, first, last + LENGTH) + (a - first).astype(np.uint64) * np.uint64(_BASE))
+                    same = np.ones(len(block), np.int64)
+                    for k, x in enumerate((k1 * same, k2 * same, ord_ * same, h * same, run * same, first + s, last - first + 1, a - first, core.view(np.int64), full.view(np.int64))):
+                        out[k].append(x)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names)
 
@@ -264,7 +261,7 @@ def _settle(earlier_only: bool):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 8)), strict=True):
                 if size >= CHUNK and row[3] != held[-1][3]:
                     yield flush(held)
                     held, size = [], 0
@@ -302,7 +299,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends): the bytes of each document that belong to a repeated 400-byte string.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, starts, ends): the bytes of each document that belong to a repeated 400-byte string.
 
     With ``keep_first`` the first copy of a string stays (by least id of the text, then from the left): bytes are removed only where an
     earlier match exists. Copies of one text count as one text then, and all stay. Without it every copy goes.
@@ -312,26 +309,29 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc
     2. A run whose bytes are all around its anchor wherever that occurs is repeated as a whole; nothing of it is read again.
     3. Elsewhere one copy of each different run is fetched from its text, and a suffix array over the runs of the same anchors with its longest previous
        factors tells which windows have an earlier match, and from the right which have a later one.
-    4. An anchor with more than GROUP different runs (a passage in very many places) is settled by hashes, counted with partial aggregation, so that no
-       group has to fit into a task: first of blocks of 16 windows, then, where blocks share their common bytes but not all, of one copy's single windows.
+    4. The runs of an anchor with more than GROUP different ones (a passage in very many places) are split, so that no group has to fit into a task. Blocks of
+       96 windows, equal in the bytes that all their windows share, stay together; all alike, they are repeated, and alone they are not. Those left
+       are split into blocks of 16, 4 and 1 windows: about four rows for each place where a passage ends, at every level.
 
-    Texts are known by a 128-bit key, so copies are worked on once. A null text is empty; texts under 400 bytes never match. Repeated
+    Texts are known by a 128-bit key and worked on once, however often they occur. A null text is empty; texts under 400 bytes never match. Repeated
     rows are further places and so matches of each other; an empty table gives an empty result; other columns are ignored.
     """
     text = whole_text(text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(LENGTH), text).alias("k2"))
-    ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    found = own.select("k1", "k2", ord_.alias("ord"), "text").where(F.octet_length("text") >= LENGTH)
-    found = found.mapInArrow(_emit_runs, "k1 long, k2 long, ord long, h long, rh long, s long, w long, a long")
-    anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("lo"), F.max("rh").alias("hi"), F.min("ord").alias("first")).where("n > 1")
-    shared = found.join(anchors.drop("n"), "h")
-    keys = ["k1", "k2", "h", "rh", "s", "w", "a", "lo", "hi", "first"]
-    shared = checkpoint(shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")))
+    # Texts without an id come last, in the order of a hash.
+    ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned("k1", 2))
+    # Hash-partitioned by the key, so that joins by it move only what is joined to them.
+    texts = own.select("k1", "k2", ord_.alias("ord"), "text").groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    found = texts.where(F.octet_length("text") >= LENGTH)
+    found = stored(found.mapInArrow(_emit_runs, "k1 long, k2 long, ord long, n long, h long, rh long, s long, w long, a long"))
+    # A table of its own, so that the join below may split an anchor that very many texts share.
+    anchors = found.groupBy("h").agg(F.sum("n").alias("all"), F.min("rh").alias("lo"), F.max("rh").alias("hi"), F.min("ord").alias("first")).where("all > 1")
+    shared = checkpoint(found.join(checkpoint(anchors.drop("all")), "h"))
 
     whole = shared.where("lo = hi").select("k1", "k2", "h", "rh", "s", "w", (F.col("ord") == F.col("first")).alias("is_first"))
     mixed = shared.where("lo <> hi").select("k1", "k2", "h", "rh", "s", "w", "a", "n", "ord")
-    counts = mixed.groupBy("h", "rh").agg(F.sum("n").alias("c"), F.min("ord").alias("rep"))
-    counts = counts.join(counts.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h")
+    counts = checkpoint(mixed.groupBy("h", "rh").agg(F.sum("n").alias("c"), F.min("ord").alias("rep")))
+    counts = checkpoint(counts.join(counts.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h"))
     mixed = mixed.join(counts, ["h", "rh"])
     whole = whole.unionByName(mixed.where("c > 1").select("k1", "k2", "h", "rh", "s", "w", (F.col("ord") == F.col("rep")).alias("is_first")))
     if keep_first:
@@ -340,34 +340,32 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc
         whole = whole.join(left, ["k1", "k2", "h", "rh"], "left").where("not is_first or s > left")
     whole = whole.select("k1", "k2", "s", "w")
 
-    texts = own.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-
-    def fetched(asked: DataFrame, work, schema: str) -> DataFrame:
-        asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "rh", "s", "w", "a", "ord")).alias("asked"))
-        return texts.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(work, schema)
-
-    asked = mixed.where("ord = rep").select("k1", "k2", "h", "rh", "s", "w", "a", "ord", "m")
-    grouped = fetched(asked.where(F.col("m") <= GROUP), _extract, "k1 long, k2 long, ord long, h long, s long, content binary")
+    asked = mixed.where("ord = rep").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "rh", "s", "w", "a", "m", "ord")).alias("asked"))
+    fetched = checkpoint(texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("k1", "k2", "text", "asked").mapInArrow(_extract, RUN))
+    grouped = fetched.where(F.col("m") <= GROUP)
     grouped = grouped.repartition("h").sortWithinPartitions("h", "ord", "s").mapInArrow(_settle(keep_first), "k1 long, k2 long, s long, w long")
 
-    def repeated_blocks(asked: DataFrame, size: int) -> DataFrame:
+    def blocks_of(asked: DataFrame, size: int) -> DataFrame:
         """Blocks with the number of equal ones (c), the first of them, and the number of different ones around the same shared bytes (m)."""
-        blocks = fetched(asked, _extract_blocks(size), "k1 long, k2 long, ord long, h long, s long, w long, a long, ch long, fh long")
-        equal = blocks.groupBy("h", "ch", "fh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "s")).alias("least"))
+        blocks = checkpoint(asked.select("k1", "k2", "ord", "h", "run", "s", "w", "a", "content").mapInArrow(_split(size), "k1 long, k2 long, ord long, h long, run long, s long, w long, a long, ch long, fh long"))
+        equal = checkpoint(blocks.groupBy("h", "ch", "fh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "s")).alias("least")))
         around = equal.groupBy("h", "ch").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("all")).where("all > 1").drop("all")
-        return blocks.join(equal.join(around, ["h", "ch"]), ["h", "ch", "fh"])
-
-    def taken(blocks: DataFrame) -> DataFrame:
-        again = blocks.where("c > 1")
-        return (again.where(F.struct("ord", "s") > F.col("least")) if keep_first else again).select("k1", "k2", "s", "w")
-
-    blocks = checkpoint(repeated_blocks(asked.where(F.col("m") > GROUP), BLOCK))
-    edges = blocks.where((F.col("m") > 1) & (F.struct("ord", "s") == F.col("least"))).withColumnRenamed("fh", "rh")
-    windows = taken(blocks).unionByName(taken(repeated_blocks(edges, 1)))
+        equal = checkpoint(equal.join(around, ["h", "ch"]))
+        return checkpoint(blocks.join(equal, ["h", "ch", "fh"]))
+
+    hot = fetched.where(F.col("m") > GROUP).select("k1", "k2", "ord", "h", F.col("s").alias("run"), "s", "w", "a", "content")
+    windows, left_over = hot.select("k1", "k2", "s", "w").limit(0), hot
+    if not hot.isEmpty():
+        for size in BLOCKS:
+            blocks = blocks_of(left_over, size)
+            again = blocks.where("c > 1")
+            windows = windows.unionByName((again.where(F.struct("ord", "s") > F.col("least")) if keep_first else again).select("k1", "k2", "s", "w"))
+            edges = blocks.where((F.col("m") > 1) & (F.struct("ord", "s") == F.col("least"))).select("k1", "k2", "ord", "h", "run", "s", "w", "a")
+            left_over = edges.join(hot.select("k1", "k2", "h", "run", "content"), ["k1", "k2", "h", "run"])
 
     hits = whole.unionByName(grouped).unionByName(windows)
     hits = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "w")).alias("hits"))
-    done = texts.join(hits, ["k1", "k2"], "left").select("k1", "k2", "text", "hits")
+    done = texts.select("k1", "k2", "text").join(hits, ["k1", "k2"], "left").select("k1", "k2", "text", "hits")
     done = done.mapInArrow(_apply, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
     out = own.select("doc_id", "k1", "k2", ord_.alias("ord")).join(done, ["k1", "k2"])
     if keep_first:
@@ -376,7 +374,7 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc
         later = (F.col("ord") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
         gone = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(F.lit(""), 256), "starts": F.array(F.lit(0).cast("long")), "ends": F.array("n_bytes")}
         out = out.select("doc_id", "n_bytes", *[F.when(later, x).otherwise(F.col(c)).alias(c) for c, x in gone.items()])
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "starts", "ends")
 
 
 def remove_spans(text: str | None, starts: list[int], ends: list[int]) -> str:
