@@ -22,6 +22,7 @@ DENSITIES = [
     (5, "compact", False, 0.45, 0.35, 0.50, 0.93, 0, 2.0, 0.0, 3.0),
     (6, "ultra", False, 0.40, 0.30, 0.45, 0.88, 0, 1.0, 0.0, 2.0),
 ]
+NORMAL = "normal"
 DENSITY_COLUMNS = "rung int, density_id string, manual_only boolean, top double, bottom double, side double, line double, gap_lines int, gap_question double, gap_sub double, gap_header double"
 
 ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"]
@@ -51,14 +52,23 @@ NOT_INITIALS = ["ST", "MT", "DR", "MR", "MS", "JR", "SR", "THE"]
 A_BEFORE_VOWEL = ["university", "unit", "uniform", "union", "european", "one", "once", "useful", "user"]
 AN_BEFORE_CONSONANT = ["hour", "honest", "honour", "honor", "heir"]
 
-#: Words that are never taken for names.
+#: Words that are never taken for names.
 FUNCTION_WORDS = (
     "the a an and or but if then than that this these those of in on at to for from with "
     "is are was were be been being do does did have has had will would shall should can could may might must "
     "who what when where why how which whose whom not no yes it its he she they them his her their our your my "
     "write answer tick fill match complete give choose question class time sub subject academy examination half "
     "yearly correct option following blanks true false word words meaning meanings opposite opposites plural "
-    "plurals spellings poem poems statement statements"
+    "plurals spellings poem poems statement statements "
+    "too many much more most very little less few some any all both each every other another same such "
+    "here there now then also only just still even well back down out up off over under again once "
+    "first second third next last new old good bad big small long short high low right left "
+    "day days time times year years thing things people man men woman women boy boys girl girls "
+    "said say says tell tells told make makes made take takes went gone come comes came get gets got "
+    "know knows knew think thinks like likes want wants see sees look looks feel feels felt find finds "
+    "about after before between during under above because while until since though although however "
+    "meaning meanings sentence sentences paragraph essay letter application picture story stories "
+    "name names complete choose underline correct incorrect blank blanks column columns following"
 ).split()
 
 #: id, pattern, replacement, confidence

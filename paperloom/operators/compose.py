@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import COLUMN_GAP_IN, DENSITIES, DENSITY_COLUMNS, INDENT, INLINE_COLUMNS, LINE_DEVANAGARI, LINE_LATIN, PAGE_WIDTH_IN
 from ..functions.normalize import clean
-from ..functions.text import has_devanagari, width_in
+from ..functions.text import has_devanagari, shape, shape_width, width_in
 
 
 def densities(spark: SparkSession, automatic: bool = False) -> DataFrame:
@@ -16,6 +16,14 @@ def densities(spark: SparkSession, automatic: bool = False) -> DataFrame:
     return rows.where("not manual_only") if automatic else rows
 
 
+def each_density(rows: DataFrame, automatic: bool = False) -> DataFrame:
+    """Every row under each density, or each of the automatic ones."""
+    names = [c.split()[0] for c in DENSITY_COLUMNS.split(", ")]
+    kinds = [c.split()[1] for c in DENSITY_COLUMNS.split(", ")]
+    table = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(names, kinds, d)]) for d in DENSITIES if not (automatic and d[2])])
+    return rows.withColumn("_density", F.explode(table)).select(*rows.columns, "_density.*")
+
+
 def content_width(side: Column) -> Column:
     return F.lit(PAGE_WIDTH_IN) - F.lit(2.0) * side
 
@@ -47,12 +55,14 @@ def fits_at(widths: Column, cols: Column, available: Column) -> Column:
     return F.when(needed + F.lit(COLUMN_GAP_IN) * (cols - 1) <= available, F.struct(cols.cast("int").alias("cols"), F.transform(column, lambda w: w + share).alias("widths")))
 
 
-def with_packed(df: DataFrame, cells: str, available: Column, most: Column, name: str = "packed", font_pt: float = 12.0) -> DataFrame:
+def with_packed(df: DataFrame, cells: str, available: Column, most: Column, name: str = "packed", font_pt: float = 12.0, widths: Column | None = None) -> DataFrame:
     """``df`` with struct(cols, widths) of an array of cells: the most columns that fit, or as many as make full rows if those are fewer and fit as well; one column without widths if no more do.
 
     Widths and the best fit are columns of their own, as an expression within a lambda would be worked out again for every element.
     """
-    rows = df.withColumns({"_widths": F.transform(cells, lambda c: width_in(c, font_pt)), "_room": available, "_most": F.least(most, F.size(cells)).cast("int")})
+    if widths is None:
+        widths = F.transform(F.transform(cells, shape), lambda c: shape_width(c) * F.lit(float(font_pt)) / F.lit(7200.0))
+    rows = df.withColumns({"_widths": widths, "_room": available, "_most": F.least(most, F.size(cells)).cast("int")})
     tried = F.transform(F.filter(F.sequence(F.greatest(F.col("_most"), F.lit(1)), F.lit(1)), lambda c: c > 1), lambda c: fits_at(F.col("_widths"), c, F.col("_room")))
     rows = rows.withColumn("_best", F.try_element_at(F.filter(tried, lambda x: x.isNotNull()), F.lit(1)))
     n = F.size(cells)
@@ -173,9 +183,9 @@ def latest_edits(log: DataFrame) -> DataFrame:
     return last.where(~F.col("last.gone")).select("paper_id", "key", "text")
 
 
-def at_densities(blocks: DataFrame, rungs: DataFrame, font_pt: float = 12.0) -> DataFrame:
-    """Blocks under every density of a table of a few rows: gap in points, columns and their widths."""
-    rows = blocks.join(F.broadcast(rungs))
+def at_densities(blocks: DataFrame, automatic: bool = False, font_pt: float = 12.0) -> DataFrame:
+    """Blocks under every density, or every automatic one: gap in points, columns and their widths."""
+    rows = each_density(blocks, automatic)
     first = Window.partitionBy("paper_id", "rung")
     head = F.min(F.when(F.col("type") == "question", F.col("q_idx"))).over(first)
     gap = (
@@ -191,7 +201,8 @@ def at_densities(blocks: DataFrame, rungs: DataFrame, font_pt: float = 12.0) ->
     side = F.least(F.greatest(F.col("widest") + F.lit(0.45), content / F.lit(3.0)), content * F.lit(0.55))
     two = F.struct(F.lit(2).alias("cols"), F.array(side, content - F.lit(INDENT["pair"]) - side).alias("widths"))
     rows = rows.withColumns({"before_pt": gap, "_cells": F.when(F.col("type").isin("options", "inline"), F.col("cells"))})
-    rows = with_packed(rows, "_cells", available, F.col("max_cols"), font_pt=font_pt)
+    known = F.when(F.col("_cells").isNotNull(), F.col("_cells_wide")) if "_cells_wide" in blocks.columns else None
+    rows = with_packed(rows, "_cells", available, F.col("max_cols"), font_pt=font_pt, widths=known)
     rows = rows.withColumn("packed", F.when(F.col("type") == "pair", two).otherwise(F.col("packed")))
     blank = F.when((F.col("gap") == "question") & (F.col("q_idx") != F.col("first_q")), F.col("gap_lines")).otherwise(0)
     return rows.select(*blocks.columns, "rung", "density_id", "top", "bottom", "side", "line", "before_pt", blank.alias("blank_lines"), F.coalesce(F.col("packed.cols"), F.when(F.col("cells").isNotNull(), F.size("cells"))).alias("cols"), F.col("packed.widths").alias("widths"))

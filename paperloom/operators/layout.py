@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CUT_BREATH_PT, MAX_BLANK_LINES, PAGE_HEIGHT_IN, SAFETY
+from ..constants import CUT_BREATH_PT, DENSITIES, LINE_DEVANAGARI, LINE_LATIN, MAX_BLANK_LINES, NORMAL, PAGE_HEIGHT_IN, SAFETY
 from ..functions import patterns as P
-from ..functions.text import line_count, width_in
-from .compose import content_width, line_height
+from ..functions.text import has_devanagari, lines_of_width, shape, shape_width, width_in
+from .compose import content_width
 
 
 def capacity(top: Column, bottom: Column) -> Column:
@@ -20,27 +20,66 @@ def block_text() -> Column:
     return F.when(F.col("cells").isNotNull(), F.array_join("cells", " ")).otherwise(F.concat(F.coalesce("text", F.lit("")), right))
 
 
-def cell_lines(font_pt: float = 12.0) -> Column:
+def measured(blocks: DataFrame, font_pt: float = 12.0) -> DataFrame:
+    """``blocks`` with the measures that no density changes: _wide, _right_wide and _cells_wide in inches, and _hindi. Taken before blocks are laid out at every density."""
+    shapes = F.transform("cells", shape)
+    own = {"_wide": width_in(F.col("text"), font_pt), "_right_wide": width_in(F.col("right_text"), font_pt), "_shapes": shapes, "_hindi": F.coalesce(has_devanagari(block_text()), F.lit(False))}
+    rows = blocks.withColumns(own)
+    return rows.withColumn("_cells_wide", F.transform("_shapes", lambda c: shape_width(c) * F.lit(float(font_pt)) / F.lit(7200.0))).drop("_shapes")
+
+
+MEASURES = ["_wide", "_right_wide", "_cells_wide", "_hindi"]
+
+
+def cell_lines() -> Column:
     cols = F.greatest(F.coalesce("cols", F.lit(1)), F.lit(1))
-    return F.transform("cells", lambda c, i: F.when(F.col("widths").isNull(), F.lit(1).cast("long")).otherwise(line_count(c, font_pt, F.element_at("widths", (i % cols + 1).cast("int")) - F.lit(0.1))))
+    room = lambda i: F.element_at("widths", (i % cols + 1).cast("int")) - F.lit(0.1)
+    return F.transform("_cells_wide", lambda c, i: F.when(F.col("widths").isNull(), F.lit(1).cast("long")).otherwise(lines_of_width(c, room(i), c == 0.0)))
 
 
-def block_lines(font_pt: float = 12.0) -> Column:
-    """Lines of a block whose cells' lines are the column _each: the sum over its rows of cells of the most lines in a row, or those of its text beside what stands at the right."""
+def block_lines() -> Column:
+    """Lines of a measured block whose cells' lines are the column _each: the sum over its rows of cells of the most lines in a row, or those of its text beside what stands at the right."""
     n = F.size("cells")
     cols = F.greatest(F.coalesce("cols", F.lit(1)), F.lit(1))
     rows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / cols).cast("int")), lambda r: F.array_max(F.slice("_each", (r * cols + 1).cast("int"), cols)))
     grid = F.aggregate(rows, F.lit(0).cast("long"), lambda s, x: s + x)
-    beside = F.when(F.col("right_text").isNotNull(), width_in(F.col("right_text"), font_pt) + F.lit(0.25)).otherwise(F.lit(0.0))
-    plain = line_count(F.col("text"), font_pt, content_width(F.col("side")) - F.col("indent") - beside)
+    beside = F.when(F.col("right_text").isNotNull(), F.col("_right_wide") + F.lit(0.25)).otherwise(F.lit(0.0))
+    plain = lines_of_width(F.col("_wide"), content_width(F.col("side")) - F.col("indent") - beside, F.coalesce("text", F.lit("")) == "")
     return F.when(F.col("cells").isNotNull(), F.greatest(grid, F.lit(1).cast("long"))).otherwise(plain)
 
 
 def with_heights(blocks: DataFrame, font_pt: float = 12.0) -> DataFrame:
     """Heights in points; what is added up later is whole hundredths of a thousandth, so that no order of addition matters."""
-    height = F.when(F.col("type") == "rule", F.lit(font_pt * 0.45) * F.col("line")).otherwise(block_lines(font_pt) * line_height(block_text(), F.col("line"), font_pt)) + F.col("before_pt")
-    blocks = blocks.withColumn("_each", cell_lines(font_pt))
-    return blocks.withColumns({"height_u": F.round(height * 100000).cast("long"), "before_u": F.round(F.col("before_pt") * 100000).cast("long"), "capacity_u": F.floor(capacity(F.col("top"), F.col("bottom")) * 100000).cast("long")}).drop("_each")
+    if "_wide" not in blocks.columns:
+        blocks = measured(blocks, font_pt)
+    tall = F.when(F.col("_hindi"), F.lit(font_pt * LINE_DEVANAGARI)).otherwise(F.lit(font_pt * LINE_LATIN)) * F.col("line")
+    height = F.when(F.col("type") == "rule", F.lit(font_pt * 0.45) * F.col("line")).otherwise(block_lines() * tall) + F.col("before_pt")
+    blocks = blocks.withColumn("_each", cell_lines())
+    return blocks.withColumns({"height_u": F.round(height * 100000).cast("long"), "before_u": F.round(F.col("before_pt") * 100000).cast("long"), "capacity_u": F.floor(capacity(F.col("top"), F.col("bottom")) * 100000).cast("long")}).drop("_each", *MEASURES)
+
+
+def _folded(blocks: DataFrame, zero: Column, step) -> DataFrame:
+    """(paper_id, rung, bs, s): the blocks of each paper under each density, folded in order."""
+    each = F.array_sort(F.collect_list(F.struct("block_no", "height_u", "before_u")))
+    grouped = blocks.groupBy("paper_id", "rung").agg(each.alias("bs"), F.first("capacity_u").alias("cap"))
+    return grouped.select("paper_id", "rung", "bs", F.aggregate("bs", zero, step).alias("s"))
+
+
+def _placed(s: Column, b: Column) -> tuple[Column, Column]:
+    """Page of a block behind others, and the height used on it."""
+    opens = s["open"] & (s["used"] > 0) & (s["used"] + b["height_u"] > F.col("cap"))
+    return s["page"] + opens.cast("int"), F.when(opens, b["height_u"] - b["before_u"]).otherwise(s["used"] + b["height_u"])
+
+
+def page_counts(blocks: DataFrame) -> DataFrame:
+    """(paper_id, rung, pages) of ``blocks`` as ``paginate`` takes them, where no block needs its own page."""
+    zero = F.struct(F.lit(1).alias("page"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("open"))
+
+    def step(s: Column, b: Column) -> Column:
+        page, used = _placed(s, b)
+        return F.struct(page.alias("page"), used.alias("used"), F.lit(True).alias("open"))
+
+    return _folded(blocks, zero, step).select("paper_id", "rung", F.col("s.page").alias("pages"))
 
 
 def paginate(blocks: DataFrame) -> DataFrame:
@@ -48,17 +87,13 @@ def paginate(blocks: DataFrame) -> DataFrame:
 
     The recurrence resets, so it is no running sum: the blocks of a paper under one density are folded in order. Papers are bounded; the fold's state is the page and its height.
     """
-    each = F.array_sort(F.collect_list(F.struct("block_no", "height_u", "before_u")))
-    grouped = blocks.groupBy("paper_id", "rung").agg(each.alias("bs"), F.first("capacity_u").alias("cap"))
-    zero = F.struct(F.lit(1).alias("page"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("pages"))
+    zero = F.struct(F.lit(1).alias("page"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("pages"))
 
     def step(s: Column, b: Column) -> Column:
-        opens = (F.size(s["pages"]) > 0) & (s["used"] > 0) & (s["used"] + b["height_u"] > F.col("cap"))
-        page = s["page"] + opens.cast("int")
-        used = F.when(opens, b["height_u"] - b["before_u"]).otherwise(s["used"] + b["height_u"])
-        return F.struct(page.alias("page"), used.alias("used"), F.concat(s["pages"], F.array(page)).alias("pages"))
+        page, used = _placed(s, b)
+        return F.struct(page.alias("page"), used.alias("used"), F.lit(True).alias("open"), F.concat(s["pages"], F.array(page)).alias("pages"))
 
-    folded = grouped.select("paper_id", "rung", "bs", F.aggregate("bs", zero, step)["pages"].alias("pages"))
+    folded = _folded(blocks, zero, step).select("paper_id", "rung", "bs", F.col("s.pages").alias("pages"))
     pages = folded.select("paper_id", "rung", F.explode(F.arrays_zip(F.transform("bs", lambda b: b["block_no"]).alias("block_no"), F.col("pages").alias("page_no"))).alias("p"))
     return blocks.join(pages.select("paper_id", "rung", "p.block_no", "p.page_no"), ["paper_id", "rung", "block_no"])
 
@@ -67,6 +102,8 @@ def fits(paged: DataFrame, max_pages: int = 2, forced: str | None = None) -> Dat
     """One row for each paper: the loosest density whose pages are few enough, else the tightest, with overflow; or the forced one."""
     facts = paged.groupBy("paper_id", "rung", "density_id").agg(F.max("page_no").alias("pages"), F.sum("height_u").alias("height_u"), F.first("capacity_u").alias("capacity_u"))
     if forced:
+        # A density that is not known stands for the normal one.
+        forced = forced if forced in {d[1] for d in DENSITIES} else NORMAL
         return facts.where(F.col("density_id") == forced).select("paper_id", "density_id", "pages", "height_u", "capacity_u", (F.col("pages") > max_pages).alias("overflow"))
     row = F.struct("rung", "density_id", "pages", "height_u", "capacity_u")
     best = facts.groupBy("paper_id").agg(F.coalesce(F.min(F.when(F.col("pages") <= max_pages, row)), F.max(row)).alias("f"))
@@ -84,9 +121,11 @@ def is_writing_room() -> Column:
 def two_up(blocks: DataFrame, font_pt: float = 12.0) -> DataFrame:
     """Two copies on a page: without room to write, then a cut line in the middle, then the same again without keys.
 
-    ``blocks`` have heights and block numbers. copy_no is 0, 1 for the cut and 2. The gap before the cut centres it and is ten points at least.
+    A paper that is nothing but room to write stays as it is, a single copy. ``blocks`` have heights and block numbers. copy_no is 0, 1 for the cut and 2. The gap before the cut centres it and is ten points at least.
     """
-    kept = blocks.where(~is_writing_room())
+    marked = blocks.withColumn("_room", is_writing_room())
+    marked = marked.withColumn("_some", F.max(~F.col("_room")).over(Window.partitionBy("paper_id", "rung")))
+    kept, bare = marked.where(~F.col("_room")).drop("_room", "_some"), marked.where(~F.col("_some"))
     total = kept.groupBy("paper_id", "rung").agg(F.sum("height_u").alias("total"), F.first("capacity_u").alias("capacity_u"), F.first("line").alias("line"), F.max("block_no").alias("last"), F.min("block_no").alias("first"))
     rule = F.round(F.lit(font_pt * 0.45) * F.col("line") * 100000).cast("long")
     breath = F.lit(int(CUT_BREATH_PT * 100000)).cast("long")
@@ -99,7 +138,7 @@ def two_up(blocks: DataFrame, font_pt: float = 12.0) -> DataFrame:
     opens = F.col("block_no") == F.col("first")
     before = F.when(opens, breath).otherwise(F.col("before_u"))
     again = again.select("paper_id", "rung", F.lit(2).alias("copy_no"), (F.col("last") + 2 + F.col("block_no")).alias("block_no"), "type", none.alias("key"), "text", "right_text", "cells", (F.col("height_u") - F.col("before_u") + before).alias("height_u"), before.alias("before_u"), "capacity_u")
-    return first.unionByName(cut).unionByName(again)
+    return first.unionByName(cut).unionByName(again).unionByName(bare.withColumn("copy_no", F.lit(0)).select(*cols))
 
 
 def block_rendering() -> Column:

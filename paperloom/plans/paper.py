@@ -47,5 +47,5 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block_no", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)))
 
 
-def laid_out(rows: DataFrame, rungs: DataFrame) -> DataFrame:
-    return layout.paginate(cut(layout.with_heights(compose.at_densities(rows, rungs))))
+def laid_out(rows: DataFrame, automatic: bool = True) -> DataFrame:
+    return layout.paginate(cut(layout.with_heights(compose.at_densities(layout.measured(rows), automatic))))

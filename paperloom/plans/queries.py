@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import MAX_FIXES, SUGGESTIONS
+from ..constants import DENSITIES, MAX_FIXES, SUGGESTIONS
 from ..functions import labels, normalize, text
 from ..functions import patterns as P
 from ..operators import build, compose, header, language, layout, nodes, numbering, segment
@@ -329,7 +329,7 @@ def _paper(spark: SparkSession, sf_dir: str) -> paper.Paper:
 def paper_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each paper: questions by kind, marks, the density that fits two pages, and pages."""
     own = _paper(spark, sf_dir)
-    fitted = layout.fits(paper.laid_out(paper.blocks(own), compose.densities(spark, automatic=True)))
+    fitted = layout.fits(paper.laid_out(paper.blocks(own)))
     total = F.aggregate(F.transform(F.split("marks", "x"), lambda x: x.try_cast("long")), F.lit(1).cast("long"), lambda a, b: a * b)
     facts = own.questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_questions"), F.sum(F.coalesce(total, F.lit(0).cast("long"))).alias("marks"), *[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in ("mcq", "match", "list", "inline", "plain")])
     return facts.join(fitted, "paper_id").select(*facts.columns, "density_id", F.col("pages").cast("long").alias("pages"), "overflow")
@@ -362,7 +362,7 @@ def column_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of the left column of brand and size pairs, by type, under every density."""
     rows = table(spark, sf_dir, "part").groupBy("p_type").agg(F.max(text.width_in(F.concat("p_brand", F.lit(" "), "p_name"))).alias("widest"))
-    rows = rows.join(F.broadcast(compose.densities(spark)))
+    rows = compose.each_density(rows)
     content = compose.content_width(F.col("side"))
     left = F.least(F.greatest(F.col("widest") + F.lit(0.45), content / F.lit(3.0)), content * F.lit(0.55))
     return rows.select("p_type", "density_id", F.round(left * 1000).cast("long").alias("left_milli"))
@@ -393,14 +393,14 @@ def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _laid_out(spark: SparkSession, sf_dir: str, automatic: bool = True) -> DataFrame:
-    return paper.laid_out(paper.blocks(_paper(spark, sf_dir)), compose.densities(spark, automatic))
+    return paper.laid_out(paper.blocks(_paper(spark, sf_dir)), automatic)
 
 
 def block_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights of two kinds of line, of documents, under every density, in points scaled by 100000."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     rows = rows.select("paper_id", F.col("pos").cast("int").alias("q_idx"), F.lit("item").alias("type"), "text", F.lit(None).cast("string").alias("right_text"), F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("int").alias("cols"), F.lit(None).cast("array<double>").alias("widths"), F.lit(0.3).alias("indent"))
-    rows = rows.join(F.broadcast(compose.densities(spark))).withColumn("before_pt", F.col("gap_sub"))
+    rows = compose.each_density(layout.measured(rows)).withColumn("before_pt", F.col("gap_sub"))
     out = layout.with_heights(rows)
     return out.groupBy("paper_id", "density_id").agg(F.sum("height_u").cast("long").alias("height_u"), F.count(F.lit(1)).alias("n"))
 
@@ -408,10 +408,11 @@ def block_height(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers of one block for each line: pages under every density."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    rows = rows.join(F.broadcast(compose.densities(spark)))
-    height = (text.line_count(F.col("text"), 12.0, compose.content_width(F.col("side"))) * 1400000).cast("long")
+    rows = compose.each_density(rows.select("paper_id", "pos", text.width_in(F.col("text")).alias("wide"), (F.col("text") == "").alias("empty")))
+    height = (text.lines_of_width(F.col("wide"), compose.content_width(F.col("side")), F.col("empty")) * 1400000).cast("long")
     rows = rows.select("paper_id", "rung", "density_id", (F.col("pos") + 1).alias("block_no"), (height + 200000).alias("height_u"), F.lit(200000).cast("long").alias("before_u"), F.floor(layout.capacity(F.col("top"), F.col("bottom")) * 100000).cast("long").alias("capacity_u"))
-    return layout.paginate(rows).groupBy("paper_id", "density_id").agg(F.max("page_no").cast("long").alias("pages"))
+    named = F.create_map(*[F.lit(x) for d in DENSITIES for x in d[:2]])
+    return layout.page_counts(rows).select("paper_id", F.element_at(named, F.col("rung")).alias("density_id"), F.col("pages").cast("long").alias("pages"))
 
 
 def fit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +420,7 @@ def fit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.with_heights(compose.at_densities(paper.blocks(_paper(spark, sf_dir)), compose.densities(spark, automatic=True)))
+    rows = layout.with_heights(compose.at_densities(layout.measured(paper.blocks(_paper(spark, sf_dir))), automatic=True))
     return layout.two_up(rows).groupBy("paper_id", "rung", "copy_no").agg(F.count(F.lit(1)).alias("n"), F.sum("height_u").cast("long").alias("height_u"), F.count("key").alias("n_keys")).select("paper_id", F.col("rung").cast("long").alias("rung"), F.col("copy_no").cast("long").alias("copy_no"), "n", "height_u", "n_keys")
 
 
