@@ -23,6 +23,14 @@ def held_out(column: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir; make one only where there is none, as in local tests."""
     sc = spark.sparkContext
