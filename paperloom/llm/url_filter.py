@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -52,10 +51,12 @@ def rule_columns(rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def canonical_key(host: Column, path: Column) -> Column:
-    """The address that a url stands for: without scheme, query, fragment, a leading www., m. or amp. label, and a closing .html or slash."""
-    bare = F.regexp_replace(host, r"^(?:www|m|amp)\.", "")
-    return F.when(host == "", F.lit(None).cast("string")).otherwise(F.concat(bare, F.regexp_replace(path, r"(?:/index)?(?:\.html?)?/*$", "")))
+def address(url: Column) -> Column:
+    """The url with its scheme and host in lower case and without its fragment; null where it has no host. Two addresses are one only if they are equal."""
+    at = F.instr(url, "://")
+    rest = F.regexp_extract(F.expr("substring(url, instr(url, '://') + 3)"), r"^[^/?#]*([^#]*)", 1)
+    scheme = F.translate(F.substring(url, F.lit(1), at + 2), UPPER, LOWER)
+    return F.when(F.coalesce(host_of(url), F.lit("")) != "", F.concat(scheme, host_of(url), rest))
 
 
 def _tag_target(html: Column, tag: str, attribute: str, word: str, target: str) -> Column:
@@ -71,11 +72,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     refresh = F.when(html.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"), _tag_target(html, "meta", "http-equiv", "refresh", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"))
     links = pages.select("url", F.explode(F.array(canonical, refresh)).alias("target")).where("target is not null and instr(url, '://') > 0")
     site = F.regexp_extract("url", r"^([^/?#]*?://[^/?#]*)", 1)
+    base = F.regexp_extract("url", r"^([^?#]*)", 1)
+    folder = F.when(base == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_extract(base, r"^(.*/)", 1))
+    target = F.trim("target")
     target = (
-        F.when(F.col("target").contains("://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.regexp_extract("url", r"^(.*?:)//", 1), "target"))
-        .when(F.col("target").startswith("/"), F.concat(site, "target"))
-        .otherwise(F.concat(F.regexp_extract("url", r"^([^?#]*/)", 1), "target"))
+        F.when(target.contains("://"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract("url", r"^([^/?#]*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(base, target))
+        .when(target.startswith("#"), F.col("url"))
+        .otherwise(F.concat(folder, F.regexp_replace(target, r"^(?:\./)+", "")))
     )
     return links.select("url", target.alias("target"))
 
@@ -83,13 +89,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """Judge every url by the longest fitting rule, else by what is known of the addresses that it is equivalent to.
 
-    Vertices are canonical addresses. Edges are canonical links and immediate redirects found in the pages and, if
-    given, ``redirects(source, target)``. In each component, an allow rule on any member wins over block
+    Vertices are addresses: whole urls without their fragment. Edges are canonical links and immediate redirects found in the pages and, if
+    given, ``redirects(source, target)``; they alone make addresses equivalent. In each component, an allow rule on any member wins over block
     rules on others: a member without a rule is allowed if any member is explicitly allowed, else blocked
-    if any is blocked, else allowed. A member's own rule always stands.
+    if any is blocked, else allowed. A member's own rule always stands. A target that is no page itself is a member like any other.
 
-    Only addresses that have a link enter the component rounds; the others are components of
-    their own. Decisions are partially aggregated by root and joined back, and AQE may split a hot root.
+    Only addresses that have a link enter the component rounds; all others are components of
+    their own, and their own rule decides. Decisions are partially aggregated by root, and AQE may split a hot root or url where they are joined back.
 
     Null urls and urls without ``://`` have an empty host and path, match no rule and are allowed. Repeated rows are
     judged each; null pages have no links; an empty table gives an empty result; other columns are ignored.
@@ -98,64 +104,56 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     name, verdict = rule_columns(rules)
     url = F.col("url")
 
-    def addressed(df: DataFrame, *keep: str) -> DataFrame:
-        df = df.withColumns({"host": host_of(url), "path": path_of(url)})
-        return df.select(*keep, "host", "path", name.alias("rule"), verdict.alias("by_rule"), canonical_key(F.col("host"), F.col("path")).alias("key"))
-
-    def key_of(column: str) -> Column:
-        return F.col(column)
-
-    links = [page_links(own).select("url", "target")]
+    links = page_links(own)
     if redirects is not None:
-        links.append(redirects.select(F.col("source").alias("url"), "target"))
-    links = reduce(DataFrame.unionByName, links)
-    left = links.withColumns({"host": host_of(url), "path": path_of(url)}).select("target", canonical_key(F.col("host"), F.col("path")).alias("u"))
-    edges = left.withColumnRenamed("target", "url").withColumns({"host": host_of(url), "path": path_of(url)}).select("u", canonical_key(F.col("host"), F.col("path")).alias("v"))
-    roots = connected_components(edges)
-
-    judged = addressed(own, "page_id").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    judged = judged.withColumn("root", F.coalesce("root", "key"))
-    # A redirect's target that is no page itself still brings its rule into the component.
-    far = edges.select(F.explode(F.array("u", "v")).alias("key")).where("key is not null").distinct()
-    far = far.select("key", F.concat(F.lit("x://"), F.col("key"), F.lit("/")).alias("url"))
-    far = addressed(far.drop("key"), "url").join(roots.withColumnRenamed("node", "key"), "key").select("root", "by_rule")
-    known = judged.select("root", "by_rule").unionByName(far).where("root is not null and by_rule is not null")
-    known = known.groupBy("root").agg(F.max(F.col("by_rule") == "allow").alias("allowed"), F.max(F.col("by_rule") == "block").alias("blocked"))
+        links = links.unionByName(redirects.select(F.col("source").alias("url"), "target"))
+    ends = links.select(address(url).alias("u"), F.col("target").alias("url")).select("u", address(url).alias("v"))
+    roots = connected_components(ends)
+
+    members = roots.select("root", F.col("node").alias("key"), F.col("node").alias("url"))
+    members = members.withColumns({"host": host_of(url), "path": path_of(url)}).select("root", "key", verdict.alias("by_rule"))
+    known = members.groupBy("root").agg(F.max(F.col("by_rule") == "allow").alias("allowed"), F.max(F.col("by_rule") == "block").alias("blocked"))
     spread = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
-    return judged.join(known, "root", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", spread).alias("verdict"), F.col("root").alias("component"))
+    known = members.join(known, "root").select("key", "root", spread.alias("spread"))
+
+    judged = own.withColumns({"host": host_of(url), "path": path_of(url), "key": address(url)}).select("page_id", "host", "path", "key", name.alias("rule"), verdict.alias("by_rule"))
+    judged = judged.join(known, "key", "left")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "spread", F.lit("allow")).alias("verdict"), F.coalesce("root", "key").alias("component"))
 
 
-_KEY = r"case when host = '' then null else regexp_replace(host, '^(?:www|m|amp)\.', '') || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '') end"
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', {len(r.host + r.path)})" for r in RULES)
 
-#: DuckDB. Links of pages are followed to their closure; the least member names the component.
+#: DuckDB. Links of pages are followed to their closure; the least member names the component. Targets that are no pages are judged by their own host and path.
 ORACLE_SQL = rf"""
-with recursive own as (
-  select page_id, url, coalesce(html, '') as html, case when strpos(url, '://') > 0 then substring(url, strpos(url, '://') + 3) else '' end as rest from pages),
+with recursive tags as (
+  select url, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as target from pages
+  union all
+  select url, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) from pages),
+based as (
+  select url, target, regexp_extract(url, '^([^/?#]*?://[^/?#]*)', 1) as site, regexp_extract(url, '^([^?#]*)', 1) as base from tags where target <> '' and strpos(url, '://') > 0),
+links as (
+  select url, case when strpos(target, '://') > 0 then target
+                   when starts_with(target, '//') then regexp_extract(url, '^([^/?#]*?:)//', 1) || target
+                   when starts_with(target, '/') then site || target
+                   when starts_with(target, '?') then base || target
+                   when starts_with(target, '#') then url
+                   else case when base = site then site || '/' else regexp_extract(base, '^(.*/)', 1) end || regexp_replace(target, '^(?:\./)+', '') end as target from based),
+urls as (select url from pages union select url from links union select target from links),
+parts as (
+  select url, case when strpos(url, '://') > 0 then substring(url, strpos(url, '://') + 3) else '' end as rest, substring(url, 1, strpos(url, '://') + 2) as scheme from urls where url is not null),
 split as (
-  select page_id, url, html, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') as host,
-         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path, row_number() over () as n from own),
-keyed as (select *, {_KEY} as key from split),
+  select url, translate(scheme, '{UPPER}', '{LOWER}') as scheme, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as tail from parts),
 rules(verdict, rhost, rpath, size) as (values {_RULES}),
-fits as (
-  select n, arg_max(rhost || rpath, size) as rule, arg_max(verdict, size) as by_rule
-  from keyed join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by n),
-targets as (
-  select key as u, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as target from keyed
-  union all
-  select key, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) from keyed),
-far as (
-  select u, translate(regexp_extract(substring(target, strpos(target, '://') + 3), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
-         regexp_extract(substring(target, strpos(target, '://') + 3), '^[^/?#]*([^?#]*)', 1) as path
-  from targets where u is not null and strpos(target, '://') > 0),
-edges as (select u, {_KEY} as v from far),
-both_ways as (select u, v from edges where v is not null union select v, u from edges where v is not null),
+judged as (
+  select url, case when host <> '' then scheme || host || tail end as key, host, path, arg_max(rhost || rpath, size) as rule, arg_max(verdict, size) as by_rule
+  from split left join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by all),
+edges as (select u.key as u, v.key as v from links join judged u on u.url = links.url join judged v on v.url = links.target where u.key <> v.key),
+both_ways as (select u, v from edges union select v, u from edges),
 reach(a, b) as (select u, u from both_ways union select r.a, e.v from reach r join both_ways e on r.b = e.u),
 roots as (select a as key, min(b) as root from reach group by a),
-judged as (
-  select k.page_id, k.host, k.path, f.rule, f.by_rule, coalesce(r.root, k.key) as root
-  from keyed k left join fits f using (n) left join roots r on r.key = k.key),
-known as (select root, bool_or(by_rule = 'allow') as allowed, bool_or(by_rule = 'block') as blocked from judged where root is not null and by_rule is not null group by root)
-select page_id, host, path, rule, coalesce(by_rule, case when allowed then 'allow' when blocked then 'block' else 'allow' end) as verdict, judged.root as component
-from judged left join known on judged.root = known.root
+known as (select root, bool_or(by_rule = 'allow') as allowed, bool_or(by_rule = 'block') as blocked from roots join judged using (key) group by root)
+select p.page_id, coalesce(j.host, '') as host, coalesce(j.path, '') as path, j.rule,
+       coalesce(j.by_rule, case when allowed then 'allow' when blocked then 'block' else 'allow' end) as verdict, coalesce(r.root, j.key) as component
+from pages p left join judged j on j.url = p.url left join roots r on r.key = j.key left join known on known.root = r.root
 """
