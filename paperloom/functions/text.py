@@ -13,6 +13,11 @@ _CLASSES = [(c, w) for c, w in WIDTH_CLASSES if c] + [("abcdefghijklmnopqrstuvwx
 _HINDI = [c[0] for c, _ in _CLASSES if c[0] in DEVANAGARI]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, wherever ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count_of(text: Column, characters: str) -> Column:
     """How many of the characters stand in the text: its length less that of the text without them."""
     return F.length(text) - F.length(F.translate(text, characters, ""))

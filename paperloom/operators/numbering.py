@@ -9,27 +9,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_ambiguous, is_roman, label_format, label_position, make_label, same_sequence
+from ..functions.text import let
 
 
 def with_anchors(df: DataFrame, labels: str) -> DataFrame:
     """``df`` with _known: struct(at, form, position) of each label of an array column that has a format. Ambiguous letters take the format of the first roman one."""
     found = F.filter(F.transform(labels, lambda x, i: F.struct(i.alias("at"), x.alias("label"), label_format(x).alias("form"))), lambda a: a["form"].isNotNull())
-    rows = df.withColumn("_found", found)
-    rows = rows.withColumn("_roman", F.try_element_at(F.filter("_found", lambda a: is_roman(a["form"])), F.lit(1))["form"])
-    unified = F.transform("_found", lambda a: F.struct(a["at"].alias("at"), a["label"].alias("label"), F.when(F.col("_roman").isNotNull() & a["form"].isin("a", "A") & is_ambiguous(a["label"]), F.col("_roman")).otherwise(a["form"]).alias("form")))
-    rows = rows.withColumn("_found", unified)
-    return rows.withColumn("_known", F.transform("_found", lambda a: F.struct(a["at"].alias("at"), a["form"].alias("form"), label_position(a["label"], a["form"]).alias("position")))).drop("_found", "_roman")
+
+    def known(found: Column) -> Column:
+        return let(F.try_element_at(F.filter(found, lambda a: is_roman(a["form"])), F.lit(1))["form"], lambda roman: F.transform(found, lambda a: one(a, roman)))
+
+    def one(a: Column, roman: Column) -> Column:
+        form = F.when(roman.isNotNull() & a["form"].isin("a", "A") & is_ambiguous(a["label"]), roman).otherwise(a["form"])
+        return let(form, lambda f: F.struct(a["at"].alias("at"), f.alias("form"), label_position(a["label"], f).alias("position")))
+
+    return df.withColumn("_known", let(found, known))
 
 
 def with_filled_gaps(df: DataFrame, labels: str, out: str) -> DataFrame:
-    """Empty labels filled by place if all anchors have one format and one offset; else as they are. Every step is a column, as expressions within lambdas are worked out for each element."""
+    """Empty labels filled by place if all anchors have one format and one offset; else as they are. Steps are bound by ``let``, as an expression within a lambda is worked out for each element."""
     rows = with_anchors(df, labels)
-    first = F.try_element_at("_known", F.lit(1))
-    rows = rows.withColumns({"_form": first["form"], "_offset": first["position"] - first["at"]})
-    fine = (F.size("_known") > 0) & (F.col("_offset") >= 0) & F.forall("_known", lambda a: (a["form"] == F.col("_form")) & (a["position"] - a["at"] == F.col("_offset")))
-    rows = rows.withColumn("_fine", fine)
-    filled = F.transform(labels, lambda x, i: F.when(F.col("_fine") & (x == ""), make_label(i + F.col("_offset"), F.col("_form"))).otherwise(x))
-    return rows.withColumn(out, filled).drop("_known", "_form", "_offset", "_fine")
+
+    def filled(known: Column) -> Column:
+        first = F.try_element_at(known, F.lit(1))
+        facts = F.struct(first["form"].alias("form"), (first["position"] - first["at"]).alias("offset"))
+        return let(facts, lambda f: let(F.struct(f["form"].alias("form"), f["offset"].alias("offset"), fits(known, f).alias("fine")), each))
+
+    def fits(known: Column, f: Column) -> Column:
+        return (F.size(known) > 0) & (f["offset"] >= 0) & F.forall(known, lambda a: (a["form"] == f["form"]) & (a["position"] - a["at"] == f["offset"]))
+
+    def each(f: Column) -> Column:
+        return F.transform(labels, lambda x, i: F.when(f["fine"] & (x == ""), make_label(i + f["offset"], f["form"])).otherwise(x))
+
+    return rows.withColumn(out, let(F.col("_known"), filled)).drop("_known")
 
 
 def with_marker_labels(df: DataFrame, labels: str, formats: str, out: str) -> DataFrame:
