@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 
 def hilbert_table(bits: int, dims: int) -> list[int]:
     """The curve index of every cell, listed by the cell's coordinates written as one number of ``bits * dims`` bits.
@@ -52,20 +54,8 @@ def hashed(column: str, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\x00"))), 64 - bits).cast("int")
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, str] = ("lang", "source"), bits: int = 4) -> DataFrame:
-    """Order all rows along the Hilbert curve over (two categories, size) and cut the order into runs of equal row counts.
-
-    Law ``rows``: shard sizes differ by one row at most. Within a curve cell rows are ordered by the
-    text's crc32, then by the id's hash, then by the id, so equal texts of equal metadata lie side by side.
-
-    The rank of a row needs no global sort: it is the number of rows in earlier buckets (cell,
-    8 bits of the crc, 8 bits of the id's hash; partially aggregated) plus the row's number within its bucket. A
-    cell, source or text that holds a third of all rows is still split 256 ways by the id's hash.
-
-    Nulls: a null text has size 1 and crc 0; null categories have a cell of their own; null ids sort
-    by the hash of null. Repeated rows each get their own slot. An empty table gives an empty result; columns
-    that are not named here are ignored.
-    """
+def _ranked(docs: DataFrame, n_shards: int, id_col: str, text_col: str, categories: tuple[str, str], bits: int, carried: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, hilbert, shard, slot) of all rows, and the whole row where it is to be carried along."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     first = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -73,6 +63,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         F.crc32(text.cast("binary")).alias("text_crc32"),
         hashed(categories[0], bits).alias("x"),
         hashed(categories[1], bits).alias("y"),
+        *([F.struct("*").alias("row")] if carried else []),
     )
     cells = F.split(F.lit(",".join(map(str, hilbert_table(bits, 3)))), ",").cast("array<int>")
     where = F.col("x") * (1 << 2 * bits) + F.col("y") * (1 << bits) + log_size(F.col("size"), bits)
@@ -83,6 +74,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         F.element_at(cells, where.cast("int") + 1).alias("hilbert"),
         F.shiftright("text_crc32", 24).cast("int").alias("c8"),
         F.xxhash64("doc_id").alias("id_hash"),
+        *(["row"] if carried else []),
     ).withColumn("d8", F.shiftrightunsigned("id_hash", 56).cast("int"))
     key = ["hilbert", "c8", "d8"]
     counts = base.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
@@ -95,14 +87,55 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     starts = starts.select(*key, (F.col("before") + F.col("cell_start")).alias("start"), "total")
     placed = base.join(starts, key)
     number = F.row_number().over(Window.partitionBy(*key).orderBy("text_crc32", "id_hash", "doc_id"))
-    ranked = placed.select("doc_id", "size", "text_crc32", "hilbert", "total", (F.col("start") + number - 1).alias("rank"))
-    shard = F.expr(f"cast((rank * {n_shards}) div total as int)")
-    ranked = ranked.withColumn("shard", shard)
+    ranked = placed.select("doc_id", "size", "text_crc32", "hilbert", "total", (F.col("start") + number - 1).alias("rank"), *(["row"] if carried else []))
+    ranked = ranked.withColumn("shard", F.expr(f"cast((rank * {n_shards}) div total as int)"))
     slot = F.col("rank") - F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("hilbert").cast("long").alias("hilbert"))
+    return ranked.withColumn("slot", slot.cast("long")).drop("total", "rank")
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write each shard as a folder of its own, rows in curve order, so that readers prune files by the metadata ranges."""
-    placed = hilbert_shards(docs, **options)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def hilbert_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, str] = ("lang", "source"), bits: int = 4) -> DataFrame:
+    """Order all rows along the Hilbert curve over (two categories, size) and cut the order into runs of equal row counts.
+
+    Law ``rows``: shard sizes differ by one row at most. Within a curve cell rows are ordered by the
+    text's crc32, then by the id's hash, then by the id, so equal texts of equal metadata lie side by side.
+
+    The rank of a row needs no global sort: it is the number of rows in earlier buckets (cell,
+    8 bits of the crc, 8 bits of the id's hash; partially aggregated) plus the row's number within its bucket. A
+    cell, source or text that holds a third of all rows is still split 256 ways by the id's hash.
+
+    Nulls: a null text has size 1 and crc 0; null categories have a cell of their own; null ids sort
+    by the hash of null. Repeated rows each get their own slot. An empty table gives an empty result; columns
+    that are not named here are ignored.
+    """
+    ranked = _ranked(docs, n_shards, id_col, text_col, categories, bits)
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("hilbert").cast("long").alias("hilbert"))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, files: int = 64, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, str] = ("lang", "source"), bits: int = 4) -> DataFrame:
+    """Write whole rows in curve order: a folder for each shard under ``path``/rows, and a manifest of its files, which is returned.
+
+    Rows are cut by ranges of (shard, slot) into about ``files`` files, each of neighbouring cells, so that many tasks write one shard. The manifest,
+    under ``path``/manifest, has for each file the shard, the number of rows, and least and greatest value of both categories and of the
+    size: a reader with a predicate on several of them opens only the files whose ranges meet it (``files_for``).
+    Rows keep their columns; the folder's column is named shard, or has underscores appended if there is such a column already. An empty table gives an empty manifest.
+    """
+    ranked = _ranked(docs, n_shards, id_col, text_col, categories, bits, carried=True)
+    shard = fresh(docs, "shard")
+    order = ["shard", "slot"]
+    rows = ranked.repartitionByRange(files, *order).sortWithinPartitions(*order).select("row.*", F.col("shard").alias(shard))
+    rows.write.partitionBy(shard).parquet(f"{path}/rows")
+    # An empty table leaves no files, and so no schema to be read.
+    written = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    size = (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long")
+    facts = [f(c).alias(f"{f.__name__}_{n}") for n, c in ((categories[0], F.col(categories[0])), (categories[1], F.col(categories[1])), ("size", size)) for f in (F.min, F.max)]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in categories]
+    manifest = written.groupBy(F.input_file_name().alias("file"), F.col(shard).alias("shard")).agg(F.count(F.lit(1)).alias("n_rows"), *facts, *nulls)
+    manifest.write.parquet(f"{path}/manifest")
+    return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")
+
+
+def files_for(manifest: DataFrame, **ranges: tuple) -> DataFrame:
+    """The files of a manifest whose ranges meet all of ``name=(least, greatest)``."""
+    for name, (low, high) in ranges.items():
+        manifest = manifest.where((F.col(f"min_{name}") <= F.lit(high)) & (F.col(f"max_{name}") >= F.lit(low)))
+    return manifest.select("file")
