@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, SCALE, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0x4282, 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, CHANNELS, DEPTH, DEFAULT_DURATION = 0xE1, 0x9F, 0x6264, 0x23E383
-TIMECODE, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMECODE, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
@@ -165,7 +165,7 @@ def parse(data: bytes) -> Parsed:
     clusters: list[int] = []
     tracks: dict[int, str] = {}
     durations: dict[int, int] = {}
-    state = {"scale": 1_000_000, "time": 0, "segment": 0, "block": 0}
+    state = {"scale": 1_000_000, "time": 0, "segment": 0, "block": 0, "group": 0}
     track: dict[int, bytes] = {}
     cue = {}
     # A flat walk: the body of a master element is just the next thing to read, so depth costs no recursion.
@@ -182,6 +182,8 @@ def parse(data: bytes) -> Parsed:
                 state["block"] = 0
             elif key == TRACK:
                 track = {}
+            elif key == BLOCK_GROUP:
+                state["group"] = len(packets)
             continue
         if size is None or at + size > len(data):
             raise ValueError(f"element {key:x} at byte {start} is cut off")
@@ -194,10 +196,13 @@ def parse(data: bytes) -> Parsed:
             sizes, p = _frame_sizes(data, p + 3, end, kind)
             when, step = (state["time"] + ahead) * state["scale"], durations.get(number, 0)
             for n in sizes:
-                packets.append(Packet(number, when, p, n, len(clusters) - 1, state["block"], kind, bool(flags & 0x80)))
+                packets.append(Packet(number, when, p, n, len(clusters) - 1, state["block"], kind, key == BLOCK or bool(flags & 0x80)))
                 p += n
                 when += step
             state["block"] += 1
+        elif key == REFERENCE:
+            # A grouped block that refers to another one is no key frame; it has no flag of its own.
+            packets[state["group"] :] = [p._replace(keyframe=False) for p in packets[state["group"] :]]
         elif key == TIMECODE:
             state["time"] = int.from_bytes(data[at:end], "big")
         elif key == SCALE:
@@ -248,22 +253,45 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.mapInArrow(work, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
-def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each packet: track, timestamp, byte range, cluster, block and lacing. A null file has no packets; a broken one fails the job with the byte at fault."""
+def _table(media: DataFrame, id_col: str, media_col: str, schema: str, types: list[pa.DataType], rows_of) -> DataFrame:
+    """The rows that ``rows_of`` finds in each parsed file, behind the file's id. A null file has none; a broken one fails the job with the byte at fault."""
     own = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
     kind = own.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                if not data.is_valid:
-                    continue
-                found = parse(data.as_py()).packets
-                columns = [pa.array([name.as_py()] * len(found), batch.column(0).type), *(pa.array(x, t) for x, t in zip(zip(*found), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]))]
+                found = rows_of(parse(data.as_py())) if data.is_valid else []
                 if found:
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", *Packet._fields])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), batch.column(0).type), *(pa.array(x, t) for x, t in zip(zip(*found), types, strict=True))], names)
+
+    return own.mapInArrow(work, f"doc_id {kind}, {schema}")
+
+
+def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row for each packet: track, timestamp, byte range, cluster, block and lacing."""
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    return _table(media, id_col, media_col, "track int, timestamp_ns long, offset long, size long, cluster int, block int, lacing int, keyframe boolean", types, lambda p: p.packets)
+
+
+def cue_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row for each cue: its time in the segment's scale, the byte within the segment where its cluster is said to start, and that cluster's number, null if none starts there."""
+
+    def rows_of(found: Parsed) -> list[tuple]:
+        at = {c: k for k, c in enumerate(found.clusters)}
+        return [(time, byte, at.get(byte)) for time, byte in found.cues]
+
+    return _table(media, id_col, media_col, "time long, position long, cluster int", [pa.int64(), pa.int64(), pa.int32()], rows_of)
+
+
+def track_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row for each track: its number, codec and number of packets."""
+
+    def rows_of(found: Parsed) -> list[tuple]:
+        return [(number, codec, sum(p.track == number for p in found.packets)) for number, codec in sorted(found.tracks.items())]
 
-    return own.mapInArrow(work, f"doc_id {kind}, track int, timestamp_ns long, offset long, size long, cluster int, block int, lacing int, keyframe boolean")
+    return _table(media, id_col, media_col, "track int, codec string, n_packets long", [pa.int32(), pa.string(), pa.int64()], rows_of)
 
 
 def media_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
