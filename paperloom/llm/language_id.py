@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .sentencepiece_fst import MODEL_PATH, SPACE, Transducer, read_model
 
-#: Runs of letters; everything else says nothing of the language.
+#: Runs of letters, and of numerals that are no decimal digits; the latter are taken out of a run that holds any.
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+#: Longest word, with its mark, whose sums are taken beside those of others.
+SHORT = 40
 #: Probability of a letter that is no piece.
 STRANGE = 1e-8
 
@@ -37,7 +39,11 @@ def vocabulary(model_path: str) -> set[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L) in lower case; everything else says nothing of the language."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if text and not text.isascii() and not all(map(str.isalpha, found)):
+        found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    return found
 
 
 class Scorer:
@@ -51,6 +57,9 @@ class Scorer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = piece
+        self.number = {piece: k for k, piece in enumerate(model.pieces)}
+        self.chances = np.array([*model.pieces.values(), [STRANGE] * len(model.languages)])
+        self.steps = self._compiled(self.trie)
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
         self.older: tuple[dict[str, int], np.ndarray] = ({}, self.table)
@@ -71,13 +80,51 @@ class Scorer:
                 out.append((at, at + 1, ""))
         return out
 
-    def forward(self, text: str) -> list[float]:
-        """Sums of a short text are plain ones, unless one of them gets so small that it loses digits or vanishes: then all are worked out again with scaling, as for long texts."""
-        logs = self._sums(text, len(text) > 60)
-        return logs if min(logs, default=0.0) > -650.0 or len(text) > 60 else self._sums(text, True)
+    def _compiled(self, node: dict) -> dict:
+        """The trie with each character leading to (next characters, number of the piece that ends there or -1)."""
+        return {c: (self._compiled(below), self.number.get(below.get("", ""), -1)) for c, below in node.items() if c}
+
+    def forward(self, texts: list[str], most: int = 4096) -> np.ndarray:
+        """Sums of many short texts, a row of logarithms each. The arcs from one place to another are taken for all texts at once.
+
+        Sums are plain ones, unless one of them gets so small that it loses digits or vanishes: then all of its text are worked out again with scaling, as for long texts.
+        """
+        k, strange = len(self.model.languages), len(self.number)
+        out = np.empty((len(texts), k))
+        for low in range(0, len(texts), most):
+            part = texts[low : low + most]
+            sizes = np.array([len(t) if len(t) <= SHORT else 0 for t in part])
+            arcs: list[dict[int, tuple[list[int], list[int]]]] = [{} for _ in range(SHORT)]
+            for i, t in enumerate(part):
+                for at in range(sizes[i]):
+                    here, steps, alone = arcs[at], self.steps, False
+                    for end in range(at + 1, sizes[i] + 1):
+                        found = steps.get(t[end - 1])
+                        if found is None:
+                            break
+                        steps, piece = found
+                        if piece >= 0:
+                            own = here.get(end) or here.setdefault(end, ([], []))
+                            own[0].append(i)
+                            own[1].append(piece)
+                            alone = alone or end == at + 1
+                    if not alone:
+                        own = here.get(at + 1) or here.setdefault(at + 1, ([], []))
+                        own[0].append(i)
+                        own[1].append(strange)
+            alpha = np.zeros((SHORT + 1, len(part), k))
+            alpha[0] = 1.0
+            for at, here in enumerate(arcs):
+                for end, (who, piece) in here.items():
+                    alpha[end, who] += alpha[at, who] * self.chances[piece]
+            logs = np.log(np.maximum(alpha[sizes, np.arange(len(part))], 1e-300))
+            for i in np.flatnonzero((sizes == 0) | (logs.min(axis=1, initial=0.0) <= -650.0)).tolist():
+                logs[i] = self._sums(part[i])
+            out[low : low + len(part)] = logs
+        return out
 
-    def _sums(self, text: str, scaled: bool) -> list[float]:
-        """With ``scaled``, sums are scaled for each language on its own where they get small, so that words do not vanish."""
+    def _sums(self, text: str) -> list[float]:
+        """Sums scaled for each language on its own where they get small, so that words do not vanish."""
         k, n = len(self.model.languages), len(text)
         alpha = [[0.0] * k for _ in range(n + 1)]
         alpha[0] = [1.0] * k
@@ -85,7 +132,7 @@ class Scorer:
         strange, pieces, langs = [STRANGE] * k, self.model.pieces, range(k)
         at_now = 0
         for at, end, part in self.arcs(text):
-            if at != at_now and scaled:
+            if at != at_now:
                 at_now = at
                 for j in langs:
                     if alpha[at][j] < 1e-150:
@@ -98,52 +145,76 @@ class Scorer:
         return [math.log(max(a, 1e-300)) + x for a, x in zip(alpha[n], logs, strict=True)]
 
     def word(self, word: str) -> list[float]:
-        return self.forward(SPACE + word)
+        return self.forward([SPACE + word])[0].tolist()
 
-    def rows(self, words) -> np.ndarray:
-        """Log-probabilities of words, one row each. When the newer table is full it becomes the older one, from which words in use are taken over."""
+    def learn(self, words: list[str]) -> None:
+        """Take words into the table of results. When the newer table is full it becomes the older one, from which words in use are taken over."""
         if len(self.index) > self.most:
             self.older, self.index, self.table = (self.index, self.table), {}, np.zeros((1024, len(self.model.languages)))
         index, (old, old_table) = self.index, self.older
-        for w in words:
-            if w not in index:
-                k = len(index)
-                if k == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                at = old.get(w)
-                self.table[k] = self.word(w) if at is None else old_table[at]
-                index[w] = k
-        return self.table[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        """(language, its posterior under equal priors)."""
-        counts = Counter(words_of(text))
-        if not counts or not self.model.languages:
-            return UNDETERMINED, 0.0
-        total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows(counts)
-        best = int(total.argmax())
-        return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
+        fresh = [w for w in dict.fromkeys(words) if w not in index]
+        if not fresh:
+            return
+        size = len(index) + len(fresh)
+        if size > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(size, 2 * len(self.table)) - len(self.table), self.table.shape[1]))])
+        rows = self.table[len(index) : size]
+        known = np.array([old.get(w, -1) for w in fresh])
+        rows[known >= 0] = old_table[known[known >= 0]]
+        rows[known < 0] = self.forward([SPACE + w for w, at in zip(fresh, known.tolist()) if at < 0])
+        index.update(zip(fresh, range(len(index), size)))
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, its posterior under equal priors) of each text."""
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        counts = [Counter(words_of(t)) for t in texts]
+        self.learn([w for c in counts for w in c])
+        out = []
+        for c in counts:
+            if not c:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            rows = np.fromiter(map(self.index.__getitem__, c), np.int64, len(c))
+            total = np.fromiter(c.values(), np.float64, len(c)) @ self.table[rows]
+            best = int(total.argmax())
+            out.append((self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())))
+        return out
+
+
+def _plus(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    high, low = (a, b) if a > b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 def expectation(counts: dict[str, float], scorer: Scorer, j: int) -> dict[str, float]:
-    """Expected piece counts of one language over all segmentations of its words, by forward and backward sums."""
+    """Expected piece counts of one language over all segmentations of its words, by forward and backward sums; those of long words are sums of logarithms, as they would vanish."""
     out: dict[str, float] = {}
     pieces = scorer.model.pieces
     for word, n in counts.items():
-        text = SPACE + word[:64]
+        text = SPACE + word
         arcs = [(a, e, p, pieces[p][j] if p else STRANGE) for a, e, p in scorer.arcs(text)]
         size = len(text)
-        ahead, behind = [1.0] + [0.0] * size, [0.0] * size + [1.0]
-        for a, e, _, w in arcs:
-            ahead[e] += ahead[a] * w
-        if ahead[size] <= 0.0:
-            continue
-        for a, e, _, w in reversed(arcs):
-            behind[a] += behind[e] * w
-        scale = n / ahead[size]
-        for a, e, p, w in arcs:
+        if size > 30:
+            arcs = [(a, e, p, math.log(w)) for a, e, p, w in arcs]
+            ahead, behind = [0.0] + [-math.inf] * size, [-math.inf] * size + [0.0]
+            for a, e, _, w in arcs:
+                ahead[e] = _plus(ahead[e], ahead[a] + w)
+            for a, e, _, w in reversed(arcs):
+                behind[a] = _plus(behind[a], behind[e] + w)
+            share = [math.exp(ahead[a] + w + behind[e] - ahead[size]) * n for a, e, _, w in arcs]
+        else:
+            ahead, behind = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+            for a, e, _, w in arcs:
+                ahead[e] += ahead[a] * w
+            for a, e, _, w in reversed(arcs):
+                behind[a] += behind[e] * w
+            scale = n / ahead[size]
+            share = [ahead[a] * w * behind[e] * scale for a, e, _, w in arcs]
+        for (_, _, p, _), x in zip(arcs, share, strict=True):
             if p:
-                out[p] = out.get(p, 0.0) + ahead[a] * w * behind[e] * scale
+                out[p] = out.get(p, 0.0) + x
     return out
 
 
@@ -196,7 +267,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [scorer.text(t) for t in part.column(1).to_pylist()]
+                found = scorer.texts(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -216,7 +287,8 @@ def predictor(spark: SparkSession, model: Model):
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
-        return pd.DataFrame([_SCORERS[key].text(t) for t in texts], columns=["lang_pred", "score"])
+        own = texts.tolist()
+        return pd.DataFrame([x for at in range(0, len(own), 500) for x in _SCORERS[key].texts(own[at : at + 500])], columns=["lang_pred", "score"])
 
     return predict
 

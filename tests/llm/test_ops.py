@@ -532,10 +532,11 @@ def test_forward_sums_all_segmentations():
 @pytest.mark.parametrize("n", [20, 31, 45, 59, 60, 61, 90])
 def test_unlikely_runs_tell_languages_apart(n):
     model = language_id.Model(["x", "y", "z"], {"▁": [1e-9, 1e-9, 1e-9], "q": [1e-10, 1e-11, 3e-11], "e": [0.1, 0.1, 0.1]})
-    got = language_id.Scorer(model).forward(language_id.SPACE + "q" * n)
+    got = language_id.Scorer(model).word("q" * n)
     for value, p in zip(got, (1e-10, 1e-11, 3e-11)):
         assert abs(value - (np.log(1e-9) + n * np.log(p))) < 1e-6 * n
-    assert language_id.Scorer(model).text("q" * n)[0] == "x" and language_id.Scorer(model).text("q" * n)[1] > 0.99
+    [(name, score)] = language_id.Scorer(model).texts(["q" * n])
+    assert name == "x" and score > 0.99
 
 
 def test_language_id(spark, docs, none):
