@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import pyarrow as pa
@@ -131,16 +132,29 @@ class Transducer:
             found = self.follows[key] = self.merged("".join(own)) == own
         return found
 
+    @cached_property
+    def steps(self) -> dict:
+        """The trie of pieces with each character leading to (next characters, the piece that ends there or -1)."""
+
+        def of(node: dict) -> dict:
+            return {c: (of(below), below.get("", -1)) for c, below in node.items() if c}
+
+        return of(self.trie)
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.vocabulary), default=1)
+
     def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
         """(end, piece) of the arcs that leave a position, shortest first. A character that no piece reads has an arc of its own, -2 - its code."""
-        out, node = [], self.trie
-        for k in range(at, len(text)):
-            node = node.get(text[k])
-            if node is None:
+        out, steps = [], self.steps
+        for end, c in enumerate(text[at : at + self.longest], at + 1):
+            found = steps.get(c)
+            if found is None:
                 break
-            piece = node.get("")
-            if piece is not None:
-                out.append((k + 1, piece))
+            steps, piece = found
+            if piece >= 0:
+                out.append((end, piece))
         if (not out or out[0][0] > at + 1) and text[at] not in self.vocabulary:
             out.insert(0, (at + 1, -2 - ord(text[at])))
         return out
