@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import NOT_INITIALS, TITLE_SMALL
 from ..functions import patterns as P
 from ..functions.normalize import clean
-from ..functions.text import collapse_spaces
+from ..functions.text import collapse_spaces, has_devanagari
 
 
 def tidy_value(value: Column) -> Column:
@@ -116,3 +116,35 @@ def parse_headers(header_lines: DataFrame) -> DataFrame:
         exam_case(F.col("exam_line")).alias("exam"),
         *[field(F.col("joined"), f).alias(f) for f in ("subject", "class_name", "time", "max_marks")],
     )
+
+
+#: Fields that a typed line can name by their labels, and what is shown before each value, in English and Hindi.
+LABELLED = {"subject": ("Sub:", "विषय:"), "class_name": ("Class:", "कक्षा:"), "time": ("Time:", "समय:"), "max_marks": ("M.M.", "पूर्णांक:")}
+
+
+def line_edits(headers: DataFrame, typed: DataFrame) -> DataFrame:
+    """(paper_id, field, value) of header lines as a user retyped them: ``typed(paper_id, field, text)``.
+
+    The labels in a line decide which field is which, and a field whose label was typed away is emptied. A line without labels is the field's value, less the label that was shown before it.
+    """
+    rows = typed.join(headers.select("paper_id", (has_devanagari(F.col("subject")) | has_devanagari(F.col("exam"))).alias("hindi")), "paper_id")
+    rows = rows.withColumn("parsed", header_line(F.col("text")))
+    found = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"parsed.{f}").alias("value")) for f in LABELLED]), lambda x: x["value"] != "")
+    rows = rows.withColumn("found", F.when(F.col("field").isin(*LABELLED), found).otherwise(F.filter(found, lambda x: F.lit(False))))
+    shown = F.lit("")
+    for name, (english, hindi) in LABELLED.items():
+        shown = F.when(F.col("field") == name, F.when(F.col("hindi"), hindi).otherwise(english)).otherwise(shown)
+    rows = rows.withColumn("shown", shown)
+    behind = F.regexp_replace(F.expr("substring(text, length(shown) + 1)"), r"^[ \t:.–-]+", "")
+    value = F.when((F.col("shown") != "") & F.col("text").startswith(F.col("shown")), behind).otherwise(F.col("text"))
+    own = F.array(F.struct("field", F.when(F.size("found") > 0, "").otherwise(value).alias("value")))
+    named = F.exists("found", lambda x: x["field"] == F.col("field"))
+    return rows.select("paper_id", F.explode(F.when(named, F.col("found")).otherwise(F.concat("found", own))).alias("e")).select("paper_id", "e.field", "e.value")
+
+
+def edit_headers(headers: DataFrame, edits: DataFrame) -> DataFrame:
+    """``headers`` with edits(paper_id, field, value), one for each field at the most, in place of what was read; an empty value empties the field."""
+    fields = [c for c in headers.columns if c != "paper_id"]
+    by_paper = edits.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_edits"))
+    rows = headers.join(by_paper, "paper_id", "left")
+    return rows.select("paper_id", *[F.coalesce(F.try_element_at("_edits", F.lit(f)), F.col(f)).alias(f) for f in fields])

@@ -126,18 +126,18 @@ def two_up(blocks: DataFrame, font_pt: float = 12.0) -> DataFrame:
     marked = blocks.withColumn("_room", is_writing_room())
     marked = marked.withColumn("_some", F.max(~F.col("_room")).over(Window.partitionBy("paper_id", "rung")))
     kept, bare = marked.where(~F.col("_room")).drop("_room", "_some"), marked.where(~F.col("_some"))
-    total = kept.groupBy("paper_id", "rung").agg(F.sum("height_u").alias("total"), F.first("capacity_u").alias("capacity_u"), F.first("line").alias("line"), F.max("block_no").alias("last"), F.min("block_no").alias("first"))
+    total = kept.groupBy("paper_id", "rung").agg(F.sum("height_u").alias("total"), F.first("density_id").alias("density_id"), F.first("capacity_u").alias("capacity_u"), F.first("line").alias("line"), F.max("block_no").alias("last"), F.min("block_no").alias("first"))
     rule = F.round(F.lit(font_pt * 0.45) * F.col("line") * 100000).cast("long")
     breath = F.lit(int(CUT_BREATH_PT * 100000)).cast("long")
     gap = F.greatest(breath, F.floor(F.col("capacity_u") / 2).cast("long") - F.col("total") - rule - breath)
-    cols = ["paper_id", "rung", "copy_no", "block_no", "type", "key", "text", "right_text", "cells", "height_u", "before_u", "capacity_u"]
+    cols = ["paper_id", "rung", "density_id", "copy_no", "block_no", "type", "key", "text", "right_text", "cells", "height_u", "before_u", "capacity_u"]
     first = kept.withColumn("copy_no", F.lit(0)).select(*cols)
     none = F.lit(None).cast("string")
-    cut = total.select("paper_id", "rung", F.lit(1).alias("copy_no"), (F.col("last") + 1).alias("block_no"), F.lit("rule").alias("type"), none.alias("key"), F.lit("").alias("text"), none.alias("right_text"), F.lit(None).cast("array<string>").alias("cells"), (rule + gap).alias("height_u"), gap.alias("before_u"), "capacity_u")
+    cut = total.select("paper_id", "rung", "density_id", F.lit(1).alias("copy_no"), (F.col("last") + 1).alias("block_no"), F.lit("rule").alias("type"), none.alias("key"), F.lit("").alias("text"), none.alias("right_text"), F.lit(None).cast("array<string>").alias("cells"), (rule + gap).alias("height_u"), gap.alias("before_u"), "capacity_u")
     again = kept.join(total.select("paper_id", "rung", "last", "first"), ["paper_id", "rung"])
     opens = F.col("block_no") == F.col("first")
     before = F.when(opens, breath).otherwise(F.col("before_u"))
-    again = again.select("paper_id", "rung", F.lit(2).alias("copy_no"), (F.col("last") + 2 + F.col("block_no")).alias("block_no"), "type", none.alias("key"), "text", "right_text", "cells", (F.col("height_u") - F.col("before_u") + before).alias("height_u"), before.alias("before_u"), "capacity_u")
+    again = again.select("paper_id", "rung", "density_id", F.lit(2).alias("copy_no"), (F.col("last") + 2 + F.col("block_no")).alias("block_no"), "type", none.alias("key"), "text", "right_text", "cells", (F.col("height_u") - F.col("before_u") + before).alias("height_u"), before.alias("before_u"), "capacity_u")
     return first.unionByName(cut).unionByName(again).unionByName(bare.withColumn("copy_no", F.lit(0)).select(*cols))
 
 

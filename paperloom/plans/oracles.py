@@ -193,6 +193,10 @@ _AUDIT = "SELECT paper_id, line_no, CAST(-1 AS BIGINT) AS step, 'document furnit
 _WORDING = "regexp_replace(replace({0}, ' ', ''), '__+', '_', 'g')"
 _FIXES = f"{LINES}, every AS ({_AUDIT}), audit AS (SELECT * FROM every WHERE {_WORDING.format('before')} <> {_WORDING.format('after')})"
 
+_LOST = f"SELECT paper_id, q_idx, 'instruction punctuation' AS rule, {collapse('heading')} AS before, {heading('trim(questions.heading)')} AS after FROM questions WHERE {hit('heading', r'[?]+[ ]*[-–—_:;,]*[ ]*$')} AND {hit(polished('trim(heading)'), P.IMPERATIVE)}"
+_PARSER = f"{FOLDED} {_LOST}"
+_FIXES_TOO = f"{FOLDED}, every AS ({_AUDIT}), audit AS (SELECT * FROM every WHERE {_WORDING.format('before')} <> {_WORDING.format('after')}), all_fixes AS (SELECT 0 AS part, * FROM audit UNION ALL SELECT 1, paper_id, q_idx, 0, rule, before, after FROM ({_LOST}))"
+
 _OPTIONS = f"""{LINES},
 chunked AS (SELECT paper_id, line_no, [trim({rep('c', '[' + chr(1) + chr(2) + ']', ' ')}) for c in regexp_split_to_array(text, {q(P.EMPTY_BOX)})] AS cs, len(regexp_extract_all(text, {q(P.EMPTY_BOX)})) AS boxes FROM body),
 opened AS (SELECT paper_id, line_no, boxes, i AS place, cs[i] AS c, i = len(cs) AS last FROM (SELECT *, unnest(generate_series(1, len(cs))) AS i FROM chunked WHERE boxes >= 2)),
@@ -245,7 +249,8 @@ ORACLES: dict[str, str] = {
     "collapse_spaces": f"SELECT paper_id, line_no, {collapse('raw')} AS flat FROM ({ORACLE_LINES})",
     "furniture_filter": f"SELECT paper_id, line_no, trim(raw) AS raw FROM ({ORACLE_LINES}) WHERE {hit('trim(raw)', P.FURNITURE)}",
     "fix_audit": f"{_FIXES} SELECT * FROM audit",
-    "fix_cap": f"{_FIXES} SELECT paper_id, ord, rule, before, after FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY line_no, step) AS ord FROM audit) WHERE ord <= {MAX_FIXES}",
+    "parser_fixes": _PARSER,
+    "fix_cap": f"{_FIXES_TOO} SELECT paper_id, ord, rule, before, after FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY part, line_no, step) AS ord FROM all_fixes) WHERE ord <= {MAX_FIXES}",
     "doubled_word_suggest": _DOUBLED,
     "question_segments": f"{LINES} SELECT paper_id, line_no, q_idx, is_heading, number FROM seg",
     "question_marks": f"{LINES} SELECT paper_id, q_idx, number, trim(heading) AS heading, marks FROM seg WHERE is_heading",

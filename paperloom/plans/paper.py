@@ -47,5 +47,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block_no", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)))
 
 
-def laid_out(rows: DataFrame, automatic: bool = True) -> DataFrame:
-    return layout.paginate(cut(layout.with_heights(compose.at_densities(layout.measured(rows), automatic))))
+def laid_out(rows: DataFrame, automatic: bool = True, twice: bool = False) -> DataFrame:
+    """Blocks on their pages under every density, or every automatic one; ``twice``: two copies of the paper to a page."""
+    tall = cut(layout.with_heights(compose.at_densities(layout.measured(rows), automatic)))
+    return layout.paginate(cut(layout.two_up(tall)) if twice else tall)

@@ -75,10 +75,16 @@ def fix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.audited(fixes).select("paper_id", "line_no", F.col("step").cast("long").alias("step"), "rule", "before", "after")
 
 
+def parser_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions that lost a question mark."""
+    return build.heading_fixes(segment.fold_headings(segmented(spark, sf_dir))[0]).withColumn("q_idx", F.col("q_idx").cast("long"))
+
+
 def fix_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 fixes of each paper: the list that is shown."""
-    order = Window.partitionBy("paper_id").orderBy("line_no", "step")
-    rows = fix_audit(spark, sf_dir).withColumn("ord", F.row_number().over(order).cast("long"))
+    """The first 60 fixes of each paper, those of the parser last: the list that is shown."""
+    order = Window.partitionBy("paper_id").orderBy("group", "line_no", "step")
+    parsed = parser_fixes(spark, sf_dir).select("paper_id", F.col("q_idx").alias("line_no"), F.lit(0).cast("long").alias("step"), "rule", "before", "after", F.lit(1).alias("group"))
+    rows = fix_audit(spark, sf_dir).withColumn("group", F.lit(0)).unionByName(parsed).withColumn("ord", F.row_number().over(order).cast("long"))
     return rows.where(F.col("ord") <= MAX_FIXES).select("paper_id", "ord", "rule", "before", "after")
 
 
@@ -121,6 +127,18 @@ def header_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.parse_headers(segmented(spark, sf_dir).where("q_idx = 0")).select("paper_id", "school", "exam")
 
 
+#: Header lines as users retype them, by turns.
+TYPED = [("time", "Time: 2 hrs Class: 8th M.M. 50"), ("school", "New  School"), ("subject", "Sub: Maths"), ("class_name", "Class: - 7th B"), ("max_marks", "75"), ("exam", "")]
+
+
+def header_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of all papers, each with one line retyped."""
+    headers = header.parse_headers(segmented(spark, sf_dir).where("q_idx = 0"))
+    lines_ = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("text")) for f, t in TYPED])
+    typed = headers.select("paper_id", F.element_at(lines_, (F.col("paper_id") % len(TYPED) + 1).cast("int")).alias("t")).select("paper_id", "t.field", "t.text")
+    return header.edit_headers(headers, header.line_edits(headers, typed))
+
+
 def question_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmented(spark, sf_dir).select("paper_id", "line_no", F.col("q_idx").cast("long").alias("q_idx"), "is_heading", "number")
 
@@ -311,8 +329,8 @@ RULE_QUERIES: dict[str, Query] = {
 QUERIES: dict[str, Query] = RULE_QUERIES | {
     f.__name__: f
     for f in (
-        line_tokenize, text_width, corpus_text_stats, collapse_spaces, script_runs, furniture_filter, fix_audit, fix_cap, rule_suggest, doubled_word_suggest,
-        proper_noun_map, name_confidence, accepted_suggestions, header_fields, header_titles, question_segments, question_marks, heading_fold, wrapped_line_join,
+        line_tokenize, text_width, corpus_text_stats, collapse_spaces, script_runs, furniture_filter, fix_audit, parser_fixes, fix_cap, rule_suggest, doubled_word_suggest,
+        proper_noun_map, name_confidence, accepted_suggestions, header_fields, header_titles, header_edits, question_segments, question_marks, heading_fold, wrapped_line_join,
         document_line_join, label_strip, label_format, options_split, inline_items, tabbed_items, pair_split, node_kinds, unnumbered_fold, stacked_options,
         question_kind, short_items, label_gap_fill, marker_labels, order_by_label, heading_polish, imperative_flag, numbering_lookup, docx_roundtrip, match_pairs,
     )
@@ -424,6 +442,12 @@ def two_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.two_up(rows).groupBy("paper_id", "rung", "copy_no").agg(F.count(F.lit(1)).alias("n"), F.sum("height_u").cast("long").alias("height_u"), F.count("key").alias("n_keys")).select("paper_id", F.col("rung").cast("long").alias("rung"), F.col("copy_no").cast("long").alias("copy_no"), "n", "height_u", "n_keys")
 
 
+def two_up_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density under which two copies of each paper fit one page."""
+    laid = paper.laid_out(paper.blocks(_paper(spark, sf_dir)), twice=True)
+    return layout.fits(laid, max_pages=1).select("paper_id", "density_id", F.col("pages").cast("long").alias("pages"), "overflow")
+
+
 def writing_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _body(spark, sf_dir).select("paper_id", "line_no", F.lit("item").alias("type"), F.lit(None).cast("array<string>").alias("cells"), F.col("flat").alias("text"), F.lit(None).cast("string").alias("right_text"))
     return rows.where(layout.is_writing_room()).select("paper_id", "line_no", "text")
@@ -451,6 +475,6 @@ QUERIES |= {
     f.__name__: f
     for f in (
         paper_summary, question_final_kind, mcq_subs, list_items, blocks, column_pack, match_width, edit_overlay, edit_log, block_height, paginate,
-        fit_density, two_up, writing_room, render_text, file_names, corpus_kind_stats, corpus_marks_stats,
+        fit_density, two_up, two_up_fit, writing_room, render_text, file_names, corpus_kind_stats, corpus_marks_stats,
     )
 }
