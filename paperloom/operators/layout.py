@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,20 +127,24 @@ def two_up(blocks: DataFrame, font_pt: float = 12.0) -> DataFrame:
     """
     marked = blocks.withColumn("_room", is_writing_room())
     marked = marked.withColumn("_some", F.max(~F.col("_room")).over(Window.partitionBy("paper_id", "rung")))
-    kept, bare = marked.where(~F.col("_room")).drop("_room", "_some"), marked.where(~F.col("_some"))
+    kept, bare = marked.where(~F.col("_room")).drop("_room", "_some"), marked.where(~F.col("_some")).drop("_room", "_some")
     total = kept.groupBy("paper_id", "rung").agg(F.sum("height_u").alias("total"), F.first("density_id").alias("density_id"), F.first("capacity_u").alias("capacity_u"), F.first("line").alias("line"), F.max("block_no").alias("last"), F.min("block_no").alias("first"))
     rule = F.round(F.lit(font_pt * 0.45) * F.col("line") * 100000).cast("long")
     breath = F.lit(int(CUT_BREATH_PT * 100000)).cast("long")
+    facts = total.select("paper_id", "rung", "total", "last", F.col("first").alias("first_no"))
+    opens = F.col("block_no") == F.col("first_no")
+    second = kept.join(facts, ["paper_id", "rung"])
+    if "before_pt" not in kept.columns:
+        raise ValueError("two_up takes blocks of with_heights")
+    empty = {c: F.lit(None).cast(kept.schema[c].dataType) for c in ("key", "marks_key", "right_text", "cells", "cell_keys", "cols", "widths") if c in kept.columns}
+    plain = {"type": F.lit("rule"), "text": F.lit(""), "indent": F.lit(0.0), "bold": F.lit(False), "align": F.lit("")}
     gap = F.greatest(breath, F.floor(F.col("capacity_u") / 2).cast("long") - F.col("total") - rule - breath)
-    cols = ["paper_id", "rung", "density_id", "copy_no", "block_no", "type", "key", "text", "right_text", "cells", "height_u", "before_u", "capacity_u"]
-    first = kept.withColumn("copy_no", F.lit(0)).select(*cols)
-    none = F.lit(None).cast("string")
-    cut = total.select("paper_id", "rung", "density_id", F.lit(1).alias("copy_no"), (F.col("last") + 1).alias("block_no"), F.lit("rule").alias("type"), none.alias("key"), F.lit("").alias("text"), none.alias("right_text"), F.lit(None).cast("array<string>").alias("cells"), (rule + gap).alias("height_u"), gap.alias("before_u"), "capacity_u")
-    again = kept.join(total.select("paper_id", "rung", "last", "first"), ["paper_id", "rung"])
-    opens = F.col("block_no") == F.col("first")
+    cut = second.where(opens).withColumns(empty | {c: x for c, x in plain.items() if c in kept.columns} | {"block_no": F.col("last") + 1, "height_u": rule + gap, "before_u": gap, "before_pt": gap / 100000.0})
     before = F.when(opens, breath).otherwise(F.col("before_u"))
-    again = again.select("paper_id", "rung", "density_id", F.lit(2).alias("copy_no"), (F.col("last") + 2 + F.col("block_no")).alias("block_no"), "type", none.alias("key"), "text", "right_text", "cells", (F.col("height_u") - F.col("before_u") + before).alias("height_u"), before.alias("before_u"), "capacity_u")
-    return first.unionByName(cut).unionByName(again).unionByName(bare.withColumn("copy_no", F.lit(0)).select(*cols))
+    again = second.withColumns({"key": F.lit(None).cast("string"), "height_u": F.col("height_u") - F.col("before_u") + before, "before_u": before, "before_pt": F.when(opens, F.lit(CUT_BREATH_PT)).otherwise(F.col("before_pt")), "block_no": F.col("last") + 2 + F.col("block_no")})
+    parts = [(kept, 0, False), (cut, 1, True), (again, 2, False), (bare, 0, False)]
+    rows = [df.withColumns({"copy_no": F.lit(n), "dashed": F.lit(dashed)}).select(*blocks.columns, "copy_no", "dashed") for df, n, dashed in parts]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def block_rendering() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import DENSITIES, MAX_FIXES, SUGGESTIONS
+from ..constants import DENSITIES, MAX_FIXES, NORMAL, SUGGESTIONS
 from ..functions import labels, normalize, text
 from ..functions import patterns as P
 from ..operators import build, compose, header, language, layout, nodes, numbering, segment
@@ -458,6 +458,17 @@ def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.render_text(rows).select("paper_id", "text")
 
 
+def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines read back from the Word files of all papers under the normal density, and of two copies of each."""
+    from ..sources.docx import docx_lines
+    from ..sources.word_blocks import docx_of_blocks
+
+    own = paper.blocks(_paper(spark, sf_dir))
+    once = docx_of_blocks(paper.laid_out(own).where(F.col("density_id") == NORMAL))
+    twice = docx_of_blocks(paper.laid_out(own, twice=True).where(F.col("density_id") == NORMAL)).withColumn("path", F.concat(F.lit("two-"), "path"))
+    return docx_lines(once.unionByName(twice))
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_fields(spark, sf_dir).select("paper_id", layout.file_name(F.col("subject"), F.col("class_name")).alias("file_name"))
 
@@ -475,6 +486,6 @@ QUERIES |= {
     f.__name__: f
     for f in (
         paper_summary, question_final_kind, mcq_subs, list_items, blocks, column_pack, match_width, edit_overlay, edit_log, block_height, paginate,
-        fit_density, two_up, two_up_fit, writing_room, render_text, file_names, corpus_kind_stats, corpus_marks_stats,
+        fit_density, two_up, two_up_fit, writing_room, render_text, docx_blocks, file_names, corpus_kind_stats, corpus_marks_stats,
     )
 }

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from paperloom.functions import labels, normalize, text
 from paperloom.operators import build, header, nodes, segment
 from paperloom.plans import paper
-from paperloom.plans.oracles import ORACLES
+from paperloom.plans.oracles import ORACLES as FIRST
 from paperloom.plans.queries import QUERIES
+from paperloom.plans.wording_oracles import WORDING_ORACLES
 from paperloom.sources import docx
 
 from .conftest import SF001
 
+ORACLES = FIRST | WORDING_ORACLES
+
 
 def one(spark, column, value):
     return spark.createDataFrame([(value,)], "t string").select(column(F.col("t")).alias("v")).first()["v"]
@@ -88,7 +91,7 @@ def test_docx(spark):
         docx.read_docx(b"nothing")
 
 
-@pytest.mark.parametrize("name", ["text_width", "article_fix", "question_marks", "heading_fold", "wrapped_line_join", "options_split", "pair_split", "paginate", "column_pack"])
+@pytest.mark.parametrize("name", ["text_width", "article_fix", "question_marks", "heading_fold", "wrapped_line_join", "options_split", "pair_split", "paginate", "column_pack", "rule_suggest", "accepted_suggestions", "proper_noun_map", "name_confidence", "script_runs", "header_edits", "header_titles", "inline_items", "tabbed_items", "label_gap_fill", "order_by_label", "question_kind", "fix_cap"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "documents"):
