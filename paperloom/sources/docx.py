@@ -72,10 +72,10 @@ def _walk(node: ElementTree.Element, formats: dict) -> list[tuple[str, str]]:
             out += _paragraph(child, formats)
         elif child.tag == f"{W}tbl":
             for row in child.findall(f"{W}tr"):
-                cells = []
-                for cell in row.iter(f"{W}tc"):
-                    cells.append(" ".join(t for t, _ in _walk(cell, formats) if t.strip()))
-                out.append(("\t".join(cells), ""))
+                # Cells of the row itself; a table within a cell is part of that cell's lines.
+                cells = [_walk(cell, formats) for cell in row.findall(f"{W}tc")]
+                code = cells[0][0][1] if cells and cells[0] else ""
+                out.append(("\t".join(" ".join(t for t, _ in lines).strip() for lines in cells), code))
         elif child.tag == f"{W}sdt":
             for content in child.findall(f"{W}sdtContent"):
                 out += _walk(content, formats)
@@ -111,7 +111,7 @@ def docx_lines(files: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, text, auto_fmt) of all .docx and .txt files under a path; other kinds are left alone."""
     word = docx_lines(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path))
-    plain = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,text}").option("recursiveFileLookup", True).text(path)
+    plain = spark.read.option("pathGlobFilter", "*.{txt,text}").option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = plain.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "text"))
     return word.unionByName(rows.select("path", (F.col("k") + 1).cast("long").alias("line_no"), "text", F.lit("").alias("auto_fmt")))
 

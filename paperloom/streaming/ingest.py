@@ -10,7 +10,7 @@ from ..functions import normalize
 
 def paper_stream(spark: SparkSession, folder: str) -> DataFrame:
     """(path, line_no, text, auto_fmt, flat) of the text files that appear in a folder. Stateless: every line is its own row."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder).withColumn("path", F.input_file_name())
+    files = spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).withColumn("path", F.input_file_name())
     rows = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("k", "raw"))
     rows = rows.where((F.trim("raw") != "") & ~normalize.is_furniture(F.col("raw")))
     marked = normalize.mark_spaces(F.col("raw"))
