@@ -43,11 +43,17 @@ def test_run(spark, corpus):
 
 
 def test_stages_on_odd_rows(spark, corpus):
-    docs = spark.createDataFrame(odd_rows(), DOCS).withColumn("score", F.lit(1)).withColumn("root", F.lit("x"))
+    docs = spark.createDataFrame(odd_rows(), DOCS).withColumn("score", F.lit(1))
+    for name in ("root", "row", "_row", "language", "base_spans", "Markov_Spans", "cid", "key"):
+        docs = docs.withColumn(name, F.lit("x"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, corpus[0])
         assert out.columns == docs.columns, name
         assert out.count() > 0 and stage(spark, docs.limit(0), corpus[0]).count() == 0
+        assert {r[0] for r in out.select("language").distinct().collect()} == {"x"}
+    coded = corpus_pipeline.pieces(spark, docs, corpus[0])
+    assert coded.count() == len(odd_rows()) and {tuple(r["ids"]) for r in coded.collect() if r["doc_id"] in (3, 4)} == {()}
+    assert corpus_pipeline.pieces(spark, docs.limit(0), corpus[0]).count() == 0
     rows = corpus_pipeline.near_dedup(spark, docs, corpus[0]).collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 10]
     assert sum(r["doc_id"] is None for r in rows) == 1
