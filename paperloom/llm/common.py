@@ -23,6 +23,17 @@ def held_out(column: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one large object that a worker process keeps from task to task: asked for another, it lets go of the last, so that stages do not add up in a worker that is used again."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name that no column of the table has."""
     taken = {c.lower() for c in df.columns}
@@ -49,7 +60,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: like a checkpoint, but compressed, for large results that are read more than once."""
+    """``df`` written as Parquet to the shared folder and read again: like a checkpoint, but compressed, for large results that are read more than once. The files stay until the folder is cleared."""
     shared_checkpoints(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)

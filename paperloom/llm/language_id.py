@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held, held_out
 from .sentencepiece_fst import MODEL_PATH, SPACE, Transducer, read_model
 
 #: Runs of letters, and of numerals that are no decimal digits; the latter are taken out of a run that holds any.
@@ -49,17 +49,18 @@ def words_of(text: str | None) -> list[str]:
 class Scorer:
     """Log-probabilities of words under every language: the forward sum over all segmentations. Results are kept in a table of bounded size."""
 
-    def __init__(self, model: Model, most: int = 200_000) -> None:
+    def __init__(self, model: Model, most: int = 80_000) -> None:
         self.model, self.most = model, most
-        self.trie: dict = {}
+        trie: dict = {}
         for piece in model.pieces:
-            node = self.trie
+            node = trie
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = piece
+        self.names = list(model.pieces)
         self.number = {piece: k for k, piece in enumerate(model.pieces)}
         self.chances = np.array([*model.pieces.values(), [STRANGE] * len(model.languages)])
-        self.steps = self._compiled(self.trie)
+        self.steps = self._compiled(trie)
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
         self.older: tuple[dict[str, int], np.ndarray] = ({}, self.table)
@@ -67,15 +68,15 @@ class Scorer:
     def arcs(self, text: str) -> list[tuple[int, int, str]]:
         out, n = [], len(text)
         for at in range(n):
-            alone, node = False, self.trie
-            for end in range(at, n):
-                node = node.get(text[end])
-                if node is None:
+            alone, steps = False, self.steps
+            for end in range(at + 1, n + 1):
+                found = steps.get(text[end - 1])
+                if found is None:
                     break
-                piece = node.get("")
-                if piece is not None:
-                    out.append((at, end + 1, piece))
-                    alone = alone or end == at
+                steps, piece = found
+                if piece >= 0:
+                    out.append((at, end, self.names[piece]))
+                    alone = alone or end == at + 1
             if not alone:
                 out.append((at, at + 1, ""))
         return out
@@ -274,21 +275,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return own.mapInArrow(work, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def predictor(spark: SparkSession, model: Model):
     """A function of a text column that gives struct(lang_pred, score), for use within a larger select."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        key = id(shared.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        own = texts.tolist()
-        return pd.DataFrame([x for at in range(0, len(own), 500) for x in _SCORERS[key].texts(own[at : at + 500])], columns=["lang_pred", "score"])
+        model = shared.value
+        scorer, own = held(("language", id(model)), lambda: Scorer(model)), texts.tolist()
+        return pd.DataFrame([x for at in range(0, len(own), 500) for x in scorer.texts(own[at : at + 500])], columns=["lang_pred", "score"])
 
     return predict
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -275,16 +277,9 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_COMPILED: dict[int, Transducer] = {}
-
-
 def compiled(model: bytes) -> Transducer:
     """One transducer for each worker process and model."""
-    key = hash(model)
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = Transducer(model)
-    return _COMPILED[key]
+    return held(("pieces", hash(model)), lambda: Transducer(model))
 
 
 def read_model(path: str = MODEL_PATH) -> bytes:
