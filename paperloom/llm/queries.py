@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import decontaminate, language_id, matroska, minhash, quality, secrets, sentencepiece_fst, suffix_dedup, url_filter
+from . import conversations, decontaminate, language_id, matroska, minhash, quality, secrets, sentencepiece_fst, suffix_dedup, url_filter
 from .sharding import hilbert_shards
 
 
@@ -51,9 +51,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damaged(turns), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op6_decontaminate": op6_decontaminate, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op6_decontaminate": op6_decontaminate, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter, "op11_conversations": op11_conversations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.ORACLE_SQL}
+    return {"op10_url_filter": url_filter.ORACLE_SQL, "op11_conversations": conversations.ORACLE_SQL}
