@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import CRC, CRC_TABLE, stored
 
 #: Grammar states: nothing yet, a system turn, a user turn, an assistant turn. Only these accept: nothing, and an assistant turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -411,11 +411,6 @@ def repair_report(turns: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return _solved(turns, ids).mapInArrow(_arrow(_followed, schema, True), schema)
 
 
-#: DuckDB: crc32 of UTF-8 bytes, as a table of 256 remainders and a fold over bytes. ``{0}`` is the expression of a text; the table is ``crc_table``.
-CRC_TABLE = """crc_table as materialized (
-  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end) order by i) as steps from range(256) r(i))"""
-CRC = "xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(hex(encode({0})))::bigint, 2), lambda k: ('0x' || substring(hex(encode({0})), k, 2))::bigint)), lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1])))"
-
 #: DuckDB over ``conversations``: states of the roles are carried from turn to turn with their least cost and least audit. Up to two inserted turns may come before each edit.
 ORACLE_SQL = rf"""
 with recursive {CRC_TABLE},
