@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import conversations, decontaminate, language_id, matroska, minhash, quality, secrets, sentencepiece_fst, spelling, suffix_dedup, url_filter
+from . import conversations, decontaminate, language_id, licenses, matroska, minhash, quality, secrets, sentencepiece_fst, spelling, suffix_dedup, url_filter
 from .sharding import hilbert_shards
 
 
@@ -60,9 +60,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_report(table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op6_decontaminate": op6_decontaminate, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter, "op11_conversations": op11_conversations, "op12_spelling": op12_spelling}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_secrets": op2_secrets, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_matroska": op5_matroska, "op6_decontaminate": op6_decontaminate, "op7_minhash": op7_minhash, "op8_sharding": op8_sharding, "op9_language": op9_language, "op10_url_filter": op10_url_filter, "op11_conversations": op11_conversations, "op12_spelling": op12_spelling, "op13_licenses": op13_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.ORACLE_SQL, "op11_conversations": conversations.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL}
+    return {"op10_url_filter": url_filter.ORACLE_SQL, "op11_conversations": conversations.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL, "op13_licenses": licenses.ORACLE_SQL}
