@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..constants import DENSITIES, MAX_FIXES, NORMAL, SUGGESTIONS
 from ..functions import labels, normalize, text
 from ..functions import patterns as P
-from ..operators import build, compose, header, language, layout, nodes, numbering, segment
+from ..operators import build, compose, edits, header, language, layout, nodes, numbering, segment
 from . import paper
 from .literals import LITERALS
 from .corpus import lines, paper_lines, segmented, table
+from .editing import edit_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -386,20 +387,13 @@ def match_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_type", "density_id", F.round(left * 1000).cast("long").alias("left_milli"))
 
 
-EDITS = [("q0.head", "Que 1. Edited by hand"), ("h.exam", "Retyped Examination"), ("q0.marks", "(7)"), ("q3.i0", ""), ("q7.i0", "(i) Whisper-")]
-INSERTS = [("q0.head", 0, "A line added"), ("q0.head", 1, ""), ("q3.i1", 0, "added cell"), ("h.exam", 0, "Second terminal")]
-
-
 def _overlays(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = paper.blocks(_paper(spark, sf_dir)).drop("block_no")
-    papers = rows.select("paper_id").distinct()
-    edits = spark.createDataFrame(EDITS, "key string, text string")
-    inserts = spark.createDataFrame(INSERTS, "anchor_key string, ord int, text string")
-    return rows, papers.join(F.broadcast(edits)), papers.join(F.broadcast(inserts))
+    return rows, *edits.fold(edit_events(spark, sf_dir))
 
 
 def edit_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of every paper with the same edits and inserts laid over them."""
+    """Blocks of every paper with its own log of edits laid over them."""
     rows = paper.numbered(compose.edit_blocks(*_overlays(spark, sf_dir)))
     return rows.select("paper_id", F.col("block_no").cast("long").alias("block_no"), "type", "key", "text", "right_text", F.array_join("cells", "|").alias("cells"), "inserted")
 
