@@ -11,6 +11,7 @@ from ..constants import CUT_BREATH_PT, DENSITIES, LINE_DEVANAGARI, LINE_LATIN, M
 from ..functions import patterns as P
 from ..functions.text import has_devanagari, lines_of_width, shape, shape_width, width_in
 from .compose import content_width
+from .cutting import cut
 
 
 def capacity(top: Column, bottom: Column) -> Column:
@@ -69,7 +70,7 @@ def _folded(blocks: DataFrame, zero: Column, step) -> DataFrame:
 
 def _placed(s: Column, b: Column) -> tuple[Column, Column]:
     """Page of a block behind others, and the height used on it."""
-    opens = s["open"] & (s["used"] > 0) & (s["used"] + b["height_u"] > F.col("cap"))
+    opens = s["open"] & (s["used"] + b["height_u"] > F.col("cap"))
     return s["page"] + opens.cast("int"), F.when(opens, b["height_u"] - b["before_u"]).otherwise(s["used"] + b["height_u"])
 
 
@@ -84,20 +85,50 @@ def page_counts(blocks: DataFrame) -> DataFrame:
     return _folded(blocks, zero, step).select("paper_id", "rung", F.col("s.page").alias("pages"))
 
 
-def paginate(blocks: DataFrame) -> DataFrame:
-    """``blocks`` (with height_u, before_u, capacity_u, block_no) with page_no: greedy, a block that does not fit opens a page and loses its leading gap there.
+_PAPER = ["paper_id", "rung"]
+
 
-    The recurrence resets, so it is no running sum: the blocks of a paper under one density are folded in order. Papers are bounded; the fold's state is the page and its height.
+def successors(blocks: DataFrame) -> DataFrame:
+    """(paper_id, rung, block_no, place, next): the place, from 1, of each block, and the place of the block that opens the next page if this one opens a page; null behind the last.
+
+    A page is full where the sum of all heights so far passes the sum before its first block, that block's gap and the capacity. The first such place is found for all blocks at
+    once: sums and limits lie sorted on one line, and each limit takes the last sum before it.
     """
-    zero = F.struct(F.lit(1).alias("page"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("pages"))
+    ordered = Window.partitionBy(*_PAPER).orderBy("block_no")
+    rows = blocks.select(*_PAPER, "block_no", "height_u", "before_u", "capacity_u")
+    rows = rows.withColumns({"place": F.row_number().over(ordered).cast("long"), "top": F.sum("height_u").over(ordered), "n": F.count(F.lit(1)).over(Window.partitionBy(*_PAPER))})
+    limit = F.col("capacity_u") + F.col("top") - F.col("height_u") + F.when(F.col("place") == 1, 0).otherwise(F.col("before_u"))
+    each = F.array(F.struct(F.col("top").alias("at"), F.lit(False).alias("asks")), F.struct(limit.alias("at"), F.lit(True).alias("asks")))
+    line = rows.select(*_PAPER, "block_no", "place", "n", F.explode(each).alias("x"))
+    fits = F.max(F.when(~F.col("x.asks"), F.col("place"))).over(Window.partitionBy(*_PAPER).orderBy("x.at", "x.asks", "place").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.greatest(F.coalesce("fits", F.lit(0)), "place") + 1
+    return line.withColumn("fits", fits).where("x.asks").select(*_PAPER, "block_no", "place", F.when(after <= F.col("n"), after).alias("next"))
+
+
+def page_starts(nexts: DataFrame) -> DataFrame:
+    """(paper_id, rung, place) of the blocks that open a page, by pointer doubling: as many rounds as the longest paper's pages have binary digits. Rounds are cut, so a lost executor repeats one."""
+    hops = cut(nexts.where("next is not null").select(*_PAPER, "place", "next"))
+    starts = cut(nexts.where("place = 1").select(*_PAPER, "place"))
+    while True:
+        further = cut(starts.join(hops, [*_PAPER, "place"]).select(*_PAPER, F.col("next").alias("place")))
+        if further.isEmpty():
+            return starts
+        starts = starts.unionByName(further)
+        twice = hops.select(*_PAPER, F.col("place").alias("next"), F.col("next").alias("then"))
+        hops = cut(hops.join(twice, [*_PAPER, "next"]).select(*_PAPER, "place", F.col("then").alias("next")))
 
-    def step(s: Column, b: Column) -> Column:
-        page, used = _placed(s, b)
-        return F.struct(page.alias("page"), used.alias("used"), F.lit(True).alias("open"), F.concat(s["pages"], F.array(page)).alias("pages"))
 
-    folded = _folded(blocks, zero, step).select("paper_id", "rung", "bs", F.col("s.pages").alias("pages"))
-    pages = folded.select("paper_id", "rung", F.explode(F.arrays_zip(F.transform("bs", lambda b: b["block_no"]).alias("block_no"), F.col("pages").alias("page_no"))).alias("p"))
-    return blocks.join(pages.select("paper_id", "rung", "p.block_no", "p.page_no"), ["paper_id", "rung", "block_no"])
+def paginate(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (with height_u, before_u, capacity_u, block_no) with page_no: greedy, a block that does not fit opens a page and loses its leading gap there.
+
+    The recurrence resets, so it is no running sum. Every block's next page start is looked up at once, and the starts that the first block leads to are found
+    by doubling; a page's number is the count of starts so far. Nothing is folded block by block, and no paper's blocks are held as an array.
+    """
+    nexts = cut(successors(blocks))
+    starts = page_starts(nexts).withColumn("opens", F.lit(1))
+    numbered = nexts.join(starts, [*_PAPER, "place"], "left")
+    page = F.sum(F.coalesce("opens", F.lit(0))).over(Window.partitionBy(*_PAPER).orderBy("place")).cast("int")
+    return blocks.join(numbered.select(*_PAPER, "block_no", page.alias("page_no")), [*_PAPER, "block_no"])
 
 
 def fits(paged: DataFrame, max_pages: int = 2, forced: str | None = None) -> DataFrame:

@@ -213,7 +213,9 @@ bs AS (SELECT doc_id AS paper_id, rung, density_id, line_no + 1 AS n, CAST({line
 walk AS (SELECT paper_id, rung, density_id, n, 1 AS page, h AS used FROM bs WHERE n = 1
   UNION ALL SELECT b.paper_id, b.rung, b.density_id, b.n, w.page + CASE WHEN w.used > 0 AND w.used + b.h > b.cap THEN 1 ELSE 0 END, CASE WHEN w.used > 0 AND w.used + b.h > b.cap THEN b.h - 200000 ELSE w.used + b.h END
   FROM walk w JOIN bs b ON b.paper_id = w.paper_id AND b.rung = w.rung AND b.n = w.n + 1)
-SELECT paper_id, density_id, CAST(max(page) AS BIGINT) AS pages FROM walk GROUP BY paper_id, density_id"""
+"""
+_PAGES = "SELECT paper_id, density_id, CAST(max(page) AS BIGINT) AS pages FROM walk GROUP BY paper_id, density_id"
+_PAGE_NUMBERS = "SELECT paper_id, density_id, CAST(page AS BIGINT) AS page_no, min(n) AS first_line, count(*) AS n FROM walk GROUP BY paper_id, density_id, page"
 _HEIGHT = f"""SELECT doc_id AS paper_id, density_id, CAST(sum(CAST(round(({line_count('raw', f'({_CONTENT} - 0.3::DOUBLE - 0.0::DOUBLE)')} * (CASE WHEN {hindi('raw')} THEN {12.0 * LINE_DEVANAGARI!r}::DOUBLE ELSE {12.0 * LINE_LATIN!r}::DOUBLE END * line) + gap_sub) * 100000) AS BIGINT)) AS BIGINT) AS height_u, count(*) AS n
 FROM ({_split('documents', 'doc_id')}), {_DENSITIES} GROUP BY doc_id, density_id"""
 
@@ -266,7 +268,8 @@ ORACLES: dict[str, str] = {
     "column_pack": _PACK,
     "match_width": _MATCH_WIDTH,
     "block_height": _HEIGHT,
-    "paginate": _PAGINATE,
+    "paginate": _PAGINATE + _PAGES,
+    "page_numbers": _PAGINATE + _PAGE_NUMBERS,
     "edit_log": "SELECT user_id AS paper_id, event_type AS key, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND value > 20",
     "writing_room": f"{LINES} SELECT paper_id, line_no, flat AS text FROM body WHERE trim(flat) <> '' AND {hit(f'regexp_replace(trim(flat), {q(P.ITEM_LABEL)}, {q(chr(0)[:0])})', P.WRITING_ROOM)}",
     "corpus_marks_stats": f"{FOLDED} SELECT number, count(*) AS n, CAST(sum(CASE WHEN marks = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_without, max(marks) AS most FROM questions GROUP BY number",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import build, compose, header, language, layout, nodes, segment
-from .materialize import cut
+from ..operators.cutting import cut
 
 
 class Paper(NamedTuple):

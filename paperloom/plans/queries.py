@@ -417,14 +417,24 @@ def block_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("paper_id", "density_id").agg(F.sum("height_u").cast("long").alias("height_u"), F.count(F.lit(1)).alias("n"))
 
 
-def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as papers of one block for each line: pages under every density."""
+def _line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers of one block for each line, under every density."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     rows = compose.each_density(rows.select("paper_id", "pos", text.width_in(F.col("text")).alias("wide"), (F.col("text") == "").alias("empty")))
     height = (text.lines_of_width(F.col("wide"), compose.content_width(F.col("side")), F.col("empty")) * 1400000).cast("long")
-    rows = rows.select("paper_id", "rung", "density_id", (F.col("pos") + 1).alias("block_no"), (height + 200000).alias("height_u"), F.lit(200000).cast("long").alias("before_u"), F.floor(layout.capacity(F.col("top"), F.col("bottom")) * 100000).cast("long").alias("capacity_u"))
+    return rows.select("paper_id", "rung", "density_id", (F.col("pos") + 1).alias("block_no"), (height + 200000).alias("height_u"), F.lit(200000).cast("long").alias("before_u"), F.floor(layout.capacity(F.col("top"), F.col("bottom")) * 100000).cast("long").alias("capacity_u"))
+
+
+def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents under every density."""
     named = F.create_map(*[F.lit(x) for d in DENSITIES for x in d[:2]])
-    return layout.page_counts(rows).select("paper_id", F.element_at(named, F.col("rung")).alias("density_id"), F.col("pages").cast("long").alias("pages"))
+    return layout.page_counts(_line_blocks(spark, sf_dir)).select("paper_id", F.element_at(named, F.col("rung")).alias("density_id"), F.col("pages").cast("long").alias("pages"))
+
+
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of documents under every density: its first line and how many it holds."""
+    paged = layout.paginate(_line_blocks(spark, sf_dir))
+    return paged.groupBy("paper_id", "density_id", F.col("page_no").cast("long").alias("page_no")).agg(F.min("block_no").cast("long").alias("first_line"), F.count(F.lit(1)).alias("n"))
 
 
 def fit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,7 +489,7 @@ def corpus_marks_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {
     f.__name__: f
     for f in (
-        paper_summary, question_final_kind, mcq_subs, list_items, blocks, column_pack, match_width, edit_overlay, edit_log, block_height, paginate,
+        paper_summary, question_final_kind, mcq_subs, list_items, blocks, column_pack, match_width, edit_overlay, edit_log, block_height, paginate, page_numbers,
         fit_density, two_up, two_up_fit, writing_room, render_text, docx_blocks, file_names, corpus_kind_stats, corpus_marks_stats,
     )
 }
