@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,55 +81,44 @@ def option_features(nodes: DataFrame) -> DataFrame:
     )
 
 
-def run_lengths(rows: list[dict], choice: bool) -> list[int]:
-    """For each node of a question, the length of the option run that starts there (0: none, or within a run).
+def with_runs(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with run, the length of the option run that would start there (0: none), from the node and the next MAX_RUN - 1.
 
     A run has two to eight members that all look like options and are all boxed or all not; lettered ones count on from the
     first, others have no label. A run that is not boxed needs a heading that asks for a choice, and the sequence's first letter. Numbers are questions, never options.
     """
-    out = [0] * len(rows)
-    at = 0
-    while at < len(rows):
-        first = rows[at]
-        form, lettered = first["start_form"], first["start_form"] not in ("", "d")
-        size = 0
-        evidence = first["boxed"] or (choice and lettered and first["start_position"] == 0)
-        if form != "d" and evidence and first["looks" if lettered else "looks_bare"]:
-            size = 1
-            for k, r in enumerate(rows[at + 1 : at + MAX_RUN], 1):
-                sequence = (r["form"] == form and r["position"] == k) if lettered else r["form"] == ""
-                if not r["looks" if lettered else "looks_bare"] or r["boxed"] != first["boxed"] or not sequence:
-                    break
-                size += 1
-        if size >= 2:
-            out[at] = size
-            at += size
-        else:
-            at += 1
-    return out
+    rows = option_features(nodes)
+    reach = Window.partitionBy("paper_id", "q_idx").orderBy("node_no").rowsBetween(1, MAX_RUN - 1)
+    rows = rows.withColumns({"next": F.collect_list(F.struct("boxed", "looks", "looks_bare", "form", "position")).over(reach), "lettered": ~F.col("start_form").isin("", "d")})
 
+    def goes_on(x: Column, k: Column) -> Column:
+        sequence = F.when(F.col("lettered"), x["looks"] & (x["form"] == F.col("start_form")) & F.coalesce(x["position"] == k + 1, F.lit(False))).otherwise(x["looks_bare"] & (x["form"] == ""))
+        return sequence & (x["boxed"] == F.col("boxed"))
 
-def stacked_options(nodes: DataFrame) -> DataFrame:
-    """Runs of one option a line become one options node. The greedy scan is sequential, so it runs over one question at a time; all it asks for are columns.
+    rows = rows.withColumn("others", F.array_position(F.transform("next", goes_on), F.lit(False)).cast("int"))
+    size = F.when(F.col("others") == 0, F.size("next") + 1).otherwise(F.col("others"))
+    asked = ~F.col("heading").rlike(P.NOT_OPTIONS) & ~F.col("heading").rlike(P.MATCH)
+    evidence = F.col("boxed") | (F.col("heading").rlike(P.CHOICE) & F.col("lettered") & F.coalesce(F.col("start_position") == 0, F.lit(False)))
+    looks = F.when(F.col("lettered"), F.col("looks")).otherwise(F.col("looks_bare"))
+    starts = asked & (F.col("start_form") != "d") & evidence & looks & (size >= 2)
+    return rows.select(*nodes.columns, F.when(F.coalesce(starts, F.lit(False)), size).otherwise(0).alias("run"))
 
-    A question fits into memory by nature. Questions that cannot have such options skip the scan.
-    """
-    rows = option_features(nodes)
-    scanned = rows.where(~F.col("heading").rlike(P.NOT_OPTIONS) & ~F.col("heading").rlike(P.MATCH))
-    scanned = scanned.withColumn("choice", F.col("heading").rlike(P.CHOICE))
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node_no")
-        frame["run"] = run_lengths(frame.to_dict("records"), bool(frame["choice"].iloc[0]))
-        return frame[["paper_id", "q_idx", "node_no", "run"]]
+def chosen_runs(runs: DataFrame) -> DataFrame:
+    """(paper_id, q_idx, at, run) of the runs that a scan from the first node meets: one that begins within an earlier one is skipped. Only nodes where a run could start are folded, one question's at a time; the state is where the scan stands."""
+    each = F.array_sort(F.collect_list(F.struct("at", "run")))
+    zero = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at: int, run: int>>").alias("met"))
+    scan = F.aggregate("each", zero, lambda s, x: F.when(x["at"] < s["free"], s).otherwise(F.struct((x["at"] + x["run"]).alias("free"), F.concat(s["met"], F.array(x)).alias("met"))))
+    return runs.where("run > 0").groupBy("paper_id", "q_idx").agg(each.alias("each")).select("paper_id", "q_idx", F.explode(scan["met"]).alias("x")).select("paper_id", "q_idx", "x.at", "x.run")
+
 
-    asked = ["paper_id", "q_idx", "node_no", "boxed", "looks_bare", "looks", "form", "position", "start_form", "start_position", "choice"]
-    runs = scanned.select(*asked).groupBy("paper_id", "q_idx").applyInPandas(work, "paper_id long, q_idx int, node_no int, run int")
-    rows = nodes.join(runs, ["paper_id", "q_idx", "node_no"], "left").withColumn("run", F.coalesce("run", F.lit(0)))
+def stacked_options(nodes: DataFrame) -> DataFrame:
+    """Runs of one option a line become one options node. What starts a run is told by a bounded window; the scan that skips from run to run is a fold over its candidates."""
     ordered = Window.partitionBy("paper_id", "q_idx").orderBy("node_no")
+    rows = with_runs(nodes).withColumn("at", F.row_number().over(ordered))
+    met = chosen_runs(rows.select("paper_id", "q_idx", "at", "run"))
+    rows = rows.drop("run").join(met, ["paper_id", "q_idx", "at"], "left").withColumn("run", F.coalesce("run", F.lit(0)))
     # A member belongs to the last run that started, if that reaches it.
-    at = F.row_number().over(ordered)
-    rows = rows.withColumn("at", at)
     start = F.last(F.when(F.col("run") > 0, F.struct("at", "run")), ignorenulls=True).over(ordered)
     rows = rows.withColumn("open", start)
     inside = F.coalesce(F.col("at") < F.col("open.at") + F.col("open.run"), F.lit(False))
