@@ -26,15 +26,9 @@ def looks_like_class(value: Column) -> Column:
     return (F.length(value) <= 20) & value.rlike(P.CLASS)
 
 
-def _free_value(joined: Column, label: str) -> Column:
-    """All values of a label in a joined header: what stands behind each occurrence, up to the next field.
-
-    Each match takes the rest of the line; a label within such a rest is found in the tail of it, so the tails are listed too.
-    """
-    tails = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined), F.lit(1))), lambda i: F.substring(joined, i, F.length(joined)))
-    starts = F.filter(tails, lambda t: t.rlike(rf"(?i)^{label}"))
-    rests = F.transform(starts, lambda t: F.regexp_replace(t, rf"(?i)^{label}{P.HEAD_SEP}", ""))
-    return F.transform(rests, lambda r: tidy_value(F.element_at(F.split(r, P.NEXT_FIELD), 1)))
+def _free_values(joined: Column, label: str, least: str = "+") -> Column:
+    """All values of a label in a joined header, from left to right: what stands behind it, up to a bar or the next field. One scan; a value is only looked ahead of, so that the next label is still there for the next match."""
+    return F.regexp_extract_all(joined, F.lit(rf"(?i){label}{P.HEAD_SEP}([^|]{least}?)(?={P.NEXT_FIELD})"), 1)
 
 
 def field_values(joined: Column, field: str) -> Column:
@@ -44,7 +38,7 @@ def field_values(joined: Column, field: str) -> Column:
     elif field == "max_marks":
         found = F.regexp_extract_all(joined, F.lit(rf"(?i){label}{P.HEAD_SEP}([0-9]{{1,3}})"), 1)
     else:
-        return _free_value(joined, label)
+        found = _free_values(joined, label, "*" if field == "class_name" else "+")
     return F.transform(found, tidy_value)
 
 
