@@ -37,10 +37,6 @@ def audited(fixes: DataFrame) -> DataFrame:
     return fixes.where(wording("before") != wording("after"))
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(SUGGESTIONS)], "rule_no int, id string, find string, replace string, confidence string")
-
-
 def rule_suggestions(lines: DataFrame) -> DataFrame:
     """(paper_id, line_no, id, before, after, confidence) for each rule that a line meets. The rules are a dozen constants, so each line is scanned in place instead of in a join."""
     rows = F.array(*[F.struct(F.lit(i).alias("id"), F.regexp_replace("flat", find, replace).alias("after"), F.lit(confidence).alias("confidence"), F.col("flat").rlike(find).alias("hit")) for i, find, replace, confidence in SUGGESTIONS])
@@ -49,12 +45,21 @@ def rule_suggestions(lines: DataFrame) -> DataFrame:
 
 def apply_accepted(lines: DataFrame, choices: DataFrame) -> DataFrame:
     """``lines`` with ``fixed``: sure rules and chosen ones applied in their order; a choice(id, accepted) of the user wins over the rule's confidence."""
-    sure = lines.sparkSession.createDataFrame([(i, c == "high") for i, _, _, c in SUGGESTIONS], "id string, sure boolean")
-    taken = sure.join(F.broadcast(choices), "id", "left").where(F.coalesce("accepted", "sure"))
-    taken = taken.agg(F.collect_set("id").alias("taken"))
-    rows = lines.join(F.broadcast(taken))
-    fixed = reduce(lambda t, r: F.when(F.array_contains("taken", r[0]), F.regexp_replace(t, r[1], r[2])).otherwise(t), SUGGESTIONS, F.col("flat"))
-    return rows.withColumn("fixed", fixed).drop("taken")
+    rows = lines.join(_taken(lines.sparkSession, choices, [(i, c == "high") for i, _, _, c in SUGGESTIONS]))
+    return rows.withColumn("fixed", _replaced(F.col("flat"), SUGGESTIONS)).drop("taken")
+
+
+def _taken(spark: SparkSession, choices: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
+    """One row with the ids of the rules taken. Of the user's choices only those of known rules count, one for each, so that what is broadcast is as short as the list of rules."""
+    sure = spark.createDataFrame(rules, "id string, sure boolean")
+    own = choices.join(F.broadcast(sure.select("id")), "id", "left_semi").groupBy("id").agg(F.max("accepted").alias("accepted"))
+    return F.broadcast(sure.join(own, "id", "left").where(F.coalesce("accepted", "sure")).agg(F.collect_set("id").alias("taken")))
+
+
+def _replaced(text: Column, rules) -> Column:
+    """``text`` after the rules(id, pattern, replacement) that the column ``taken`` holds, in their order. One that is not taken is a pattern that matches nothing, so each step holds its text once."""
+    never = F.lit("(?!)")
+    return reduce(lambda t, r: F.regexp_replace(t, F.when(F.array_contains("taken", r[0]), F.lit(r[1])).otherwise(never), F.lit(r[2])), rules, text)
 
 
 def doubled_words(lines: DataFrame) -> DataFrame:
@@ -97,23 +102,15 @@ def wording(lines: DataFrame, choices: DataFrame | None = None) -> DataFrame:
     """
     spark = lines.sparkSession
     chosen = spark.createDataFrame([], "id string, accepted boolean") if choices is None else choices
-    sure = spark.createDataFrame([*((i, c == "high") for i, _, _, c in SUGGESTIONS), (DOUBLED, False)], "id string, sure boolean")
-    taken = sure.join(F.broadcast(chosen), "id", "left").where(F.coalesce("accepted", "sure")).agg(F.collect_set("id").alias("taken"))
-    asked = name_suggestions(lines).withColumn("id", F.concat(F.lit(NAMED), F.col("word"))).join(F.broadcast(chosen), "id", "left")
+    taken = _taken(spark, chosen, [*((i, c == "high") for i, _, _, c in SUGGESTIONS), (DOUBLED, False)])
+    asked = name_suggestions(lines).withColumn("id", F.concat(F.lit(NAMED), F.col("word"))).join(chosen, "id", "left")
     asked = asked.where(F.coalesce("accepted", F.col("confidence") == "high")).select("paper_id", "word", "name")
     names = proper_nouns(lines).unionByName(asked).groupBy("paper_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "name"))).alias("names"))
-    return lines.select("paper_id").distinct().join(names, "paper_id", "left").join(F.broadcast(taken))
+    return lines.select("paper_id").distinct().join(names, "paper_id", "left").join(taken)
 
 
 def worded(text: Column) -> Column:
     """``text`` with the suggestions of the columns of ``wording`` applied in their order, then the paper's names. Not accepted rules are patterns that match nothing."""
-    never = F.lit("(?!)")
-    rules = [*((i, find, replace) for i, find, replace, _ in SUGGESTIONS), (DOUBLED, r"(?i)\b([a-z]+)(?:\s+\1\b)+", "$1")]
-    fixed = reduce(lambda t, r: F.regexp_replace(t, F.when(F.array_contains("taken", r[0]), F.lit(r[1])).otherwise(never), F.lit(r[2])), rules, text)
+    fixed = _replaced(text, [*SUGGESTIONS, (DOUBLED, r"(?i)\b([a-z]+)(?:\s+\1\b)+", "$1")])
     words = F.regexp_extract_all(fixed, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), 0)
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at("names", w), w)), "")
-
-
-def shown(fixes: DataFrame, most: int) -> DataFrame:
-    order = Window.partitionBy("paper_id").orderBy("line_no", "step")
-    return fixes.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most)

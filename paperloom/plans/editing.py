@@ -1,12 +1,13 @@
-"""Queries over edit logs, with their SQL. ``events`` is read as the log: users are papers, kinds of events are operations, values and properties give keys and texts."""
+"""Queries over what users bring along, edit logs and rules of their own, with their SQL. ``events`` is read as the log: users are papers, kinds of events are operations, values and properties give keys and texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import edits
-from .corpus import table
+from ..operators import edits, rules
+from .corpus import lines, table
+from .oracles import LINES
 
 #: Lines of a paper that the log edits.
 ANCHORS = ("q0.head", "q3.i0", "q7.i0", "h.exam", "q0.marks", "q3.i1", "q1.s0.stem", "q2.head")
@@ -77,5 +78,23 @@ union all
 select p, 'insert', anchor, unnest(range(len(xs))), unnest(xs) from ended
 """
 
-QUERIES = {"edit_fold": edit_fold}
-ORACLES = {"edit_fold": EDIT_FOLD}
+
+def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every name of a part: it is written in capitals."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    find = F.concat(F.lit(r"(?i)\b"), F.replace("p_name", F.lit(" "), F.lit(r"\s+")), F.lit(r"\b"))
+    return names.select(F.concat(F.lit("name-"), "p_name").alias("id"), find.alias("find"), F.upper("p_name").alias("replace"), F.when(F.length("p_name") % 2 == 0, "high").otherwise("low").alias("confidence"))
+
+
+def rule_table_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions of a table of rules for every line of the papers."""
+    return rules.suggestions(lines(spark, sf_dir).select("paper_id", "line_no", "flat"), name_rules(spark, sf_dir))
+
+
+_FIND = r"'(?i)\b' || replace(p_name, ' ', '\s+') || '\b'"
+RULE_TABLE = f"""{LINES}, names AS (SELECT DISTINCT p_name FROM part)
+SELECT paper_id, line_no, 'name-' || p_name AS id, flat AS before, regexp_replace(flat, {_FIND}, upper(p_name), 'g') AS after, CASE WHEN length(p_name) % 2 = 0 THEN 'high' ELSE 'low' END AS confidence
+FROM lines JOIN names ON contains(lower(flat), split_part(p_name, ' ', 1)) AND regexp_matches(flat, {_FIND})"""
+
+QUERIES = {"edit_fold": edit_fold, "rule_table_suggest": rule_table_suggest}
+ORACLES = {"edit_fold": EDIT_FOLD, "rule_table_suggest": RULE_TABLE}
