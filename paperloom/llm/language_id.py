@@ -11,7 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held, held_out
@@ -222,18 +222,23 @@ def expectation(counts: dict[str, float], scorer: Scorer, j: int) -> dict[str, f
 def train(docs: DataFrame, model_path: str = MODEL_PATH, sample_rows: int = 200, rounds: int = 3, prior: float = 200.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", all_rows: bool = False) -> Model:
     """Piece probabilities of every language by expectation maximisation.
 
-    Learns from rows outside the held-out fold whose language and text are known. ``sample_rows`` documents in expectation are
-    taken of each language (chosen by the text's hash), which bounds what reaches the driver: their distinct words with counts. Each language's counts
+    Learns from rows outside the held-out fold whose language is known and whose text has a letter. Of each language the ``sample_rows`` different texts of the least
+    hashes are taken, or all if there are fewer, so that no language is lost to a text that many rows share; this bounds what reaches the driver: their distinct words with counts. Each language's counts
     are smoothed with ``prior`` pieces drawn from the languages' mean, so no piece of the vocabulary has probability 0.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    known = known.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     if not all_rows:
         known = known.where(~held_out("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], {})
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_rows / n)))])
-    picked = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    # Twice as many as asked for lie under the bound, so that the least of them are those of the whole language; with fewer texts all do.
+    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * sample_rows / n)))])
+    under = known.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    under = under.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 20)), "h"))
+    picked = under.withColumn("rank", rank).where(F.col("rank") <= sample_rows)
     words = picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
     by_lang: dict[str, dict[str, float]] = {lang: {} for lang in sizes}
     for r in words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).collect():
