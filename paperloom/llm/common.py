@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_numbers(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """(name, number): a number for each id, in the order of the ids, where they are no integers themselves; else None. Ids are sorted by ranges and numbered where they lie."""
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return None
+    names = docs.select(F.col(id_col).alias("name")).where("name is not null").distinct()
+    return stored(names.orderBy("name").withColumn("number", F.monotonically_increasing_id()))
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -7,10 +7,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import checkpoint, connected_components, id_numbers, stored
 
 WORDS = 5
 HASHES, BITS = 256, 4
@@ -20,7 +20,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 SLACK = 0.155
 #: Members of a band whose estimate with their centre is this high meet each other through their differences to it.
 NEAR = 0.55
-#: Members of a band that are held against each other as they are; a larger band is split by further minima.
+#: Members of a band that are held against each other as they are; those of a larger band meet in rare elements.
 CROWD = 512
 #: Most candidate pairs that are broadcast instead of shuffling the texts.
 BROADCAST_PAIRS = 200_000
@@ -192,18 +192,19 @@ def answering(own: int, centre: int, apart: int) -> int:
 
 
 def _differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, element, cid, asks, answers): the elements in which a set and its centre differ; those that the centre lacks answer first, as they are the rarer ones."""
+    """(hub, element, cid, asks, least): the elements in which a set and its centre differ, and how many of them have to answer."""
     shingler, state = Shingler(), {}
     for batch in batches:
         found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
         for u, v, asks, own, other in _met(batch, shingler, state):
             apart = np.concatenate([np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)]).view(np.int64)
             least = answering(len(own), len(other), len(apart))
-            n = len(apart) if asks else least
-            for k, x in enumerate((np.full(n, v), apart[:n], np.full(n, u), np.full(n, asks), np.arange(n) < least)):
+            n = len(apart) if asks or least else 0
+            for k, x in enumerate((np.full(n, v), apart[:n], np.full(n, u), np.full(n, asks), np.full(n, least))):
                 found[k].append(x)
         columns = [np.concatenate(x) for x in found]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(bool) if k > 2 else x, pa.bool_() if k > 2 else pa.int64()) for k, x in enumerate(columns)], ["hub", "element", "cid", "asks", "answers"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(bool) if t == pa.bool_() else x, t) for x, t in zip(columns, types, strict=True)], ["hub", "element", "cid", "asks", "least"])
 
 
 def _side_by_side(pairs: DataFrame, texts: DataFrame, work, schema: str, group: int) -> DataFrame:
@@ -234,40 +235,52 @@ def around_centres(placed: DataFrame, texts: DataFrame, group: int = 64) -> Data
     """Candidate pairs (u, v) of different components among ``placed(cid, hub, root, asks)``: classes that are like a common centre.
 
     A class that is not in its centre's component asks with all elements in which it differs from the centre, the others answer with
-    as many of theirs as a link between the two needs. Near copies that lie in different places around a centre share
+    as many of theirs as a link between the two needs, those that the fewest around the centre have. Near copies that lie in different places around a centre share
     few such elements, so that what meets does not follow the square of the group, and no link is lost.
     """
     pairs = checkpoint(placed.where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v"), "asks"))
-    rows = _side_by_side(pairs, texts, _differ, "hub long, element long, cid long, asks boolean, answers boolean", group)
-    rows = checkpoint(rows.join(placed.select("cid", "hub", "root"), ["cid", "hub"]))
+    rows = stored(_side_by_side(pairs, texts, _differ, "hub long, element long, cid long, asks boolean, least long", group))
+    # An element that one class has meets nothing, but it counts among those that answer.
+    often = rows.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("c"), F.max("asks").alias("asked"))
+    own = Window.partitionBy("hub", "cid")
+    rows = rows.join(often, ["hub", "element"]).withColumn("rank", F.row_number().over(own.orderBy("c", "element")))
+    rows = rows.where("c > 1 and asked").select("hub", "element", "cid", "asks", (F.col("rank") <= F.col("least")).alias("answers"))
+    rows = stored(rows.join(placed.select("cid", "hub", "root"), ["cid", "hub"]))
     asking, answering_ = rows.where("asks").alias("a"), rows.where("answers").alias("b")
     met = asking.join(answering_, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.root") != F.col("b.root")))
     return met.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct()
 
 
-def split_bands(shared: DataFrame) -> DataFrame:
-    """Rows ``shared(cid, band, no, sig, c, ...)`` of bands of c, more than CROWD, rows, with the band replaced by several longer keys.
-
-    A key adds one, two or three groups of four further minima (their low bits, from the signature) to the band. A pair at the threshold
-    keeps a band with a chance of 0.81 or more; as it shares ten of the 24 bands on the average, it loses all of them with one of 1e-4 at the most. Rows unlike
-    each other, such as texts around a common passage, part by a factor of 100 with each group.
-    """
-    level = F.when(F.col("c") <= CROWD * 100, 1).when(F.col("c") <= CROWD * 10_000, 2).otherwise(3)
+def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, sid, n, element) from (cid, text): the elements of each text's set, known by its hash, and their number."""
+    shingler = Shingler()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sets = [(cid, shingler.shingles(text)) for cid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            sizes = [len(s) for _, s in sets]
+            columns = [np.repeat(np.array(x, np.int64), sizes) for x in ([c for c, _ in sets], [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for _, s in sets], sizes)]
+            columns.append(np.concatenate([s.view(np.int64) for _, s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cid", "sid", "n", "element"])
 
-    def quarter(k: Column) -> Column:
-        """Four minima from the 176 of the last eleven words."""
-        k = F.pmod(k, F.lit(44))
-        word = F.get("sig", (F.floor(k / 4) + 5).cast("int"))
-        part = F.pmod(k, F.lit(4))
-        return F.when(part == 0, word.bitwiseAND(0xFFFF)).when(part == 1, F.shiftrightunsigned(word, 16).bitwiseAND(0xFFFF)).when(part == 2, F.shiftrightunsigned(word, 32).bitwiseAND(0xFFFF)).otherwise(F.shiftrightunsigned(word, 48))
 
-    def key(j: Column) -> Column:
-        more = [F.when(F.col("level") > t, quarter(F.col("no") * 5 + j * (2 * t + 1) + 13 * t)).otherwise(F.lit(0).cast("long")) for t in range(3)]
-        return F.xxhash64("band", j, *more)
+def sharing_rare(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) among ``members(cid, root, hub)``: every linked pair of different components that has no common centre, exactly.
 
-    last = F.element_at(F.array(*[F.lit(n - 1) for n in (4, 14, 42)]), F.col("level"))
-    out = shared.withColumn("level", level)
-    return out.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), last), key))).drop("level")
+    Of n elements a set shares three quarters with any set that it is linked to. So two linked sets meet in the first n / 4 + 1 of either, whatever the order of
+    elements; here those that the fewest members have come first. An element that one member has alone only takes up its place, so that
+    texts around a common passage hardly meet, however many there are.
+    """
+    rows = stored(texts.join(members.select("cid").distinct(), "cid").select("cid", "text").mapInArrow(_elements, "cid long, sid long, n long, element long"))
+    often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("cid", "sid")
+    rows = rows.join(often, "element").withColumns({"shared": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("c", "element"))})
+    first = F.col("shared") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    rows = stored(rows.where(F.col("rank") <= first).select("cid", "n", "element").join(members, "cid"))
+    left, right = rows.alias("a"), rows.alias("b")
+    sizes = F.least("a.n", "b.n") * DENOMINATOR >= F.greatest("a.n", "b.n") * NUMERATOR
+    meets = (F.col("a.element") == F.col("b.element")) & (F.col("a.root") < F.col("b.root")) & sizes & ~F.coalesce(F.col("a.hub") == F.col("b.hub"), F.lit(False))
+    return left.join(right, meets).select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,12 +292,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        are shared most (the middle of a group of near copies): three candidates for each row, however large the band. Set sizes and b-bit estimates drop hopeless ones, the rest is confirmed on full sets.
     3. Where a band still holds several components, its members fall in two kinds. Those like their centre (estimate of NEAR or more) meet through
        their differences to it (``around_centres``). Any other pair is held against each other within the join by sizes and estimates, in bands of
-       up to CROWD rows, or in the longer keys that larger ones are split by (``split_bands``). What is left is confirmed, so no link between different sets depends on the choice of centres.
+       up to CROWD rows; members of larger ones meet in their rarest elements (``sharing_rare``). What is left is confirmed, so no link between different sets depends on the choice of centres or on the size of a band.
 
     A null or text without words has no shingles and is its own component. Ids are taken as names of documents: repeated rows are one
     document, and if an id comes with several texts all of them count for it. Documents without an id join components, which are named by
-    the least id in them, or null if there is none; then the rows of one set are kept. An empty table gives an empty result; other columns are ignored.
+    the least id in them, or null if there is none; then the rows of one set are kept. Ids of any type that has an order will do; they keep it. An empty table gives an empty result; other columns are ignored.
     """
+    if (names := id_numbers(docs, id_col)) is not None:
+        numbered = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(names, "name", "left")
+        out = near_duplicates(numbered, "number", "text")
+        component = names.select(F.col("name").alias("component"), F.col("number").alias("component_id"))
+        out = out.join(names.withColumnRenamed("number", "doc_id"), "doc_id", "left").join(component, "component_id", "left")
+        return out.select(F.col("name").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = checkpoint(profiles(own))
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned("k1", 2)
@@ -328,13 +347,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = shared.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count("hub").alias("placed"), *marks)
     mixed = mixed.where("min_root <> max_root and not (placed = c and min_hub = max_hub)").select("band", "c")
     rows = checkpoint(shared.join(mixed, "band").join(classes.select("cid", "n", "sig"), "cid"))
-    kept = ["band", "cid", "root", "n", "sig", "hub"]
-    rows = checkpoint(rows.where(F.col("c") <= CROWD).select(kept).unionByName(split_bands(rows.where(F.col("c") > CROWD)).select(kept)))
+    crowd = checkpoint(rows.where(F.col("c") > CROWD).select("cid", "root", "hub").distinct())
+    rare = _plausible(sharing_rare(crowd, texts), classes)
+    rows = rows.where(F.col("c") <= CROWD)
     left, right = rows.alias("a"), rows.alias("b")
     meets = (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root")) & ~F.coalesce(F.col("a.hub") == F.col("b.hub"), F.lit(False))
     apart = left.join(right, meets & may_link(F.col("a.n"), F.col("a.sig"), F.col("b.n"), F.col("b.sig")))
     apart = apart.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v"))
-    cross = checkpoint(cross.unionByName(apart).distinct().join(star, ["u", "v"], "left_anti"))
+    cross = checkpoint(cross.unionByName(apart).unionByName(rare).distinct().join(star, ["u", "v"], "left_anti"))
     more = checkpoint(confirmed(cross, texts))
     if not more.isEmpty():
         ends = links.select("u", "v").unionByName(more)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, stored, whole_text
+from .common import checkpoint, id_numbers, stored, whole_text
 from .minhash import mix
 
 LENGTH = 400
@@ -314,8 +314,12 @@ def repeated_spans(docs: DataFrame, keep_first: bool = False, id_col: str = "doc
        are split into blocks of 16, 4 and 1 windows: about four rows for each place where a passage ends, at every level.
 
     Texts are known by a 128-bit key and worked on once, however often they occur. A null text is empty; texts under 400 bytes never match. Repeated
-    rows are further places and so matches of each other; an empty table gives an empty result; other columns are ignored.
+    rows are further places and so matches of each other; ids of any type that has an order will do; an empty table gives an empty result; other columns are ignored.
     """
+    if (names := id_numbers(docs, id_col)) is not None:
+        numbered = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(names, "name", "left")
+        out = repeated_spans(numbered, keep_first, "number", "text")
+        return out.join(names.withColumnRenamed("number", "doc_id"), "doc_id", "left").select(F.col("name").alias("doc_id"), *out.columns[1:])
     text = whole_text(text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(LENGTH), text).alias("k2"))
     # Texts without an id come last, in the order of a hash.
