@@ -2,7 +2,7 @@
 
 import random
 import re
-from urllib.parse import urljoin
+from html import unescape
 
 import duckdb
 import pytest
@@ -27,6 +27,9 @@ def pages(seed, n=160):
     out += [(600 + k, f"http://cycle.test/{k}", f'<link rel=canonical href="/{(k + 1) % 9}">') for k in range(9)]
     out += [(700 + k, f"http://spoke.test/{k}", '<link rel=canonical href="http://hub.test/">') for k in range(40)]
     out += [(800, "http://foo.test/a", '<link rel=canonical href="http://foo.com/en">'), (801, "http://b.test/y?id=1", None), (802, "http://b.test/y?id=2", '<link rel=canonical href="http://q.com/en/1">')]
+    out += [(810, "http://k.test/a", '<LINK REL="CANONical" HREF="http://z.org/es/1">'), (811, "http://k.test/b?x=1", '<link rel=canonical href="http://z.org/es/?a=1&amp;b=2">')]
+    out += [(812, "http://c.test/d/e", '<link rel=canonical href="../f">'), (813, "http://c.test/f", '<link rel=canonical href="http://z.org/x/../es/y">'), (814, "http://bare.test", None), (815, "http://bare.test/q", '<link rel=canonical href="http://bare.test/">'), (816, "http://bare.test/", '<link rel=canonical href="http://z.org/es/9">')]
+    out += [(817, "http://base.test/a/b", '<base href="http://z.org/es/"><link rel=canonical href="c">'), (818, "http://base.test/a/c", '<base href="../"><link rel=canonical href="./q">'), (819, "http://base.test/q", '<link rel=canonical href="http://z.org/es/z">')]
     return [*out, (900, None, None), (901, "none", "<p>"), (902, "://x.com/en/1", None), (500, "http://chain.test/0", None)]
 
 
@@ -41,7 +44,26 @@ def plain(rows):
         if not host:
             return None
         scheme, rest = u.split("://", 1)
-        return f"{scheme.lower()}://{host}{rest[len(host) :].split('#')[0]}"
+        path, mark, query = rest[len(host) :].split("#")[0].partition("?")
+        kept, parts = [], path.split("/")[1:]
+        for part in parts:
+            if part == "..":
+                kept = kept[:-1]
+            elif part != ".":
+                kept.append(part)
+        tail = "/".join([*kept, *([""] if parts and parts[-1] in (".", "..") else [])])
+        return f"{scheme.lower()}://{host}/{tail}{mark}{query}"
+
+    def joined(u, target):
+        """Dot segments stay, as a rule looks at the path as it is written."""
+        site = re.match(r"[^/?#]*://[^/?#]*", u)[0]
+        base = re.match(r"[^?#]*", u)[0]
+        folder = site + "/" if base == site else base[: base.rindex("/") + 1]
+        if "://" in target:
+            return target
+        if target.startswith("//"):
+            return u.split("//")[0] + target
+        return u if target[0] == "#" else site + target if target[0] == "/" else base + target if target[0] == "?" else folder + target
 
     def rule(u):
         host, path = split(u)
@@ -58,16 +80,19 @@ def plain(rows):
 
     for _, u, html in rows:
         for m in re.finditer(r"""<(?:link\b[^>]*canonical[^>]*|meta\b[^>]*refresh[^>]*)>""", html or "", re.I):
-            target = re.search(r"""(?:href|url)\s*=\s*["']?([^"'\s>]+)""", m[0], re.I)[1]
-            a, b = key(u), key(urljoin(u, target))
+            target = unescape(re.search(r"""(?:href|url)\s*=\s*["']?([^"'\s>]+)""", m[0], re.I)[1])
+            seat = re.search(r"""<base\b[^>]*href\s*=\s*["']?([^"'\s>]+)""", html, re.I)
+            far = joined(joined(u, unescape(seat[1])) if seat else u, target)
+            a, b = key(u), key(far)
             if a and b:
-                rules |= {a: rule(u), b: rule(urljoin(u, target))}
+                rules.setdefault(a, set()).add(rule(a))
+                rules.setdefault(b, set()).add(rule(b))
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     out = []
     for page, u, _ in rows:
         own, k = rule(u), key(u)
-        told = {rules[x].verdict for x in root if rules.get(x) and find(x) == find(k)} if k in root else set()
+        told = {r.verdict for x in root if find(x) == find(k) for r in rules.get(x, ()) if r} if k in root else set()
         verdict = own.verdict if own else "allow" if "allow" in told or not told else "block"
         out.append((page, *split(u), own and own.host + own.path, verdict, find(k) if k in root else k))
     return sorted(out, key=str)
@@ -81,6 +106,7 @@ def test_components_of_urls(spark, seed):
     assert got == plain(rows)
     by = {r[0]: r for r in got}
     assert by[530][4] == by[500][4] == "block" and by[800][4] == by[801][4] == "allow" and by[802][4] == "block"
+    assert all(by[k][4] == "block" for k in range(810, 820))
     con = duckdb.connect()
     con.execute("create table pages(page_id bigint, url varchar, html varchar)")
     con.executemany("insert into pages values (?, ?, ?)", rows)
