@@ -49,9 +49,32 @@ def log_size(column: Column, bits: int) -> Column:
     return F.least(F.floor(F.log2(column.cast("double")) * 2 / (1 << max(0, 5 - bits))), F.lit((1 << bits) - 1)).cast("int")
 
 
-def hashed(column: str, bits: int) -> Column:
-    """A category's cell; null has a cell as well. Equality predicates on the category prune by it."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\x00"))), 64 - bits).cast("int")
+#: A manifest has one bit for each of 2 ** MASK_BITS hashes of a category's values.
+MASK_BITS = 6
+_NULL = "\x00"
+
+
+def _value(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(_NULL))
+
+
+def hashed(value: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(value), 64 - bits).cast("int")
+
+
+def category_cells(docs: DataFrame, column: str, bits: int) -> dict[str, int]:
+    """Cells of the most frequent values of a category, 2 ** bits at the most, null as one of them: in the values' order, spread over all cells, so that the curve's coarsest turns part them."""
+    top = docs.groupBy(_value(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(1 << bits).collect()
+    values = sorted(r["value"] for r in top)
+    return {v: (k << bits) // len(values) for k, v in enumerate(values)}
+
+
+def category_cell(column: str, cells: dict[str, int], bits: int) -> Column:
+    """A row's cell in a category: that of its value, or of the value's hash where that is a rare one among many."""
+    if not cells:
+        return hashed(_value(column), bits)
+    known = F.create_map(*[x for v, c in cells.items() for x in (F.lit(v), F.lit(c))])
+    return F.coalesce(F.try_element_at(known, _value(column)), hashed(_value(column), bits))
 
 
 def _ranked(docs: DataFrame, n_shards: int, id_col: str, text_col: str, categories: tuple[str, str], bits: int, carried: bool = False) -> DataFrame:
@@ -61,8 +84,7 @@ def _ranked(docs: DataFrame, n_shards: int, id_col: str, text_col: str, categori
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        hashed(categories[0], bits).alias("x"),
-        hashed(categories[1], bits).alias("y"),
+        *[category_cell(c, category_cells(docs, c, bits), bits).alias(n) for n, c in zip("xy", categories, strict=True)],
         *([F.struct("*").alias("row")] if carried else []),
     )
     cells = F.split(F.lit(",".join(map(str, hilbert_table(bits, 3)))), ",").cast("array<int>")
@@ -103,7 +125,9 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     8 bits of the crc, 8 bits of the id's hash; partially aggregated) plus the row's number within its bucket. A
     cell, source or text that holds a third of all rows is still split 256 ways by the id's hash.
 
-    Nulls: a null text has size 1 and crc 0; null categories have a cell of their own; null ids sort
+    Frequent values of a category have cells of their own, spread in their order (``category_cells``: 2 ** bits values and counts reach the driver); rare ones go by a hash.
+
+    Nulls: a null text has size 1 and crc 0; null is a category's value like others; null ids sort
     by the hash of null. Repeated rows each get their own slot. An empty table gives an empty result; columns
     that are not named here are ignored.
     """
@@ -116,7 +140,7 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, files: int = 64
 
     Rows are cut by ranges of (shard, slot) into about ``files`` files, each of neighbouring cells, so that many tasks write one shard. The manifest,
     under ``path``/manifest, has for each file the shard, the number of rows, and least and greatest value of both categories and of the
-    size: a reader with a predicate on several of them opens only the files whose ranges meet it (``files_for``).
+    size, and hashes of both categories' values: a reader with a predicate on several of them opens only the files that may meet it (``files_for``).
     Rows keep their columns; the folder's column is named shard, or has underscores appended if there is such a column already. An empty table gives an empty manifest.
     """
     ranked = _ranked(docs, n_shards, id_col, text_col, categories, bits, carried=True)
@@ -129,13 +153,17 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16, files: int = 64
     size = (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long")
     facts = [f(c).alias(f"{f.__name__}_{n}") for n, c in ((categories[0], F.col(categories[0])), (categories[1], F.col(categories[1])), ("size", size)) for f in (F.min, F.max)]
     nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in categories]
+    # One bit for each hash of a category's values in the file: a range of values says little where the curve passes several.
+    nulls += [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), hashed(_value(c), MASK_BITS))).alias(f"cells_{c}") for c in categories]
     manifest = written.groupBy(F.input_file_name().alias("file"), F.col(shard).alias("shard")).agg(F.count(F.lit(1)).alias("n_rows"), *facts, *nulls)
     manifest.write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
 
 def files_for(manifest: DataFrame, **ranges: tuple) -> DataFrame:
-    """The files of a manifest whose ranges meet all of ``name=(least, greatest)``."""
+    """The files of a manifest that may have rows with all of ``name=(least, greatest)``. A single value of a category is looked up by its hash as well."""
     for name, (low, high) in ranges.items():
         manifest = manifest.where((F.col(f"min_{name}") <= F.lit(high)) & (F.col(f"max_{name}") >= F.lit(low)))
+        if low == high and f"cells_{name}" in manifest.columns:
+            manifest = manifest.where(F.getbit(F.col(f"cells_{name}"), hashed(F.lit(low).cast("string"), MASK_BITS)) == 1)
     return manifest.select("file")

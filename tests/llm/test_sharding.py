@@ -19,11 +19,15 @@ def hashed(data: bytes) -> int:
 
 def plain(rows, n=16):
     table = sharding.hilbert_table(4, 3)
+    cells = []
+    for c in (2, 3):
+        values = sorted({r[c] for r in rows}, key=lambda v: (v is not None, v))
+        cells.append({v: k * 16 // len(values) for k, v in enumerate(values)})
 
     def key(row):
         doc, text, lang, source, _ = row
         data = (text or "").encode()
-        x, y = (hashed(("\x00" if v is None else v).encode()) >> 60 for v in (lang, source))
+        x, y = cells[0][lang], cells[1][source]
         z = min(int(__import__("math").log2(len(data) + 1) * 2 / 2), 15)
         crc, ids = zlib.crc32(data), 42 if doc is None else hashed(struct.pack("<q", doc))
         return table[x << 8 | y << 4 | z], crc >> 24, ids >> 56, crc, ids - (1 << 64) * (ids >> 63), (doc is not None, doc or 0)
@@ -62,3 +66,16 @@ def test_written_shards_hold_whole_rows(spark, tmp_path):
     assert sharding.write_shards(df.limit(0), f"{tmp_path}/none").count() == 0
     odd = spark.createDataFrame(odd_rows(), "doc_id long, text string, lang string, source string, n long")
     assert sharding.write_shards(odd, f"{tmp_path}/odd").agg(F.sum("n_rows")).first()[0] == len(odd_rows())
+
+
+def test_predicates_open_few_files(spark, tmp_path):
+    """A language or source opens about as many files as it has rows for, and no row that meets the predicate is elsewhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    manifest = sharding.write_shards(docs, f"{tmp_path}/out", files=64)
+    total = manifest.count()
+    for name in ("lang", "source"):
+        for value, n in docs.groupBy(name).count().collect():
+            need = [r["file"] for r in sharding.files_for(manifest, **{name: (value, value)}).collect()]
+            assert spark.read.schema(docs.schema).parquet(*need).where(F.col(name) == value).count() == n
+            print(name, value, n, len(need), total)
+            assert len(need) <= 64 * n / 1000 * 2 + 12
