@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cutting import cut
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Number formats of Word and the letters that stand for them.
 CODES = {"decimal": "d", "lowerLetter": "a", "upperLetter": "A", "lowerRoman": "r", "upperRoman": "R", "bullet": "b"}
@@ -83,7 +86,7 @@ def _walk(node: ElementTree.Element, formats: dict) -> list[tuple[str, str]]:
 
 
 def read_docx(data: bytes) -> list[tuple[str, str]]:
-    """(text, format) of each line of a Word file. A file that is none gives a readable error."""
+    """(text, format) of each line of a Word file. A file that cannot be read gives a ValueError that says why."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = set(z.namelist())
@@ -92,25 +95,62 @@ def read_docx(data: bytes) -> list[tuple[str, str]]:
             formats = _formats(z.read("word/numbering.xml") if "word/numbering.xml" in names else None)
             body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
     except zipfile.BadZipFile as e:
-        raise ValueError("this file is no .docx file (it is not a zip archive)") from e
-    return _walk(body, formats) if body is not None else []
+        raise ValueError("this file is no .docx file (it is not a zip archive, or a damaged one)") from e
+    except ElementTree.ParseError as e:
+        raise ValueError(f"this file's XML is damaged: {e}") from e
+    except (zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+        # Cut off within an entry, packed in an unknown way, or under a password.
+        raise ValueError(f"this file cannot be unpacked: {e}") from e
+    if body is None:
+        raise ValueError("this file's document has no body")
+    return _walk(body, formats)
 
 
-def docx_lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, text, auto_fmt) of ``files(path, content)``, such as ``spark.read.format('binaryFile')`` gives."""
+_PARSED = "path string, error string, lines array<struct<text: string, auto_fmt: string>>"
+
+
+def docx_files(files: DataFrame) -> DataFrame:
+    """(path, error, lines) of each of ``files(path, content)``: its lines, or why it cannot be read. A broken file is a row like others and stops no corpus; a null content is a file that is none."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows: list[tuple] = []
             for path, data in zip(frame["path"], frame["content"]):
-                found = read_docx(bytes(data))
-                yield pd.DataFrame({"path": path, "line_no": range(1, len(found) + 1), "text": [t for t, _ in found], "auto_fmt": [c for _, c in found]})
+                try:
+                    rows.append((path, None, [{"text": t, "auto_fmt": c} for t, c in read_docx(bytes(data or b""))]))
+                except (ValueError, RecursionError) as e:
+                    rows.append((path, str(e) or type(e).__name__, []))
+            yield pd.DataFrame(rows, columns=["path", "error", "lines"])
+
+    return files.select("path", "content").mapInPandas(work, _PARSED)
+
+
+def docx_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no, text, auto_fmt) of the readable ones of ``files(path, content)``, such as ``spark.read.format('binaryFile')`` gives."""
+    return lines_of(docx_files(files))
 
-    return files.select("path", "content").mapInPandas(work, "path string, line_no long, text string, auto_fmt string")
+
+def lines_of(parsed: DataFrame) -> DataFrame:
+    """(path, line_no, text, auto_fmt) of ``docx_files``."""
+    return parsed.select("path", F.posexplode("lines").alias("k", "l")).select("path", (F.col("k") + 1).cast("long").alias("line_no"), "l.text", "l.auto_fmt")
+
+
+def _word_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path)
+
+
+def load_with_errors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, errors): ``load``, and (path, error) of the Word files that cannot be read. Files are parsed once."""
+    parsed = cut(docx_files(_word_files(spark, path)))
+    return _with_text_files(spark, path, lines_of(parsed)), parsed.where("error is not null").select("path", "error")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, text, auto_fmt) of all .docx and .txt files under a path; other kinds are left alone."""
-    word = docx_lines(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path))
+    """(path, line_no, text, auto_fmt) of all .docx and .txt files under a path; other kinds are left alone, and Word files that cannot be read give no lines (``load_with_errors`` tells which). Spark's reader leaves out files of no bytes."""
+    return _with_text_files(spark, path, docx_lines(_word_files(spark, path)))
+
+
+def _with_text_files(spark: SparkSession, path: str, word: DataFrame) -> DataFrame:
     plain = spark.read.option("pathGlobFilter", "*.{txt,text}").option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = plain.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "text"))
     return word.unionByName(rows.select("path", (F.col("k") + 1).cast("long").alias("line_no"), "text", F.lit("").alias("auto_fmt")))

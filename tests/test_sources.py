@@ -80,3 +80,33 @@ def test_streams(spark, tmp_path):
     edits = run("edits_seen", ingest.latest_edits_stream(log), "complete")
     assert sorted(map(tuple, edits.select("paper_id", "key", "text", "seq").collect())) == [(1, "a", "z", 3), (2, "b", "w", 4)]
     assert edits.where(F.col("text").isNull()).count() == 0
+
+
+def test_broken_files_stop_nothing(spark, tmp_path):
+    """Every way in which a file can be broken is reported with its path; the others are read."""
+    good = word_file(p("one") + p("two"))
+    locked = bytearray(good)
+    # The flag of an encrypted entry, in its own header and in the directory.
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        k = -1
+        while (k := bytes(locked).find(mark, k + 1)) >= 0:
+            locked[k + at] |= 1
+    files = {"good": good, "text": b"not a zip", "cut": good[: len(good) // 2], "locked": bytes(locked), "later": word_file(p("three"))}
+    for name, inner in (("none", {"other.xml": "x"}), ("torn", {"word/document.xml": "<w:document"}), ("bodiless", {"word/document.xml": "<a/>"})):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for entry, text in inner.items():
+                z.writestr(entry, text)
+        files[name] = out.getvalue()
+    for name, data in files.items():
+        (tmp_path / f"{name}.docx").write_bytes(data)
+    (tmp_path / "plain.txt").write_text("line", encoding="utf-8")
+    lines, errors = docx.load_with_errors(spark, str(tmp_path))
+    short = lambda path: path.rsplit("/", 1)[1].split(".")[0]
+    assert sorted((short(r.path), r.line_no, r.text) for r in lines.collect()) == [("good", 1, "one"), ("good", 2, "two"), ("later", 1, "three"), ("plain", 1, "line")]
+    found = {short(r.path): r.error for r in errors.collect()}
+    assert set(found) == set(files) - {"good", "later"}
+    assert "zip" in found["text"] and "document.xml" in found["none"] and "XML" in found["torn"] and "body" in found["bodiless"] and "unpacked" in found["locked"]
+    assert docx.load(spark, str(tmp_path)).count() == 4
+    none = spark.createDataFrame([("a", None), ("b", bytearray())], "path string, content binary")
+    assert all("zip" in r.error and r.lines == [] for r in docx.docx_files(none).collect())
