@@ -143,6 +143,16 @@ def fits(paged: DataFrame, max_pages: int = 2, forced: str | None = None) -> Dat
     return best.select("paper_id", "f.density_id", "f.pages", "f.height_u", "f.capacity_u", (F.col("f.pages") > max_pages).alias("overflow"))
 
 
+def page_bounds(blocks: DataFrame, max_pages: int = 2) -> DataFrame:
+    """(paper_id, density_id, height_u, capacity_u, pages, hopeless) of blocks under one density, by sums alone: pages is 1 where all lie on one, else null; hopeless: ``max_pages`` cannot hold them.
+
+    A page takes its capacity, or one block that is taller, and each page but the first saves the gap of its first block.
+    """
+    facts = blocks.groupBy("paper_id", "density_id").agg(F.sum("height_u").alias("height_u"), F.first("capacity_u").alias("capacity_u"), F.max("height_u").alias("tallest"), F.max("before_u").alias("widest"))
+    room = F.greatest("capacity_u", "tallest") * max_pages + F.col("widest") * (max_pages - 1)
+    return facts.select("paper_id", "density_id", "height_u", "capacity_u", F.when(F.col("height_u") <= F.col("capacity_u"), 1).alias("pages"), (F.col("height_u") > room).alias("hopeless"))
+
+
 def is_writing_room() -> Column:
     """Every part that is not blank is, without its own label, only blanks, dots or dashes; headers and rules are none."""
     parts = F.when(F.col("cells").isNotNull(), F.col("cells")).otherwise(F.array(block_text()))
@@ -202,6 +212,59 @@ def render_text(blocks: DataFrame) -> DataFrame:
     return out.select("paper_id", "rung", F.regexp_replace("text", "\n{4,}", "\n\n\n").alias("text"))
 
 
+#: Characters that markup writes in another way, the ampersand first.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
+
+
+def escaped(text: Column) -> Column:
+    for meant, written in ESCAPES:
+        text = F.replace(text, F.lit(meant), F.lit(written))
+    return text
+
+
+def _span(text: Column, key: Column, kind: str = "") -> Column:
+    marked = F.coalesce(F.concat(F.lit(' data-edit-key="'), escaped(key), F.lit('"')), F.lit(""))
+    return F.concat(F.lit(f'<span class="{kind}"' if kind else "<span"), marked, F.lit(">"), escaped(F.coalesce(text, F.lit(""))), F.lit("</span>"))
+
+
+def block_markup(first: Column) -> Column:
+    """A block as markup: a rule, a row or a grid of cells, or a line with what stands at its right. ``first`` on its page, it has no gap."""
+    gap = F.when(first, F.lit("0.00")).otherwise((F.col("before_u") / 100000).cast("decimal(12,2)").cast("string"))
+    left = F.col("indent").cast("decimal(6,2)").cast("string")
+    widths = F.array_join(F.transform("widths", lambda w: F.concat(w.cast("decimal(6,2)").cast("string"), F.lit("in"))), " ")
+    columns = F.coalesce(widths, F.concat(F.lit("repeat("), F.coalesce("cols", F.lit(1)).cast("string"), F.lit(",1fr)")))
+    cells = F.array_join(F.transform(F.arrays_zip("cells", "cell_keys"), lambda c: _span(c["cells"], c["cell_keys"])), "")
+    weight = F.when(F.col("bold"), " bold").otherwise("")
+    opened = F.concat(F.lit(' style="margin-top:'), gap, F.lit("pt;margin-left:"), left, F.lit("in"))
+    right = F.coalesce(_span(F.col("right_text"), F.col("marks_key"), "right"), F.lit(""))
+    return (
+        F.when(F.col("type") == "rule", F.concat(F.lit("<hr"), opened, F.lit('">')))
+        .when(F.col("cells").isNotNull(), F.concat(F.lit('<div class="'), F.when(F.col("type") == "header-row", "row").otherwise("grid"), weight, F.lit('"'), opened, F.lit(";grid-template-columns:"), columns, F.lit('">'), cells, F.lit("</div>")))
+        .otherwise(F.concat(F.lit('<p class="line'), weight, F.when(F.col("align") == "center", " center").otherwise(""), F.lit('"'), opened, F.lit('">'), _span(F.col("text"), F.col("key")), F.when(F.col("right_text").isNotNull(), right).otherwise(""), F.lit("</p>")))
+    )
+
+
+def html_events(paged: DataFrame) -> DataFrame:
+    """(paper_id, rung, page_no, block_no, opens, markup, closes): what each block of ``paginate`` adds to its paper's preview, in order: the page that it opens, itself, and the page that it closes. No more than a block's neighbours are looked at."""
+    own = Window.partitionBy(*_PAPER).orderBy("block_no")
+    opens = ~F.coalesce(F.lag("page_no").over(own) == F.col("page_no"), F.lit(False))
+    closes = ~F.coalesce(F.lead("page_no").over(own) == F.col("page_no"), F.lit(False))
+    rows = paged.withColumns({"_opens": opens, "_closes": closes})
+    page = F.col("page_no").cast("string")
+    return rows.select(
+        "paper_id", "rung", "page_no", "block_no",
+        F.when(F.col("_opens"), F.concat(F.lit('<section class="page" data-page="'), page, F.lit('">'))).otherwise("").alias("opens"),
+        block_markup(F.col("_opens")).alias("markup"),
+        F.when(F.col("_closes"), F.concat(F.lit('<footer>Page '), page, F.lit("</footer></section>"))).otherwise("").alias("closes"),
+    )
+
+
+def html_pages(paged: DataFrame) -> DataFrame:
+    """(paper_id, rung, page_no, html): the preview of each page; a paper's pages one behind the other are its preview. A page is what a group holds."""
+    each = F.array_sort(F.collect_list(F.struct("block_no", F.concat("opens", "markup", "closes").alias("t"))))
+    return html_events(paged).groupBy("paper_id", "rung", "page_no").agg(F.array_join(F.transform(each, lambda x: x["t"]), "").alias("html"))
+
+
 def file_name(subject: Column, class_name: Column) -> Column:
     stem = F.concat_ws(" - ", F.nullif(subject, F.lit("")), F.nullif(class_name, F.lit("")))
     return F.concat(F.trim(F.regexp_replace(F.when(stem == "", "paper").otherwise(stem), r"[\\/:*?\"<>|]", "")), F.lit(" (formatted).docx"))

@@ -215,6 +215,12 @@ walk AS (SELECT paper_id, rung, density_id, n, 1 AS page, h AS used FROM bs WHER
   FROM walk w JOIN bs b ON b.paper_id = w.paper_id AND b.rung = w.rung AND b.n = w.n + 1)
 """
 _PAGES = "SELECT paper_id, density_id, CAST(max(page) AS BIGINT) AS pages FROM walk GROUP BY paper_id, density_id"
+_ESC = "raw"
+for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    _ESC = f"replace({_ESC}, '{_a}', '{_b}')"
+_HTML = f""", shown AS (SELECT w.paper_id, w.page, w.n, raw, row_number() OVER (PARTITION BY w.paper_id, w.page ORDER BY w.n) = 1 AS opens FROM walk w JOIN ls ON ls.doc_id = w.paper_id AND ls.line_no + 1 = w.n WHERE density_id = 'normal')
+SELECT paper_id, CAST(page AS BIGINT) AS page_no, '<section class="page" data-page="' || page || '">' || string_agg('<p class="line' || CASE WHEN n = 1 THEN ' bold' ELSE '' END || '" style="margin-top:' || CASE WHEN opens THEN '0.00' ELSE '2.00' END
+  || 'pt;margin-left:0.30in"><span data-edit-key="q0.i' || (n - 1) || '">' || {_ESC} || '</span></p>', '' ORDER BY n) || '<footer>Page ' || page || '</footer></section>' AS html FROM shown GROUP BY paper_id, page"""
 _PAGE_NUMBERS = "SELECT paper_id, density_id, CAST(page AS BIGINT) AS page_no, min(n) AS first_line, count(*) AS n FROM walk GROUP BY paper_id, density_id, page"
 _HEIGHT = f"""SELECT doc_id AS paper_id, density_id, CAST(sum(CAST(round(({line_count('raw', f'({_CONTENT} - 0.3::DOUBLE - 0.0::DOUBLE)')} * (CASE WHEN {hindi('raw')} THEN {12.0 * LINE_DEVANAGARI!r}::DOUBLE ELSE {12.0 * LINE_LATIN!r}::DOUBLE END * line) + gap_sub) * 100000) AS BIGINT)) AS BIGINT) AS height_u, count(*) AS n
 FROM ({_split('documents', 'doc_id')}), {_DENSITIES} GROUP BY doc_id, density_id"""
@@ -270,6 +276,7 @@ ORACLES: dict[str, str] = {
     "block_height": _HEIGHT,
     "paginate": _PAGINATE + _PAGES,
     "page_numbers": _PAGINATE + _PAGE_NUMBERS,
+    "html_preview": _PAGINATE + _HTML,
     "edit_log": "SELECT user_id AS paper_id, event_type AS key, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND value > 20",
     "writing_room": f"{LINES} SELECT paper_id, line_no, flat AS text FROM body WHERE trim(flat) <> '' AND {hit(f'regexp_replace(trim(flat), {q(P.ITEM_LABEL)}, {q(chr(0)[:0])})', P.WRITING_ROOM)}",
     "corpus_marks_stats": f"{FOLDED} SELECT number, count(*) AS n, CAST(sum(CASE WHEN marks = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_without, max(marks) AS most FROM questions GROUP BY number",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import DENSITIES
 from ..operators import build, compose, header, language, layout, nodes, segment
 from ..operators.cutting import cut
 
@@ -51,3 +53,27 @@ def laid_out(rows: DataFrame, automatic: bool = True, twice: bool = False) -> Da
     """Blocks on their pages under every density, or every automatic one; ``twice``: two copies of the paper to a page."""
     tall = cut(layout.with_heights(compose.at_densities(layout.measured(rows), automatic)))
     return layout.paginate(cut(layout.two_up(tall)) if twice else tall)
+
+
+def fitted(rows: DataFrame, max_pages: int = 2) -> DataFrame:
+    """(paper_id, density_id, pages, height_u, capacity_u, overflow): the loosest automatic density under which each paper fits, else the tightest, as ``layout.fits`` finds it.
+
+    Densities are tried in order on the papers that are left. Sums of heights settle those that lie on one page and those that cannot fit;
+    only the others are paginated. Each round is cut, so that it is never worked out again.
+    """
+    measured = cut(layout.measured(rows))
+    left, out = measured.select("paper_id").distinct(), []
+    rungs = [d[0] for d in DENSITIES if not d[2]]
+    for rung in rungs:
+        own = measured if not out else measured.join(left, "paper_id", "left_semi")
+        tall = cut(layout.with_heights(compose.at_densities(own, automatic=True).where(F.col("rung") == rung)))
+        facts = cut(layout.page_bounds(tall, max_pages))
+        asked = facts.where("pages is null" if rung == rungs[-1] else "pages is null and not hopeless").select("paper_id")
+        counted = layout.page_counts(tall.join(asked, "paper_id", "left_semi")).select("paper_id", F.col("pages").alias("counted"))
+        settled = facts.join(counted, "paper_id", "left").withColumn("pages", F.coalesce("pages", "counted")).drop("counted", "hopeless")
+        out.append(cut(settled if rung == rungs[-1] else settled.where(F.col("pages") <= max_pages)))
+        left = cut(left.join(out[-1], "paper_id", "left_anti"))
+        if left.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, out)
+    return every.select("paper_id", "density_id", "pages", "height_u", "capacity_u", (F.col("pages") > max_pages).alias("overflow"))

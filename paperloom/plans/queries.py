@@ -438,7 +438,16 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.fits(_laid_out(spark, sf_dir)).select("paper_id", "density_id", F.col("pages").cast("long").alias("pages"), "overflow")
+    return paper.fitted(paper.blocks(_paper(spark, sf_dir))).select("paper_id", "density_id", F.col("pages").cast("long").alias("pages"), "overflow")
+
+
+def html_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents, under the normal density, as markup."""
+    lines_ = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("paper_id", (F.col("pos") + 1).alias("block_no"), "text")
+    rows = layout.paginate(_line_blocks(spark, sf_dir).where(F.col("density_id") == NORMAL)).join(lines_, ["paper_id", "block_no"])
+    none = {c: F.lit(None).cast(t) for c, t in (("right_text", "string"), ("marks_key", "string"), ("cells", "array<string>"), ("cell_keys", "array<string>"), ("cols", "int"), ("widths", "array<double>"))}
+    rows = rows.withColumns({"type": F.lit("item"), "key": F.concat(F.lit("q0.i"), (F.col("block_no") - 1).cast("string")), "indent": F.lit(0.3), "bold": F.col("block_no") == 1, "align": F.lit(""), **none})
+    return layout.html_pages(rows).select("paper_id", F.col("page_no").cast("long").alias("page_no"), "html")
 
 
 def two_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,7 +498,7 @@ def corpus_marks_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {
     f.__name__: f
     for f in (
-        paper_summary, question_final_kind, mcq_subs, list_items, blocks, column_pack, match_width, edit_overlay, edit_log, block_height, paginate, page_numbers,
+        paper_summary, question_final_kind, mcq_subs, list_items, blocks, column_pack, match_width, edit_overlay, edit_log, block_height, paginate, page_numbers, html_preview,
         fit_density, two_up, two_up_fit, writing_room, render_text, docx_blocks, file_names, corpus_kind_stats, corpus_marks_stats,
     )
 }
