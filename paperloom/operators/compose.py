@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COLUMN_GAP_IN, DENSITIES, DENSITY_COLUMNS, INDENT, INLINE_COLUMNS, LINE_DEVANAGARI, LINE_LATIN, PAGE_WIDTH_IN
@@ -10,12 +10,6 @@ from ..functions.normalize import clean
 from ..functions.text import has_devanagari, shape, shape_width, width_in
 
 
-def densities(spark: SparkSession, automatic: bool = False) -> DataFrame:
-    """The density table: seven rows, six of them for automatic fitting."""
-    rows = spark.createDataFrame(DENSITIES, DENSITY_COLUMNS)
-    return rows.where("not manual_only") if automatic else rows
-
-
 def each_density(rows: DataFrame, automatic: bool = False) -> DataFrame:
     """Every row under each density, or each of the automatic ones."""
     names = [c.split()[0] for c in DENSITY_COLUMNS.split(", ")]
@@ -112,15 +106,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def question_blocks(questions: DataFrame, subs: DataFrame, pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Headings with marks, stems and option rows, pairs, rows of short items, items. ``questions(paper_id, q_idx, number, heading, marks, kind)``; q_idx counts from 1, keys from 0."""
+def question_blocks(questions: DataFrame, subs: DataFrame, pairs: DataFrame, items: DataFrame, prefix: str = "auto") -> DataFrame:
+    """Headings with marks, stems and option rows, pairs, rows of short items, items. A heading begins with ``prefix`` and its number; by itself, the prefix follows the heading's script. ``questions(paper_id, q_idx, number, heading, marks, kind)``; q_idx counts from 1, keys from 0."""
     base = F.concat(F.lit("q"), (F.col("q_idx") - 1).cast("string"))
 
     def key(*parts: Column | str) -> Column:
         return F.concat(base, *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
-    prefix = F.concat(F.when(has_devanagari(F.col("heading")), "प्रश्न ").otherwise("Que "), F.col("number"), F.lit(". "))
-    heads = questions.select(*_block("question", F.lit(0), key(".head"), clean(F.concat(prefix, F.col("heading"))), F.when(F.col("marks") != "", F.concat(F.lit("("), F.col("marks"), F.lit(")"))), gap=F.lit("question"), bold=True))
+    named = F.when(has_devanagari(F.col("heading")), "प्रश्न").otherwise("Que") if prefix == "auto" else F.lit(prefix)
+    begins = F.concat(named, F.lit(" "), F.col("number"), F.lit(". "))
+    heads = questions.select(*_block("question", F.lit(0), key(".head"), clean(F.concat(begins, F.col("heading"))), F.when(F.col("marks") != "", F.concat(F.lit("("), F.col("marks"), F.lit(")"))), gap=F.lit("question"), bold=True))
     stems = subs.where("stem <> ''").select(*_block("sub", 1 + F.col("sub_no") * 2, key(".s", F.col("sub_no"), ".stem"), clean(F.concat(label_text(F.col("label")), F.col("stem"))), indent=INDENT["sub"], gap=F.when(F.col("sub_no") == 0, "none").otherwise("sub")))
     cells = F.filter(F.transform("options", lambda o: option_text(o["label"], o["text"])), lambda c: c != "")
     rows = subs.where("size(options) > 0").select(*_block("options", 2 + F.col("sub_no") * 2, key(".s", F.col("sub_no"), ".opts"), cells=cells, keys=F.transform("options", lambda o, i: key(".s", F.col("sub_no"), ".o", i)), most=F.size("options"), indent=INDENT["option"]))

@@ -143,6 +143,12 @@ def fits(paged: DataFrame, max_pages: int = 2, forced: str | None = None) -> Dat
     return best.select("paper_id", "f.density_id", "f.pages", "f.height_u", "f.capacity_u", (F.col("f.pages") > max_pages).alias("overflow"))
 
 
+def status(n_questions: Column, overflow: Column, automatic: bool, twice: bool = False) -> Column:
+    """What a user is told of a fitted paper. An overflow is the paper's fault where even the tightest density was tried, and the choice's where a density was asked for."""
+    over = "two-copies-too-long" if twice else "too-long-at-the-tightest" if automatic else "too-long-as-chosen"
+    return F.when(n_questions == 0, "no-questions").when(overflow, over).otherwise("two-copies-fit" if twice else "fits")
+
+
 def page_bounds(blocks: DataFrame, max_pages: int = 2) -> DataFrame:
     """(paper_id, density_id, height_u, capacity_u, pages, hopeless) of blocks under one density, by sums alone: pages is 1 where all lie on one, else null; hopeless: ``max_pages`` cannot hold them.
 

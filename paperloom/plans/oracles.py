@@ -215,6 +215,10 @@ walk AS (SELECT paper_id, rung, density_id, n, 1 AS page, h AS used FROM bs WHER
   FROM walk w JOIN bs b ON b.paper_id = w.paper_id AND b.rung = w.rung AND b.n = w.n + 1)
 """
 _PAGES = "SELECT paper_id, density_id, CAST(max(page) AS BIGINT) AS pages FROM walk GROUP BY paper_id, density_id"
+_NUMBERING = """WITH levels AS (SELECT r_regionkey AS a, l, ['decimal', 'lowerLetter', 'upperRoman', 'bullet', 'lowerRoman', 'ordinal', 'upperLetter'][(r_regionkey * 2 + l) % 7 + 1] AS fmt FROM region, range(4) r(l) WHERE (r_regionkey + l) % 4 <> 3),
+told AS (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 27 END AS num, coalesce(own.fmt, zero.fmt, 'decimal') AS fmt FROM part LEFT JOIN nation ON p_partkey % 11 <> 0 AND n_nationkey = p_partkey % 27
+  LEFT JOIN levels own ON own.a = n_regionkey AND own.l = p_size % 4 LEFT JOIN levels zero ON zero.a = n_regionkey AND zero.l = 0)
+SELECT p_partkey AS para_no, CASE WHEN num IS NULL OR num = 0 OR fmt = 'bullet' THEN '' WHEN fmt = 'lowerLetter' THEN 'a' WHEN fmt = 'upperLetter' THEN 'A' WHEN fmt = 'lowerRoman' THEN 'r' WHEN fmt = 'upperRoman' THEN 'R' ELSE 'd' END AS auto_fmt FROM told"""
 _ESC = "raw"
 for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
     _ESC = f"replace({_ESC}, '{_a}', '{_b}')"
@@ -280,6 +284,6 @@ ORACLES: dict[str, str] = {
     "edit_log": "SELECT user_id AS paper_id, event_type AS key, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND value > 20",
     "writing_room": f"{LINES} SELECT paper_id, line_no, flat AS text FROM body WHERE trim(flat) <> '' AND {hit(f'regexp_replace(trim(flat), {q(P.ITEM_LABEL)}, {q(chr(0)[:0])})', P.WRITING_ROOM)}",
     "corpus_marks_stats": f"{FOLDED} SELECT number, count(*) AS n, CAST(sum(CASE WHEN marks = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_without, max(marks) AS most FROM questions GROUP BY number",
-    "numbering_lookup": "SELECT CAST(column0 AS BIGINT) AS para_no, column1 AS auto_fmt FROM (VALUES (0, 'd'), (1, 'a'), (2, 'd'), (3, 'R'), (4, ''), (5, 'd'), (6, ''), (7, '')) v(column0, column1)",
+    "numbering_lookup": _NUMBERING,
     "docx_roundtrip": f"{LINES} SELECT 'paper-' || paper_id || '.docx' AS path, row_number() OVER (PARTITION BY paper_id ORDER BY line_no) AS line_no, flat AS text, '' AS auto_fmt FROM lines",
 }

@@ -38,9 +38,9 @@ def parse(segmented: DataFrame, choices: DataFrame | None = None) -> Paper:
     return Paper(headers, polished, build.subs(questions, own, wording), build.pairs(match), listed)
 
 
-def blocks(paper: Paper) -> DataFrame:
-    """Blocks before any density, numbered within the paper."""
-    rows = compose.header_blocks(paper.headers).unionByName(compose.question_blocks(paper.questions, paper.subs, paper.pairs, paper.items))
+def blocks(paper: Paper, prefix: str = "auto") -> DataFrame:
+    """Blocks before any density, numbered within the paper. ``prefix``: what stands before the number of a question."""
+    rows = compose.header_blocks(paper.headers).unionByName(compose.question_blocks(paper.questions, paper.subs, paper.pairs, paper.items, prefix))
     return cut(numbered(rows))
 
 

@@ -297,11 +297,15 @@ def imperative_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbering_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats of parts as numbered paragraphs; nations are their numberings, and levels belong to regions."""
     from ..sources.docx import numbering_formats
 
-    nums = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "z")], "num_id string, abstract_id string")
-    levels = spark.createDataFrame([("a", "0", "decimal"), ("a", "1", "lowerLetter"), ("b", "0", "upperRoman"), ("b", "2", "bullet")], "abstract_id string, ilvl string, num_fmt string")
-    paras = spark.createDataFrame([(k, n, i) for k, (n, i) in enumerate([("1", "0"), ("1", "1"), ("1", "5"), ("2", "1"), ("2", "2"), ("3", "0"), ("0", "0"), (None, None)])], "para_no long, num_id string, ilvl string")
+    text_ = lambda c: F.col(c).cast("string")
+    nums = table(spark, sf_dir, "nation").select(text_("n_nationkey").alias("num_id"), text_("n_regionkey").alias("abstract_id"))
+    kinds = F.array(*[F.lit(k) for k in ("decimal", "lowerLetter", "upperRoman", "bullet", "lowerRoman", "ordinal", "upperLetter")])
+    levels = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("l")).where("(r_regionkey + l) % 4 <> 3")
+    levels = levels.select(text_("r_regionkey").alias("abstract_id"), text_("l").alias("ilvl"), F.element_at(kinds, (F.col("r_regionkey") * 2 + F.col("l")) % 7 + 1).alias("num_fmt"))
+    paras = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("para_no"), F.when(F.col("p_partkey") % 11 != 0, (F.col("p_partkey") % 27).cast("string")).alias("num_id"), (F.col("p_size") % 4).cast("string").alias("ilvl"))
     return numbering_formats(paras, nums, levels).select("para_no", "auto_fmt")
 
 
@@ -348,10 +352,12 @@ def _paper(spark: SparkSession, sf_dir: str) -> paper.Paper:
 def paper_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each paper: questions by kind, marks, the density that fits two pages, and pages."""
     own = _paper(spark, sf_dir)
-    fitted = layout.fits(paper.laid_out(paper.blocks(own)))
+    fitted = paper.fitted(paper.blocks(own))
     total = F.aggregate(F.transform(F.split("marks", "x"), lambda x: x.try_cast("long")), F.lit(1).cast("long"), lambda a, b: a * b)
     facts = own.questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_questions"), F.sum(F.coalesce(total, F.lit(0).cast("long"))).alias("marks"), *[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in ("mcq", "match", "list", "inline", "plain")])
-    return facts.join(fitted, "paper_id").select(*facts.columns, "density_id", F.col("pages").cast("long").alias("pages"), "overflow")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in facts.columns[1:]]
+    rows = fitted.join(facts, "paper_id", "left").select("paper_id", *counts, "density_id", F.col("pages").cast("long").alias("pages"), "overflow")
+    return rows.withColumn("status", layout.status(F.col("n_questions"), F.col("overflow"), automatic=True))
 
 
 def question_final_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
