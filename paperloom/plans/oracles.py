@@ -215,6 +215,12 @@ walk AS (SELECT paper_id, rung, density_id, n, 1 AS page, h AS used FROM bs WHER
   FROM walk w JOIN bs b ON b.paper_id = w.paper_id AND b.rung = w.rung AND b.n = w.n + 1)
 """
 _PAGES = "SELECT paper_id, density_id, CAST(max(page) AS BIGINT) AS pages FROM walk GROUP BY paper_id, density_id"
+_DOCUMENT_JOIN = f"""WITH RECURSIVE ls AS ({_split('documents', 'doc_id')}),
+b0 AS (SELECT doc_id, {clean('raw')} AS own, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM ls WHERE trim(raw) <> ''),
+fold AS (SELECT doc_id, n, own AS acc, 1 AS group_no, 0 AS joined FROM b0 WHERE n = 1
+  UNION ALL SELECT doc_id, n + 1, CASE WHEN goes THEN acc || ' ' || next ELSE next END, group_no + CASE WHEN goes THEN 0 ELSE 1 END, joined + CASE WHEN goes THEN 1 ELSE 0 END
+  FROM (SELECT f.*, b.own AS next, {could('f.acc', 'b.own')} AND {width('f.acc')} >= 3.4 AS goes FROM fold f JOIN b0 b ON b.doc_id = f.doc_id AND b.n = f.n + 1))
+SELECT doc_id AS paper_id, CAST(max(group_no) AS BIGINT) AS n_groups, CAST(max(joined) AS BIGINT) AS n_joined FROM fold GROUP BY doc_id"""
 _NUMBERING = """WITH levels AS (SELECT r_regionkey AS a, l, ['decimal', 'lowerLetter', 'upperRoman', 'bullet', 'lowerRoman', 'ordinal', 'upperLetter'][(r_regionkey * 2 + l) % 7 + 1] AS fmt FROM region, range(4) r(l) WHERE (r_regionkey + l) % 4 <> 3),
 told AS (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 27 END AS num, coalesce(own.fmt, zero.fmt, 'decimal') AS fmt FROM part LEFT JOIN nation ON p_partkey % 11 <> 0 AND n_nationkey = p_partkey % 27
   LEFT JOIN levels own ON own.a = n_regionkey AND own.l = p_size % 4 LEFT JOIN levels zero ON zero.a = n_regionkey AND zero.l = 0)
@@ -284,6 +290,7 @@ ORACLES: dict[str, str] = {
     "edit_log": "SELECT user_id AS paper_id, event_type AS key, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND value > 20",
     "writing_room": f"{LINES} SELECT paper_id, line_no, flat AS text FROM body WHERE trim(flat) <> '' AND {hit(f'regexp_replace(trim(flat), {q(P.ITEM_LABEL)}, {q(chr(0)[:0])})', P.WRITING_ROOM)}",
     "corpus_marks_stats": f"{FOLDED} SELECT number, count(*) AS n, CAST(sum(CASE WHEN marks = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_without, max(marks) AS most FROM questions GROUP BY number",
+    "document_line_join": _DOCUMENT_JOIN,
     "numbering_lookup": _NUMBERING,
     "docx_roundtrip": f"{LINES} SELECT 'paper-' || paper_id || '.docx' AS path, row_number() OVER (PARTITION BY paper_id ORDER BY line_no) AS line_no, flat AS text, '' AS auto_fmt FROM lines",
 }

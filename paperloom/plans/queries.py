@@ -170,9 +170,13 @@ def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmented(spark, sf_dir).where("q_idx > 0 and not is_heading")
 
 
-def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("flat")
-    return _body(spark, sf_dir).select("paper_id", "line_no", labels.label_of(t).alias("label"), labels.after_label(t).alias("rest"))
+    return _body(spark, sf_dir).select("paper_id", "q_idx", "line_no", labels.label_of(t).alias("label"), labels.after_label(t).alias("rest"))
+
+
+def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).drop("q_idx")
 
 
 def label_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +259,7 @@ def short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = label_strip(spark, sf_dir).join(segmented(spark, sf_dir).select("paper_id", "line_no", "q_idx"), ["paper_id", "line_no"])
+    rows = _labels(spark, sf_dir)
     each = F.array_sort(F.collect_list(F.struct("line_no", "label")))
     return rows.groupBy("paper_id", "q_idx").agg(F.transform(each, lambda x: x["label"]).alias("labels"))
 
@@ -280,7 +284,7 @@ def marker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = label_strip(spark, sf_dir).join(segmented(spark, sf_dir).select("paper_id", "line_no", "q_idx"), ["paper_id", "line_no"])
+    rows = _labels(spark, sf_dir)
     own = Window.partitionBy("paper_id", "q_idx").orderBy("line_no")
     items = rows.select("paper_id", "q_idx", F.row_number().over(own).alias("ord"), "label", F.lit(False).alias("lead"), "line_no")
     return numbering.label_order(items).select("paper_id", F.col("q_idx").cast("long").alias("q_idx"), F.col("ord").cast("long").alias("ord"), "label", "line_no")

@@ -3,10 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from paperloom.operators import edits
+from paperloom.plans import editing
 from paperloom.streaming import edit_state
+from tests.conftest import SF001
 
 LOG = "paper_id long, seq long, op string, key string, text string, other string"
 
@@ -153,3 +156,12 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     last = [r for by_seq in out.values() for r in by_seq[max(by_seq)]]
     found = sorted((r[0], r[3], r[5]) for r in last if r[2] == "edit"), sorted((r[0], r[3], r[4], r[5]) for r in last if r[2] == "insert")
     assert found == walked(log) == folded(spark, log)
+
+
+@pytest.mark.parametrize("name", ["edit_fold", "rule_table_suggest"])
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("part", "events"):
+        con.sql(f"create view {t} as select * from '{SF001}/{t}.parquet'")
+    want = con.sql(editing.ORACLES[name])
+    assert sorted(map(tuple, editing.QUERIES[name](spark, SF001).select(*want.columns).collect())) == sorted(want.fetchall())

@@ -74,14 +74,28 @@ def test_headings(spark):
     assert one(spark, build.polish_heading, "fill in the blanks __ .") == "Fill in the blanks:"
 
 
-def test_option_runs():
-    def row(label, **more):
-        return {"boxed": False, "looks": True, "looks_bare": True, "form": "a", "position": ord(label) - 97, "start_form": "a", "start_position": ord(label) - 97} | more
-
-    assert nodes.run_lengths([row("a"), row("b"), row("c")], True) == [3, 0, 0]
-    assert nodes.run_lengths([row("a"), row("b")], False) == [0, 0]
-    assert nodes.run_lengths([row("b"), row("c")], True) == [0, 0]
-    assert nodes.run_lengths([row("a"), row("b"), row("b")], True) == [2, 0, 0]
+def test_option_runs(spark):
+    """Runs that could start at each node, and those that a scan meets."""
+    tick, other = "Tick the correct option", "Answer these"
+    cases = [
+        (tick, [("a", "red"), ("b", "blue"), ("c", "old")], [3, 0, 0], [(1, 3)]),
+        (other, [("a", "red"), ("b", "blue")], [0, 0], []),
+        (tick, [("b", "red"), ("c", "blue")], [0, 0], []),
+        (tick, [("a", "red"), ("b", "blue"), ("b", "old")], [2, 0, 0], [(1, 2)]),
+        (tick, [("1", "red"), ("2", "blue")], [0, 0], []),
+        ("State true or false", [("a", "red ( )"), ("b", "blue ( )")], [0, 0], []),
+        (other, [("", f"w{k} ( )") for k in range(10)], [8, 8, 8, 7, 6, 5, 4, 3, 2, 0], [(1, 8), (9, 2)]),
+        (other, [("", "red ( )"), ("", "blue"), ("", "old ( )"), ("", "new ( )")], [0, 0, 2, 0], [(3, 2)]),
+        (tick, [("a", "red"), ("b", "blue"), ("a", "old"), ("b", "new")], [2, 0, 2, 0], [(1, 2), (3, 2)]),
+    ]
+    rows = [(k, 1, n + 1, "item", label, text, False, "", None, False, heading) for k, (heading, own, _, _) in enumerate(cases) for n, (label, text) in enumerate(own)]
+    df = spark.createDataFrame(rows, "paper_id long, q_idx int, node_no int, kind string, label string, text string, box boolean, auto_fmt string, options array<struct<label:string,text:string>>, lead boolean, heading string")
+    runs = nodes.with_runs(df)
+    met = nodes.chosen_runs(runs.select("paper_id", "q_idx", F.col("node_no").alias("at"), "run")).collect()
+    found = runs.collect()
+    for k, (_, _, each, chosen) in enumerate(cases):
+        assert [r.run for r in sorted(found, key=lambda r: r.node_no) if r.paper_id == k] == each, k
+        assert sorted((r["at"], r["run"]) for r in met if r.paper_id == k) == chosen, k
 
 
 def test_docx(spark):
@@ -91,7 +105,7 @@ def test_docx(spark):
         docx.read_docx(b"nothing")
 
 
-@pytest.mark.parametrize("name", ["text_width", "article_fix", "question_marks", "heading_fold", "wrapped_line_join", "options_split", "pair_split", "paginate", "column_pack", "rule_suggest", "accepted_suggestions", "proper_noun_map", "name_confidence", "script_runs", "header_edits", "header_titles", "inline_items", "tabbed_items", "label_gap_fill", "order_by_label", "question_kind", "fix_cap"])
+@pytest.mark.parametrize("name", ["text_width", "article_fix", "question_marks", "heading_fold", "wrapped_line_join", "options_split", "pair_split", "paginate", "column_pack", "rule_suggest", "accepted_suggestions", "proper_noun_map", "name_confidence", "script_runs", "header_edits", "header_titles", "inline_items", "tabbed_items", "label_gap_fill", "order_by_label", "question_kind", "fix_cap", "stacked_options", "document_line_join", "page_numbers", "html_preview"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "documents"):
