@@ -104,6 +104,19 @@ def scores(model: Model, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return y, a
 
 
+def gradients(p: Model, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean weighted cross-entropy by we, be, v, u, w, c and d; ``x`` holds the scaled passages of all bags, which begin at ``starts``."""
+    h, t, g, a, z, lengths, y = _forward(p, x, starts)
+    dy = (y - labels) * weight / len(labels)
+    dz = np.repeat(dy[:, None] * p.c[None, :], lengths, axis=0)
+    da = (dz * h).sum(axis=1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts), lengths))
+    dtg = de[:, None] * p.w[None, :]
+    dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+    dh = (dz * a[:, None] + dt @ p.v.T + dg @ p.u.T) * (1 - h * h)
+    return [x.T @ dh, dh.sum(axis=0), h.T @ dt, h.T @ dg, (t * g).T @ de, z.T @ dy, dy.sum()]
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Model:
     """Adam on the cross-entropy of document labels; the rarer label weighs more, up to three times. Without rows of both labels every score is the share of label 1, smoothed."""
     rng = np.random.default_rng(seed)
@@ -129,16 +142,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
             own = order[at : at + batch]
             x = np.concatenate([bags[k] for k in own])
             starts = np.cumsum([0, *[len(bags[k]) for k in own[:-1]]])
-            p = Model(shift, scale, *start)
-            h, t, g, a, z, lengths, y = _forward(p, x, starts)
-            dy = (y - labels[own]) * weight[own] / len(own)
-            dz = np.repeat(dy[:, None] * p.c[None, :], lengths, axis=0)
-            da = (dz * h).sum(axis=1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, starts), lengths))
-            dtg = de[:, None] * p.w[None, :]
-            dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            dh = (dz * a[:, None] + dt @ p.v.T + dg @ p.u.T) * (1 - h * h)
-            grads = [x.T @ dh, dh.sum(axis=0), h.T @ dt, h.T @ dg, (t * g).T @ de, z.T @ dy, dy.sum()]
+            grads = gradients(Model(shift, scale, *start), x, starts, labels[own], weight[own])
             step += 1
             for k, q in enumerate(grads):
                 q = q + 1e-4 * start[k]
