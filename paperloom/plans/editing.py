@@ -92,9 +92,10 @@ def rule_table_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIND = r"'(?i)\b' || replace(p_name, ' ', '\s+') || '\b'"
-RULE_TABLE = f"""{LINES}, names AS (SELECT DISTINCT p_name FROM part)
+RULE_TABLE = f"""{LINES}, names AS (SELECT DISTINCT p_name FROM part),
+near AS MATERIALIZED (SELECT paper_id, line_no, flat, p_name FROM lines JOIN names ON contains(lower(flat), split_part(p_name, ' ', 1)))
 SELECT paper_id, line_no, 'name-' || p_name AS id, flat AS before, regexp_replace(flat, {_FIND}, upper(p_name), 'g') AS after, CASE WHEN length(p_name) % 2 = 0 THEN 'high' ELSE 'low' END AS confidence
-FROM lines JOIN names ON contains(lower(flat), split_part(p_name, ' ', 1)) AND regexp_matches(flat, {_FIND})"""
+FROM near WHERE regexp_matches(flat, {_FIND})"""
 
 QUERIES = {"edit_fold": edit_fold, "rule_table_suggest": rule_table_suggest}
 ORACLES = {"edit_fold": EDIT_FOLD, "rule_table_suggest": RULE_TABLE}
