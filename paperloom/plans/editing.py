@@ -1,11 +1,12 @@
-"""Queries over what users bring along, edit logs and rules of their own, with their SQL. ``events`` is read as the log: users are papers, kinds of events are operations, values and properties give keys and texts."""
+"""Queries over what users bring along, edit logs, rules of their own and nested Word tables, with their SQL. ``events`` is read as the log: users are papers, kinds of events are operations, values and properties give keys and texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edits, rules
+from ..sources.word_nodes import lines_of_nodes
 from .corpus import lines, table
 from .oracles import LINES
 
@@ -97,5 +98,33 @@ near AS MATERIALIZED (SELECT paper_id, line_no, flat, p_name FROM lines JOIN nam
 SELECT paper_id, line_no, 'name-' || p_name AS id, flat AS before, regexp_replace(flat, {_FIND}, upper(p_name), 'g') AS after, CASE WHEN length(p_name) % 2 = 0 THEN 'high' ELSE 'low' END AS confidence
 FROM near WHERE regexp_matches(flat, {_FIND})"""
 
-QUERIES = {"edit_fold": edit_fold, "rule_table_suggest": rule_table_suggest}
-ORACLES = {"edit_fold": EDIT_FOLD, "rule_table_suggest": RULE_TABLE}
+#: Blocks of a file, by turns: a paragraph; a table whose second cell holds a table; a content control with two lines. Each node: place within the block, parent's place (-1: the body), depth, tag, and the column or text that it says.
+_TURNS = (
+    ((0, -1, 1, "p", "p_name"),),
+    ((0, -1, 1, "tbl", None), (1, 0, 2, "tr", None), (2, 1, 3, "tc", None), (3, 2, 4, "p", "p_brand"), (4, 1, 3, "tc", None), (5, 4, 4, "p", "' '"), (6, 4, 4, "tbl", None), (7, 6, 5, "tr", None), (8, 7, 6, "tc", None), (9, 8, 7, "p", "p_type"), (10, 7, 6, "tc", None), (11, 4, 4, "p", "p_name"), (12, 0, 2, "tr", None), (13, 12, 3, "tc", None), (14, 13, 4, "p", "p_type")),
+    ((0, -1, 1, "sdt", None), (1, 0, 2, "sdtContent", None), (2, 1, 3, "p", "concat(p_name, '\\n', p_brand)"), (3, 1, 3, "tbl", None), (4, 3, 4, "tr", None), (5, 4, 5, "tc", None), (6, 5, 6, "p", "p_name")),
+)
+
+
+def word_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files of 30 parts each, given as tables of nodes."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("file-"), F.floor(F.col("p_partkey") / 30).cast("string")).alias("path"), (F.col("p_partkey") % 30).cast("int").alias("k"), "p_name", "p_brand", "p_type")
+    null = F.lit(None).cast("string")
+
+    def turn(rows) -> Column:
+        base = (F.col("k") + 1) * 100
+        return F.array(*[F.struct((base + n).alias("node"), (F.lit(0) if up < 0 else base + up).alias("parent"), F.lit(d).alias("depth"), (F.col("k") if up < 0 else F.lit(n)).alias("ord"), F.lit(tag).alias("tag"), (F.expr(said) if said else null).alias("text")) for n, up, d, tag, said in rows])
+
+    made = F.when(F.col("k") % 3 == 0, turn(_TURNS[0])).when(F.col("k") % 3 == 1, turn(_TURNS[1])).otherwise(turn(_TURNS[2]))
+    bodies = parts.select("path").distinct().select("path", F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("ord"), F.lit("body").alias("tag"), null.alias("text"))
+    nodes = parts.select("path", F.explode(made).alias("n")).select("path", "n.*").unionByName(bodies)
+    return lines_of_nodes(nodes.withColumn("auto_fmt", F.lit(""))).drop("auto_fmt")
+
+
+#: DuckDB: what each turn's lines are, stated outright.
+WORD_NODES = """WITH said AS (
+  SELECT p_partkey, p_partkey // 30 AS f, unnest(xs) AS text, unnest(range(len(xs))) AS i FROM (SELECT *, CASE p_partkey % 30 % 3 WHEN 0 THEN [p_name] WHEN 1 THEN [p_brand || chr(9) || p_type || chr(9) || ' ' || p_name, p_type] ELSE [p_name, p_brand, p_name] END AS xs FROM part))
+SELECT 'file-' || f AS path, row_number() OVER (PARTITION BY f ORDER BY p_partkey, i) AS line_no, text FROM said"""
+
+QUERIES = {"edit_fold": edit_fold, "rule_table_suggest": rule_table_suggest, "word_nodes": word_nodes}
+ORACLES = {"edit_fold": EDIT_FOLD, "rule_table_suggest": RULE_TABLE, "word_nodes": WORD_NODES}

@@ -32,7 +32,7 @@ def numbering_formats(paras: DataFrame, nums: DataFrame, levels: DataFrame) -> D
     return rows.withColumn("auto_fmt", F.when(F.col("num_id").isNull() | (F.col("num_id") == "0") | (code == "b"), "").otherwise(code)).drop("zero_fmt")
 
 
-def _formats(xml: bytes | None) -> dict[tuple[str, str], str]:
+def formats_of(xml: bytes | None) -> dict[tuple[str, str], str]:
     if not xml:
         return {}
     root = ElementTree.fromstring(xml)
@@ -46,7 +46,7 @@ def _formats(xml: bytes | None) -> dict[tuple[str, str], str]:
     return out
 
 
-def _paragraph(p: ElementTree.Element, formats: dict) -> list[tuple[str, str]]:
+def paragraph_lines(p: ElementTree.Element, formats: dict) -> list[tuple[str, str]]:
     """(text, format) of each line of a paragraph; the number belongs to the first one."""
     parts = []
     for run in p.iter(f"{W}r"):
@@ -72,7 +72,7 @@ def _walk(node: ElementTree.Element, formats: dict) -> list[tuple[str, str]]:
     out = []
     for child in node:
         if child.tag == f"{W}p":
-            out += _paragraph(child, formats)
+            out += paragraph_lines(child, formats)
         elif child.tag == f"{W}tbl":
             for row in child.findall(f"{W}tr"):
                 # Cells of the row itself; a table within a cell is part of that cell's lines.
@@ -92,7 +92,7 @@ def read_docx(data: bytes) -> list[tuple[str, str]]:
             names = set(z.namelist())
             if "word/document.xml" not in names:
                 raise ValueError("this file has no word/document.xml; is it a .docx file?")
-            formats = _formats(z.read("word/numbering.xml") if "word/numbering.xml" in names else None)
+            formats = formats_of(z.read("word/numbering.xml") if "word/numbering.xml" in names else None)
             body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
     except zipfile.BadZipFile as e:
         raise ValueError("this file is no .docx file (it is not a zip archive, or a damaged one)") from e
