@@ -35,6 +35,11 @@ def held(key, make):
     return _HELD[key]
 
 
+def let_go() -> None:
+    """Have a worker drop what an earlier stage held, before a stage with large tables of its own."""
+    _HELD.clear()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name that no column of the table has."""
     taken = {c.lower() for c in df.columns}

@@ -46,26 +46,41 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
+class Packed(NamedTuple):
+    """A model as tasks take it: pieces, and a row of probabilities for each."""
+
+    languages: list[str]
+    names: list[str]
+    chances: np.ndarray
+
+
+def packed(model: Model) -> Packed:
+    return Packed(model.languages, list(model.pieces), np.array(list(model.pieces.values()), float).reshape(len(model.pieces), len(model.languages)))
+
+
+_NOTHING: dict = {}
+
+
 class Scorer:
     """Log-probabilities of words under every language: the forward sum over all segmentations. Results are kept in a table of bounded size."""
 
-    def __init__(self, model: Model, most: int = 80_000) -> None:
-        self.model, self.most = model, most
+    def __init__(self, model: Model | Packed, most: int = 80_000) -> None:
+        self.languages, self.names, chances = model if isinstance(model, Packed) else packed(model)
+        self.most = most
         trie: dict = {}
-        for piece in model.pieces:
+        for number, piece in enumerate(self.names):
             node = trie
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = piece
-        self.names = list(model.pieces)
-        self.number = {piece: k for k, piece in enumerate(model.pieces)}
-        self.chances = np.array([*model.pieces.values(), [STRANGE] * len(model.languages)])
+            node[""] = number
+        self.chances = np.concatenate([chances, np.full((1, len(self.languages)), STRANGE)])
         self.steps = self._compiled(trie)
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.languages)))
+        self.table = np.zeros((1024, len(self.languages)))
         self.older: tuple[dict[str, int], np.ndarray] = ({}, self.table)
 
-    def arcs(self, text: str) -> list[tuple[int, int, str]]:
+    def numbered_arcs(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, number) of the pieces in a text; -1 for a letter that is none."""
         out, n = [], len(text)
         for at in range(n):
             alone, steps = False, self.steps
@@ -75,22 +90,30 @@ class Scorer:
                     break
                 steps, piece = found
                 if piece >= 0:
-                    out.append((at, end, self.names[piece]))
+                    out.append((at, end, piece))
                     alone = alone or end == at + 1
             if not alone:
-                out.append((at, at + 1, ""))
+                out.append((at, at + 1, -1))
         return out
 
+    def arcs(self, text: str) -> list[tuple[int, int, str]]:
+        return [(at, end, self.names[piece] if piece >= 0 else "") for at, end, piece in self.numbered_arcs(text)]
+
     def _compiled(self, node: dict) -> dict:
-        """The trie with each character leading to (next characters, number of the piece that ends there or -1)."""
-        return {c: (self._compiled(below), self.number.get(below.get("", ""), -1)) for c, below in node.items() if c}
+        """The trie with each character leading to (next characters, number of the piece that ends there or -1). The one given is used up on the way, so that the two are never whole at once."""
+        out = {}
+        while node:
+            c, below = node.popitem()
+            piece = below.pop("", -1)
+            out[c] = (self._compiled(below) if below else _NOTHING, piece)
+        return out
 
     def forward(self, texts: list[str], most: int = 4096) -> np.ndarray:
         """Sums of many short texts, a row of logarithms each. The arcs from one place to another are taken for all texts at once.
 
         Sums are plain ones, unless one of them gets so small that it loses digits or vanishes: then all of its text are worked out again with scaling, as for long texts.
         """
-        k, strange = len(self.model.languages), len(self.number)
+        k, strange = len(self.languages), len(self.names)
         out = np.empty((len(texts), k))
         for low in range(0, len(texts), most):
             part = texts[low : low + most]
@@ -126,13 +149,13 @@ class Scorer:
 
     def _sums(self, text: str) -> list[float]:
         """Sums scaled for each language on its own where they get small, so that words do not vanish."""
-        k, n = len(self.model.languages), len(text)
+        k, n = len(self.languages), len(text)
         alpha = [[0.0] * k for _ in range(n + 1)]
         alpha[0] = [1.0] * k
         logs = [0.0] * k
-        strange, pieces, langs = [STRANGE] * k, self.model.pieces, range(k)
+        langs = range(k)
         at_now = 0
-        for at, end, part in self.arcs(text):
+        for at, end, part in self.numbered_arcs(text):
             if at != at_now:
                 at_now = at
                 for j in langs:
@@ -140,7 +163,7 @@ class Scorer:
                         for row in alpha[at : at + 40]:
                             row[j] *= 1e150
                         logs[j] -= 345.38776394910684
-            here, p, there = alpha[at], pieces[part] if part else strange, alpha[end]
+            here, p, there = alpha[at], self.chances[part].tolist(), alpha[end]
             for j in langs:
                 there[j] += here[j] * p[j]
         return [math.log(max(a, 1e-300)) + x for a, x in zip(alpha[n], logs, strict=True)]
@@ -151,7 +174,7 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         """Take words into the table of results. When the newer table is full it becomes the older one, from which words in use are taken over."""
         if len(self.index) > self.most:
-            self.older, self.index, self.table = (self.index, self.table), {}, np.zeros((1024, len(self.model.languages)))
+            self.older, self.index, self.table = (self.index, self.table), {}, np.zeros((1024, len(self.languages)))
         index, (old, old_table) = self.index, self.older
         fresh = [w for w in dict.fromkeys(words) if w not in index]
         if not fresh:
@@ -167,7 +190,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, its posterior under equal priors) of each text."""
-        if not self.model.languages:
+        if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
         counts = [Counter(words_of(t)) for t in texts]
         self.learn([w for c in counts for w in c])
@@ -179,7 +202,7 @@ class Scorer:
             rows = np.fromiter(map(self.index.__getitem__, c), np.int64, len(c))
             total = np.fromiter(c.values(), np.float64, len(c)) @ self.table[rows]
             best = int(total.argmax())
-            out.append((self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())))
+            out.append((self.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())))
         return out
 
 
@@ -192,10 +215,10 @@ def _plus(a: float, b: float) -> float:
 def expectation(counts: dict[str, float], scorer: Scorer, j: int) -> dict[str, float]:
     """Expected piece counts of one language over all segmentations of its words, by forward and backward sums; those of long words are sums of logarithms, as they would vanish."""
     out: dict[str, float] = {}
-    pieces = scorer.model.pieces
+    chances, number = scorer.chances[:, j].tolist(), scorer.names
     for word, n in counts.items():
         text = SPACE + word
-        arcs = [(a, e, p, pieces[p][j] if p else STRANGE) for a, e, p in scorer.arcs(text)]
+        arcs = [(a, e, number[p] if p >= 0 else "", chances[p]) for a, e, p in scorer.numbered_arcs(text)]
         size = len(text)
         if size > 30:
             arcs = [(a, e, p, math.log(w)) for a, e, p, w in arcs]
@@ -266,7 +289,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Ties go to the language that sorts first. Rows are scored one by one, nothing is shuffled; repeated rows give repeated
     rows, an empty table an empty result, and other columns are ignored. Without any training row every text is ``und``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -282,7 +305,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def predictor(spark: SparkSession, model: Model):
     """A function of a text column that gives struct(lang_pred, score), for use within a larger select."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(packed(model))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:

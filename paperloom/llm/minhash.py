@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, id_numbers, stored
+from .common import checkpoint, connected_components, id_numbers, let_go, stored
 
 WORDS = 5
 HASHES, BITS = 256, 4
@@ -45,6 +45,7 @@ class Shingler:
     """Distinct shingle hashes of texts. Word hashes are kept in a table of bounded size."""
 
     def __init__(self, most: int = 400_000) -> None:
+        let_go()
         self.seen: dict[bytes, int] = {}
         self.most = most
 

@@ -593,7 +593,8 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
     redirects = spark.createDataFrame([("http://free.test", "http://x.com/en/5"), (None, "http://a.b"), ("http://c.d", None)], "source string, target string")
     more = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df, redirects=redirects).collect()}
-    assert more[11] == more[14] == more[9] == "allow"
+    # An empty path is a slash, so page 11 is the redirected address.
+    assert more[11] == "block" and more[14] == more[9] == "allow"
     redirects = spark.createDataFrame([("http://free.test/", "https://www.free.test"), ("https://WWW.free.test#top", "http://x.com/en/5")], "source string, target string")
     more = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df, redirects=redirects).collect()}
     assert more[11] == more[14] == "block" and more[9] == "allow"
