@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components
+from .common import checkpoint, connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,12 +105,15 @@ def _tag_target(html: Column, tag: str, attribute: str, word: str, target: str)
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, target) of each page's canonical link and of its immediate redirect, entities decoded, targets made absolute by the page's base or its url."""
+    # The tags that matter, by one scan; of most pages nothing is left, and only what is gets looked at closely.
+    tags = F.array_join(F.regexp_extract_all("html", F.lit(r"<(?i:link|meta|base)\b[^>]*>"), 0), "")
+    pages = checkpoint(pages.where("instr(url, '://') > 0").select("url", tags.alias("html")).where(F.col("html").rlike(r"(?i)canonical|refresh")))
     html = F.col("html")
     href = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     canonical = F.when(html.rlike("(?i)canonical"), _tag_target(html, "link", "rel", "canonical", href))
     refresh = F.when(html.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"), _tag_target(html, "meta", "http-equiv", "refresh", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"))
     base = F.when(html.rlike(r"(?i)<base\b"), F.nullif(F.regexp_extract(F.regexp_extract(html, r"(?i)<base\b[^>]*>", 0), href, 1), F.lit("")))
-    links = pages.where("instr(url, '://') > 0").select("url", F.explode(F.array(canonical, refresh)).alias("target"), base.alias("base")).where("target is not null")
+    links = pages.select("url", F.explode(F.array(canonical, refresh)).alias("target"), base.alias("base")).where("target is not null")
     seen = links.select("url", F.trim(_decoded(F.col("target"))).alias("target"), F.coalesce(_resolved(F.trim(_decoded(F.col("base"))), F.col("url")), F.col("url")).alias("base"))
     return seen.select("url", _resolved(F.col("target"), F.col("base")).alias("target"))
 
