@@ -45,3 +45,9 @@ def test_marks_and_articles_of_odd_texts(spark):
     cases = [("A apple and a orange", "An apple and an orange"), ("An boy an unit", "A boy a unit"), ("a hour", "an hour"), ("banana apple", "banana apple"), (None, None)]
     got = spark.createDataFrame([(k, raw) for k, (raw, _) in enumerate(cases)], "k int, raw string").select("k", normalize.articles(F.col("raw")).alias("m")).collect()
     assert {r["k"]: r["m"] for r in got} == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_headers_are_parsed_once_for_their_edits(spark, capsys):
+    """What lies below the edits is the cut headers, not the corpus once for each branch that reads them."""
+    shown = plan(queries.header_edits(spark, SF001), capsys)
+    assert "FileScan" not in shown and shown.count("Scan ExistingRDD") >= 2
