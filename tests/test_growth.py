@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.functions import normalize, text
-from paperloom.operators import nodes, segment
+from paperloom.operators import language, nodes, segment
 from paperloom.plans import corpus, queries
 
 from .conftest import SF001, SF01
@@ -51,3 +51,14 @@ def test_headers_are_parsed_once_for_their_edits(spark, capsys):
     """What lies below the edits is the cut headers, not the corpus once for each branch that reads them."""
     shown = plan(queries.header_edits(spark, SF001), capsys)
     assert "FileScan" not in shown and shown.count("Scan ExistingRDD") >= 2
+
+
+def test_words_of_papers_that_ask_for_no_name_are_not_unpacked(spark, monkeypatch):
+    """Lines meet the asking papers before they become words, broadcast or shuffled, with the same rows."""
+    lines = spark.createDataFrame([(1, 1, "Who was ella ?"), (1, 2, "the name of ravi and ravi"), (2, 1, "no one is asked for here"), (3, 1, "name of the king"), (None, 1, "who was sita")], "paper_id long, line_no long, flat string")
+    want = {(1, "ella", "high"), (1, "ravi", "low"), (None, "sita", "high")}
+    for most in (language.BROADCAST_PAPERS, 0):
+        monkeypatch.setattr(language, "BROADCAST_PAPERS", most)
+        rows = language.name_suggestions(lines)
+        assert {(r["paper_id"], r["word"], r["confidence"]) for r in rows.collect()} == want
+        assert "LeftSemi" in rows._jdf.queryExecution().optimizedPlan().toString()
