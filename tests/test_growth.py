@@ -62,3 +62,12 @@ def test_words_of_papers_that_ask_for_no_name_are_not_unpacked(spark, monkeypatc
         rows = language.name_suggestions(lines)
         assert {(r["paper_id"], r["word"], r["confidence"]) for r in rows.collect()} == want
         assert "LeftSemi" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_changed_texts_are_cleaned_for_the_log(spark, capsys):
+    """Each rule's entry stands behind a comparison of its texts; a change of nothing but marks is no fix."""
+    rows = spark.createDataFrame([(1, 1, "a apple [ ] and b ( )"), (1, 2, "nothing here"), (1, 3, "Tab 3"), (1, 4, "x  , y"), (1, 5, "a_____ b")], "paper_id long, line_no long, raw string")
+    fixes = normalize.prepare_lines(rows)[1]
+    assert plan(fixes, capsys).count("CASE WHEN NOT (t") >= len(normalize.RULES)
+    got = {(r["line_no"], r["rule"], r["before"], r["after"]) for r in fixes.collect()}
+    assert got == {(1, "article", "a apple [ ] and b ( )", "an apple [ ] and b ( )"), (1, "tick box", "an apple [ ] and b ( )", "an apple ( ) and b ( )"), (3, "document furniture", "Tab 3", ""), (5, "blank length", "a_____ b", "a__________ b")}
