@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.functions import normalize, text
-from paperloom.operators import language, nodes, segment
+from paperloom.operators import build, language, nodes, numbering, segment
 from paperloom.plans import corpus, queries
 
 from .conftest import SF001, SF01
@@ -71,3 +71,16 @@ def test_only_changed_texts_are_cleaned_for_the_log(spark, capsys):
     assert plan(fixes, capsys).count("CASE WHEN NOT (t") >= len(normalize.RULES)
     got = {(r["line_no"], r["rule"], r["before"], r["after"]) for r in fixes.collect()}
     assert got == {(1, "article", "a apple [ ] and b ( )", "an apple [ ] and b ( )"), (1, "tick box", "an apple [ ] and b ( )", "an apple ( ) and b ( )"), (3, "document furniture", "Tab 3", ""), (5, "blank length", "a_____ b", "a__________ b")}
+
+
+def test_labels_of_a_question_are_worked_out_once(spark, capsys):
+    """Items are put in order without a join with themselves, and labelled without an array of the whole question in each of its rows."""
+    columns = "paper_id long, q_idx int, ord int, label string, lead boolean, text string"
+    rows = spark.createDataFrame([(1, 1, 0, "", True, "note"), (1, 1, 1, "2", False, "b"), (1, 1, 2, "1", False, "a"), (1, 2, 0, "a", False, "x"), (1, 2, 1, "a", False, "y"), (1, 3, 0, "ii", False, "p"), (1, 3, 1, "i", False, "q"), (1, 4, 0, "3", False, "r"), (1, 4, 1, "1", False, "s"), (1, 5, 0, "", True, "only")], columns)
+    out = numbering.label_order(rows)
+    assert "Join" not in plan(out, capsys)
+    assert sorted((r["q_idx"], r["ord"], r["text"]) for r in out.collect()) == [(1, 0, "note"), (1, 1, "a"), (1, 2, "b"), (2, 0, "x"), (2, 1, "y"), (3, 0, "q"), (3, 1, "p"), (4, 0, "r"), (4, 1, "s"), (5, 0, "only")]
+    rows = rows.withColumns({"script": F.lit("en"), "auto_fmt": F.lit(None).cast("string")})
+    made = build._relabelled(rows.withColumn("label", F.when(F.col("text").isin("a", "y"), "").otherwise(F.col("label"))), "ord", ~F.col("lead"), F.lit("d"))
+    assert "Window" not in plan(made, capsys) and made.columns == rows.columns
+    assert sorted((r["q_idx"], r["ord"], r["label"]) for r in made.collect()) == [(1, 0, ""), (1, 1, "2"), (1, 2, "3"), (2, 0, "a"), (2, 1, "b"), (3, 0, "ii"), (3, 1, "i"), (4, 0, "3"), (4, 1, "1"), (5, 0, "")]
