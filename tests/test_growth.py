@@ -84,3 +84,11 @@ def test_labels_of_a_question_are_worked_out_once(spark, capsys):
     made = build._relabelled(rows.withColumn("label", F.when(F.col("text").isin("a", "y"), "").otherwise(F.col("label"))), "ord", ~F.col("lead"), F.lit("d"))
     assert "Window" not in plan(made, capsys) and made.columns == rows.columns
     assert sorted((r["q_idx"], r["ord"], r["label"]) for r in made.collect()) == [(1, 0, ""), (1, 1, "2"), (1, 2, "3"), (2, 0, "a"), (2, 1, "b"), (3, 0, "ii"), (3, 1, "i"), (4, 0, "3"), (4, 1, "1"), (5, 0, "")]
+
+
+def test_widths_are_asked_for_above_lines_that_could_go_on(spark, capsys):
+    wide = "words that run on and on and on until the edge of the column is met by them"
+    body = spark.createDataFrame([(1, 1, 1, wide, "", "h"), (1, 1, 2, "and below", "", "h"), (1, 1, 3, "1. item", "", "h"), (1, 2, 1, "short", "", "h"), (1, 2, 2, "line", "", "h")], "paper_id long, q_idx int, line_no int, text string, auto_fmt string, heading string")
+    out = segment.wrapped_groups(body)
+    assert "CASE WHEN cand" in plan(out, capsys)
+    assert [(r["line_no"], r["joined"]) for r in out.orderBy("q_idx", "line_no").collect()] == [(1, False), (2, True), (3, False), (1, False), (2, False)]
