@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paperloom.functions import normalize, text
+from paperloom.functions import labels, normalize, text
 from paperloom.operators import build, language, nodes, numbering, segment
 from paperloom.plans import corpus, queries
 
@@ -92,3 +92,13 @@ def test_widths_are_asked_for_above_lines_that_could_go_on(spark, capsys):
     out = segment.wrapped_groups(body)
     assert "CASE WHEN cand" in plan(out, capsys)
     assert [(r["line_no"], r["joined"]) for r in out.orderBy("q_idx", "line_no").collect()] == [(1, False), (2, True), (3, False), (1, False), (2, False)]
+
+
+def test_lines_without_boxes_or_labels_are_not_taken_apart(spark, capsys):
+    """A plain search stands before the parts of options and items, and leaves no line out."""
+    cases = ["A. x ( ) B. y ( )", "A. x [ ] B. y [ ]", "( ) ( )", "a ( ) b", "plain", "", None, "1. pen 2. boat 3. boy", "1) a 2) b 3)", "a . b", "( a ) x ( b ) y ( c ) z"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t string").select("k", labels.parse_options(F.col("t")).alias("o"), labels.inline_items(F.col("t")).alias("i"))
+    assert "CASE WHEN (Contains" in plan(rows, capsys)
+    got = {r["k"]: (r["o"] and [tuple(x) for x in r["o"]], r["i"] and [tuple(x) for x in r["i"]]) for r in rows.collect()}
+    assert got[0][0] == [("A", "x"), ("B", "y")] and got[1][0] == [("A", "x"), ("B", "y")] and all(got[k][0] is None for k in range(2, 8))
+    assert got[7][1] == [("1", "pen"), ("2", "boat"), ("3", "boy")] and got[10][1] == [("a", "x"), ("b", "y"), ("c", "z")] and all(got[k][1] is None for k in (2, 3, 4, 5, 6, 8, 9))
