@@ -102,3 +102,12 @@ def test_lines_without_boxes_or_labels_are_not_taken_apart(spark, capsys):
     got = {r["k"]: (r["o"] and [tuple(x) for x in r["o"]], r["i"] and [tuple(x) for x in r["i"]]) for r in rows.collect()}
     assert got[0][0] == [("A", "x"), ("B", "y")] and got[1][0] == [("A", "x"), ("B", "y")] and all(got[k][0] is None for k in range(2, 8))
     assert got[7][1] == [("1", "pen"), ("2", "boat"), ("3", "boy")] and got[10][1] == [("a", "x"), ("b", "y"), ("c", "z")] and all(got[k][1] is None for k in (2, 3, 4, 5, 6, 8, 9))
+
+
+def test_lines_of_match_pairs_are_made_once(spark, monkeypatch):
+    """Nodes and wording read the same cut lines; the corpus was prepared anew for each before."""
+    made = []
+    prepare = normalize.prepare_lines
+    monkeypatch.setattr(normalize, "prepare_lines", lambda rows: made.append(1) or prepare(rows))
+    out = queries.match_pairs(spark, SF001)
+    assert len(made) == 1 and out.count() > 0
