@@ -111,3 +111,19 @@ def test_lines_of_match_pairs_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(normalize, "prepare_lines", lambda rows: made.append(1) or prepare(rows))
     out = queries.match_pairs(spark, SF001)
     assert len(made) == 1 and out.count() > 0
+
+
+def test_plain_searches_stand_before_the_rules(spark, capsys):
+    """Patterns are tried on texts that hold what they cannot do without, and no other text changes."""
+    texts = ["plain words", "a , b ;c", "1999 - 00", "x____y", "(  ) [ ]", "b]", "\x03dtyped", "a\x01b\x02c", "a   b\t", "  edge  ", "wait ।now", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    t = F.col("t")
+    out = rows.select("k", normalize.spacing(t).alias("s"), normalize.year_range(t).alias("y"), normalize.blanks(t).alias("b"), normalize.boxes(t).alias("x"), normalize.auto_format(t).alias("f"), normalize.without_auto(t).alias("w"), normalize.clean(t).alias("c"))
+    assert plan(out, capsys).count("CASE WHEN") >= 8
+    got = {r["k"]: r for r in out.collect()}
+    assert [got[k]["s"] for k in (0, 1, 10)] == ["plain words", "a, b; c", "wait।now"] and got[2]["y"] == "1999-00" and got[3]["b"] == "x__________y"
+    assert got[4]["x"] == "( ) [ ]" and got[5]["x"] == "b]" and (got[6]["f"], got[6]["w"], got[6]["c"]) == ("d", "typed", "typed")
+    assert [got[k]["c"] for k in (7, 8, 9)] == ["a b c", "a b", "edge"] and got[0]["f"] == "" and got[11]["f"] == ""
+    assert all(got[12][c] is None for c in "sybxfwc")
+    heads = spark.createDataFrame([("Que 3 x",), ("q.4",), ("प्रश्न 5",), ("no 6",), ("quite",), ("",), (None,)], "t string").select(segment.heading_number(t).alias("n"))
+    assert "Contains" in plan(heads, capsys) and [r["n"] for r in heads.collect()] == ["3", "4", "5", "", "", "", None]
