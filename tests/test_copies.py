@@ -72,3 +72,28 @@ def test_columns_of_pairs_are_no_matter_of_density(spark, rows, capsys):
     compose.at_densities(layout.measured(rows), automatic=True).explain()
     shown = capsys.readouterr().out
     assert "rung" not in " ".join(line for line in shown.splitlines() if "Window [" in line or "Exchange" in line)
+
+
+def test_copies_are_made_in_one_pass(spark, rows, capsys):
+    """The first copy, the cut and the second copy come from one reading of the blocks, and their file from the same exchange; the cut is dashed and stands in the middle."""
+    from paperloom.sources.word_blocks import docx_of_blocks
+
+    high = layout.with_heights(compose.at_densities(layout.measured(rows), automatic=True).where("density_id = 'normal'"))
+    own = paper.cut(high)
+    two = layout.two_up(own)
+    docx_of_blocks(two).explain()
+    shown = capsys.readouterr().out
+    assert shown.count("Scan ExistingRDD") == 1 and "Join" not in shown and shown.count("Exchange hashpartitioning") == 1
+    got = two.where("paper_id = 52").orderBy("block_no").select("copy_no", "type", "text", "key", "dashed").collect()
+    assert [tuple(r) for r in got] == [(0, "item", "kept", "q1", False), (1, "rule", "", None, True), (2, "item", "kept", None, False)]
+
+
+def test_broken_files_among_many(spark):
+    """Files that cannot be read, and one without content, are told beside those that can, over more files than are read at once."""
+    from paperloom.sources.docx import FILES_EACH, docx_files, docx_of_lines
+
+    n = FILES_EACH * 2 + 3
+    good = docx_of_lines(spark.range(n).selectExpr("id as paper_id", "1L as line_no", "concat('line ', id) as flat"))
+    bad = spark.createDataFrame([("bad", b"no zip"), ("none", None)], "path string, content binary")
+    got = {r["path"]: (r["error"] is None, [(x["text"], x["auto_fmt"]) for x in r["lines"]]) for r in docx_files(good.unionByName(bad).coalesce(1)).collect()}
+    assert got == {f"paper-{k}.docx": (True, [(f"line {k}", "")]) for k in range(n)} | {"bad": (False, []), "none": (False, [])}
